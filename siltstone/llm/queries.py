@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import leakage, mixing, splitting
+from siltstone.llm import leakage, mixing, nearcopies, splitting
 from siltstone.sources.tables import table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.pairs(*nearcopies.near_copies(table(spark, sf_dir, "chunk_payloads")))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.groups(*nearcopies.near_copies(table(spark, sf_dir, "chunk_payloads")))
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(splitting.oversized_chunks(table(spark, sf_dir, "chunk_payloads"), table(spark, sf_dir, "ingest_requests")))
 
@@ -50,10 +58,22 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p5_found, p5_pieces, p6_found, p6_leaks, p6_clean, p7_found, p7_mixture, p7_shares)
+    f.__name__: f for f in (p4_found, p4_groups, p5_found, p5_pieces, p6_found, p6_leaks, p6_clean, p7_found, p7_mixture, p7_shares)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "p4_found": r"""
+        WITH latest_chunk AS (
+            SELECT chunk_id, text FROM chunk_payloads WHERE chunk_id IS NOT NULL
+            QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at DESC) = 1),
+        words AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') AS w FROM latest_chunk),
+        runs AS (SELECT DISTINCT chunk_id, w[i:i+2] AS run FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+        sizes AS (SELECT chunk_id, count(*) AS n FROM runs GROUP BY chunk_id),
+        shared AS (
+            SELECT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b, count(*) AS n
+            FROM runs a JOIN runs b ON a.run = b.run AND a.chunk_id < b.chunk_id GROUP BY ALL)
+        SELECT chunk_a, chunk_b FROM shared s JOIN sizes x ON x.chunk_id = chunk_a JOIN sizes y ON y.chunk_id = chunk_b
+        WHERE s.n >= 0.6 * (x.n + y.n - s.n)""",
     "p5_found": r"""
         WITH latest_request AS (
             SELECT request_id, chunk_size FROM ingest_requests QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY loaded_at DESC) = 1),
