@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import leakage, mixing, nearcopies, splitting
+from siltstone.llm import leakage, mixing, nearcopies, neighbours, splitting
 from siltstone.sources.tables import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbour_pairs(neighbours.neighbours(table(spark, sf_dir, "chunk_payloads"), least=0.85))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.pairs(*nearcopies.near_copies(table(spark, sf_dir, "chunk_payloads")))
 
@@ -58,10 +62,22 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p4_groups, p5_found, p5_pieces, p6_found, p6_leaks, p6_clean, p7_found, p7_mixture, p7_shares)
+    f.__name__: f for f in (p2_found, p4_found, p4_groups, p5_found, p5_pieces, p6_found, p6_leaks, p6_clean, p7_found, p7_mixture, p7_shares)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "p2_found": r"""
+        WITH latest_chunk AS (
+            SELECT chunk_id, collection, embedding::DOUBLE[] AS e FROM chunk_payloads WHERE chunk_id IS NOT NULL
+            QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at DESC) = 1),
+        usable AS (
+            SELECT chunk_id, coalesce(collection, '') AS collection, e, sqrt(list_dot_product(e, e)) AS norm FROM latest_chunk
+            WHERE len(e) = 96 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_dot_product(e, e) > 0),
+        scored AS (
+            SELECT a.chunk_id AS a, b.chunk_id AS b, list_dot_product(a.e, b.e) / (a.norm * b.norm) AS s
+            FROM usable a JOIN usable b ON a.collection = b.collection AND a.chunk_id <> b.chunk_id),
+        top AS (SELECT a, b, s FROM scored WHERE s >= 0.84 QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 10)
+        SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM top WHERE s >= 0.85""",
     "p4_found": r"""
         WITH latest_chunk AS (
             SELECT chunk_id, text FROM chunk_payloads WHERE chunk_id IS NOT NULL
