@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import leakage, mixing, nearcopies, neighbours, splitting
+from siltstone.llm import language, leakage, mixing, nearcopies, neighbours, splitting
 from siltstone.sources.tables import table
 
 
@@ -15,6 +15,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbour_pairs(neighbours.neighbours(table(spark, sf_dir, "chunk_payloads"), least=0.85))
 
 
+def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "extract_results"), table(spark, sf_dir, "lang_samples"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_languages(spark, sf_dir).where("line_no >= 0 or not right_label").select("result_id", "line_no", "lang")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.pairs(*nearcopies.near_copies(table(spark, sf_dir, "chunk_payloads")))
 
@@ -62,7 +70,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p4_found, p4_groups, p5_found, p5_pieces, p6_found, p6_leaks, p6_clean, p7_found, p7_mixture, p7_shares)
+    f.__name__: f for f in (p2_found, p3_found, p3_languages, p4_found, p4_groups, p5_found, p5_pieces, p6_found, p6_leaks, p6_clean, p7_found, p7_mixture, p7_shares)
 }
 
 ORACLE_SQL: dict[str, str] = {
