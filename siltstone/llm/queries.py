@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import language, leakage, mixing, nearcopies, neighbours, splitting
+from siltstone.llm import boilerplate, language, leakage, mixing, nearcopies, neighbours, splitting
 from siltstone.sources.tables import table
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.pages_of(table(spark, sf_dir, "crawl_results"), table(spark, sf_dir, "extract_requests"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.page_blocks(_pages(spark, sf_dir)).where("is_main").select("src", "row_id", "block_no")
+
+
+def p1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.main_text(_pages(spark, sf_dir))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbour_pairs(neighbours.neighbours(table(spark, sf_dir, "chunk_payloads"), least=0.85))
 
@@ -70,7 +82,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p3_found, p3_languages, p4_found, p4_groups, p5_found, p5_pieces, p6_found, p6_leaks, p6_clean, p7_found, p7_mixture, p7_shares)
+    f.__name__: f for f in (p1_found, p1_main_text, p2_found, p3_found, p3_languages, p4_found, p4_groups, p5_found, p5_pieces, p6_found, p6_leaks, p6_clean, p7_found, p7_mixture, p7_shares)
 }
 
 ORACLE_SQL: dict[str, str] = {
