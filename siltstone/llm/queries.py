@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import boilerplate, language, leakage, mixing, nearcopies, neighbours, splitting
+from siltstone.llm import boilerplate, language, leakage, mixing, nearcopies, neighbours, privacy, splitting
 from siltstone.sources.tables import table
 
 
@@ -81,8 +81,20 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixing.mixture(documents, plan), plan)
 
 
+def p8_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.personal_data(table(spark, sf_dir, "documents"), table(spark, sf_dir, "given_names"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_mentions(spark, sf_dir).where("kind <> 'term'")
+
+
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.cleaned(table(spark, sf_dir, "documents"), p8_mentions(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_main_text, p2_found, p3_found, p3_languages, p4_found, p4_groups, p5_found, p5_pieces, p6_found, p6_leaks, p6_clean, p7_found, p7_mixture, p7_shares)
+    f.__name__: f for f in (p1_found, p1_main_text, p2_found, p3_found, p3_languages, p4_found, p4_groups, p5_found, p5_pieces, p6_found, p6_leaks, p6_clean, p7_found, p7_mixture, p7_shares, p8_found, p8_mentions, p8_clean)
 }
 
 ORACLE_SQL: dict[str, str] = {
