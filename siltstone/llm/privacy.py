@@ -84,13 +84,34 @@ STREET = re.compile(
     rf"|[A-ZÄÖÜ][\w-]*(?:{ENDING_DE})[ \t ]+{_NUMBER})",
     re.I,
 )
-HAS_STREET = re.compile(rf"\d\s+\S+\s+\S*\s?(?:{AFTER})\b|\b(?:{BEFORE_FR}|{BEFORE_ES})\s|(?:{ENDING_DE})\s+\d", re.I)
+#: The words that a street address cannot do without.
+STREET_WORD = re.compile(rf"(?:{AFTER}|{BEFORE_FR}|{BEFORE_ES})$|.+(?:{ENDING_DE})$", re.I)
 _STRIP = "\"'()<>[]{}|,;:!?.*_—–-“”„«»…>"
 CORE = re.compile(rf"{_LETTER}+(?:[-'’]{_LETTER}+)*$")
 INITIALS = frozenset(f"{c}." for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
-def structured(text: str) -> list[tuple[str, int, int]]:
+class StreetWords:
+    """Tells the tokens that are or end in a kind of street; keeps what it told."""
+
+    def __init__(self) -> None:
+        self.told: dict[str, bool] = {}
+
+    def any_in(self, tokens: list[str]) -> bool:
+        told = self.told
+        found = False
+        for token in tokens:
+            known = told.get(token)
+            if known is None:
+                if len(told) > 500_000:
+                    told.clear()
+                bare = token.strip("\"'()<>[]{}|,;:!?")
+                known = told[token] = bool(STREET_WORD.match(bare) or STREET_WORD.match(bare.rstrip(".")))
+            found = found or known
+        return found
+
+
+def structured(text: str, streets: StreetWords | None = None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of mail boxes, telephone numbers, identity numbers and street addresses, without overlaps."""
     found: list[tuple[str, int, int]] = []
     low_at = "@" in text or "(at)" in text or "[at]" in text or (" at " in text and " dot " in text) or "AT" in text
@@ -109,7 +130,7 @@ def structured(text: str) -> list[tuple[str, int, int]]:
                 continue
             if not any(a < m.end() and m.start() < b for _, a, b in found):
                 found.append((kind, m.start(), m.end()))
-    if HAS_STREET.search(text):
+    if (streets or StreetWords()).any_in(text.split()):
         for m in STREET.finditer(text):
             if not any(a < m.end() and m.start() < b for _, a, b in found):
                 found.append(("street_address", m.start(), m.end()))
@@ -213,7 +234,7 @@ FOUND = "doc_id bigint, kind string, start_pos int, end_pos int, given string, g
 
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        families = Families(shared.value)
+        families, streets = Families(shared.value), StreetWords()
         names = [x.split()[0] for x in FOUND.split(", ")]
         types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32())
         for batch in batches:
@@ -221,7 +242,7 @@ def _scan(shared):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text:
                     continue
-                found = structured(text)
+                found = structured(text, streets)
                 rows.extend((key, kind, a, b, None, -1, -1, None, -1) for kind, a, b in found)
                 for a, b, *rest in name_candidates(text, families):
                     if not any(x < b and a < y for _, x, y in found):
