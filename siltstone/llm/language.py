@@ -86,13 +86,13 @@ def letter_runs(word: str) -> Iterator[str]:
 
 @dataclass
 class Model:
-    """Log-probabilities of letter runs and words for each language; ``score`` keeps what it made."""
+    """Log-probabilities for each language: of letter runs and words, row 0 for unknown ones. ``score`` keeps what it made."""
 
     langs: list[str]
-    runs: dict[str, np.ndarray]
-    words: dict[str, np.ndarray]
-    run_floor: np.ndarray
-    word_floor: np.ndarray
+    run_rows: dict[str, int]
+    run_logs: np.ndarray
+    word_rows: dict[str, int]
+    word_logs: np.ndarray
     made: dict[str, np.ndarray] = field(default_factory=dict)
 
     def score(self, word: str) -> np.ndarray:
@@ -100,10 +100,8 @@ class Model:
         if found is None:
             if len(self.made) > 500_000:
                 self.made.clear()
-            total = np.zeros(len(self.langs))
-            for run in letter_runs(word):
-                total += self.runs.get(run, self.run_floor)
-            total = RUN_WEIGHT * total + self.words.get(word, self.word_floor)
+            rows = self.run_rows
+            total = RUN_WEIGHT * self.run_logs[[rows.get(run, 0) for run in letter_runs(word)]].sum(axis=0) + self.word_logs[self.word_rows.get(word, 0)]
             script = np.array([(lang in CYRILLIC) == bool(CYRILLIC_LETTER.search(word)) for lang in self.langs])
             if script.any():
                 total = np.where(script, total, -np.inf)
@@ -115,61 +113,63 @@ def fit(samples: list[tuple[str, list[str]]]) -> Model:
     """From (language, words of a sentence). Words are also counted without their accents."""
     langs = sorted({lang for lang, _ in samples})
     at = {lang: i for i, lang in enumerate(langs)}
-    runs: dict[str, np.ndarray] = {}
-    words: dict[str, np.ndarray] = {}
-    counts = Counter((lang, w) for lang, own in samples for w in own)
-    for (lang, word), n in counts.items():
+    blank = [0.0] * len(langs)
+    runs: dict[str, list[float]] = {}
+    words: dict[str, list[float]] = {}
+    for (lang, word), n in Counter((lang, w) for lang, own in samples for w in own).items():
         bare = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
         for form, weight in ((word, n), (bare, 0.3 * n)) if bare != word else ((word, n),):
-            weight = math.sqrt(weight)
-            words.setdefault(form, np.zeros(len(langs)))[at[lang]] += weight
+            weight, i = math.sqrt(weight), at[lang]
+            words.setdefault(form, blank[:])[i] += weight
             for run in letter_runs(form):
-                runs.setdefault(run, np.zeros(len(langs)))[at[lang]] += weight
+                row = runs.get(run)
+                if row is None:
+                    row = runs[run] = blank[:]
+                row[i] += weight
 
-    def logs(table: dict[str, np.ndarray], smooth: float) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        total = sum(table.values(), np.zeros(len(langs))) + smooth * max(1, len(table))
-        return {k: np.log((v + smooth) / total) for k, v in table.items()}, np.log(smooth / total)
+    def logs(table: dict[str, list[float]], smooth: float) -> tuple[dict[str, int], np.ndarray]:
+        # row 0, of unknown runs and words, speaks for no language
+        values = np.array([blank, *table.values()])
+        total = values.sum(axis=0) + smooth * max(1, len(table))
+        out = np.log((values + smooth) / total)
+        out[0] = 0
+        return {k: i for i, k in enumerate(table, 1)}, out
 
-    run_logs, _ = logs(runs, 0.3)
-    word_logs, _ = logs(words, 0.1)
-    # an unknown run or word speaks for no language
-    return Model(langs, run_logs, word_logs, np.zeros(len(langs)), np.zeros(len(langs)))
+    return Model(langs, *logs(runs, 0.3), *logs(words, 0.1))
 
 
 def viterbi(scores: list[np.ndarray], costs: list[np.ndarray]) -> list[np.ndarray]:
     """Best labels of each text: scores (words, languages), cost of switching before each word.
 
-    Texts of like length go side by side, as many as fit two million cells.
+    Texts of like length go side by side, as many as fill half a million cells.
     """
     out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(scores)
     order = sorted((i for i in range(len(scores)) if len(scores[i])), key=lambda i: len(scores[i]))
     while order:
         longest = len(scores[order[-1]])
-        some, order = order[-max(1, 2_000_000 // longest) :], order[: -max(1, 2_000_000 // longest)]
+        take = max(1, 500_000 // longest)
+        some, order = order[-take:], order[:-take]
         k = scores[some[0]].shape[1]
         sizes = np.array([len(scores[i]) for i in some])
-        best, came = np.zeros((len(some), k)), np.zeros((longest, len(some), k), np.int8)
+        now, cost = np.zeros((longest, len(some), k)), np.zeros((longest, len(some), 1))
+        for j, i in enumerate(some):
+            now[: sizes[j], j], cost[: sizes[j], j, 0] = scores[i], costs[i]
+        best, came = now[0].copy(), np.zeros((longest, len(some), k), np.int8)
         stay = np.arange(k, dtype=np.int8)
-        first = 0
-        for t in range(longest):
-            while sizes[first] <= t:
-                first += 1
-            now = np.stack([scores[i][t] for i in some[first:]])
-            if t:
-                own = best[first:]
-                top = own.argmax(axis=1)
-                moved = own.max(axis=1) - np.array([costs[i][t] for i in some[first:]])
-                switch = moved[:, None] > own
-                came[t, first:] = np.where(switch, top[:, None], stay)
-                best[first:] = np.where(switch, moved[:, None], own) + now
-            else:
-                best[first:] = now
+        first = np.searchsorted(sizes, np.arange(longest), "right")
+        for t in range(1, longest):
+            own = best[first[t] :]
+            moved = own.max(axis=1, keepdims=True) - cost[t, first[t] :]
+            switch = moved > own
+            came[t, first[t] :] = np.where(switch, own.argmax(axis=1)[:, None], stay)
+            best[first[t] :] = np.where(switch, moved, own) + now[t, first[t] :]
+        label = np.zeros((longest, len(some)), np.int8)
+        label[sizes - 1, np.arange(len(some))] = best.argmax(axis=1)
+        for t in range(longest - 1, 0, -1):
+            open_ = np.arange(first[t], len(some))
+            label[t - 1, open_] = came[t, open_, label[t, open_]]
         for j, i in enumerate(some):
-            label = np.zeros(sizes[j], np.int8)
-            label[-1] = best[j].argmax()
-            for t in range(sizes[j] - 1, 0, -1):
-                label[t - 1] = came[t, j, label[t]]
-            out[i] = label
+            out[i] = label[: sizes[j], j]
     return out
 
 
