@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -42,6 +43,10 @@ WIKI_MARKS = r"(?i)\[(?:edit|citation needed|when\?|who\?|why\?|update|clarifica
 PLAIN_SIGNS = (("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", "--"), ("…", "..."))
 _LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 _EDGE = r"(?U)^\s+|\s+$"
+#: Fixed value: the characters between words.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Words of which a boilerplate line holds at least one.
+_BOILERPLATE_WORDS = ("newsletter", "cookie", "privacy", "service", "article", "follow", "subscribe", "advertisement", "sponsored", "rights", "copyright")
 
 
 def trimmed(text: Column) -> Column:
@@ -51,7 +56,8 @@ def trimmed(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The runs between white space of any kind; null for null."""
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    # one pass to plain blanks, and a split by one character, spare the regular expression
+    return F.filter(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:
@@ -118,8 +124,12 @@ def cleaned(text: Column) -> Column:
     t = F.regexp_replace(t, r"(?s)\A---(?U:\s*)\n.*?\n---(?U:\s*)\n", "")
     noise = "(?i)(?U)" + "|".join(f"(?:{p})" for p in BOILERPLATE)
     lines = F.transform(F.split(t, _LINE_END), trimmed)
-    lines = F.filter(lines, lambda x: ~x.rlike(noise) & ~x.rlike(r"(?U)^[|\s:]*-{2,}[|\s:-]*$") & ~x.rlike(r"(?U)^[|\s]+$"))
-    t = F.array_join(F.transform(lines, lambda x: trimmed(F.regexp_replace(x, WIKI_MARKS, ""))), "\n")
+    low = F.lower(t)
+    suspect = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in _BOILERPLATE_WORDS])
+    lines = F.when(suspect, F.filter(lines, lambda x: ~x.rlike(noise))).otherwise(lines)
+    rules = r"(?U)^[|\s:]*-{2,}[|\s:-]*$", r"(?U)^[|\s]+$"
+    lines = F.filter(lines, lambda x: ~((x.startswith("|") | x.startswith("-") | x.startswith(":")) & (x.rlike(rules[0]) | x.rlike(rules[1]))))
+    t = F.array_join(F.transform(lines, lambda x: F.when(F.contains(x, F.lit("[")), trimmed(F.regexp_replace(x, WIKI_MARKS, ""))).otherwise(x)), "\n")
     t = F.regexp_replace(t, r"([!?,;])\1{2,}", "$1")
     return trimmed(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
@@ -170,17 +180,20 @@ def chunks(text: Column, size: int = 512, overlap: int = 64) -> Column:
 
     def parts(s: Column) -> Column:
         # a window of a cut sentence counts as full, so that nothing is packed with it
-        windows = F.transform(fixed_windows(s, size), lambda w: F.struct(w.alias("s"), F.lit(size).alias("n")))
-        return F.when(F.size(words(s)) > size, windows).otherwise(F.array(F.struct(s.alias("s"), F.size(words(s)).alias("n"))))
+        windows = F.transform(fixed_windows(s["s"], size), lambda w: F.struct(w.alias("s"), F.lit(size).alias("n")))
+        return F.when(s["n"] > size, windows).otherwise(F.array(s))
 
     def segments(p: Column) -> Column:
-        return F.when(F.size(words(p)) <= size, F.array(p)).otherwise(_pack(F.flatten(F.transform(sentences(p), parts)), size, " "))
+        return F.when(p["n"] <= size, F.array(p["s"])).otherwise(_pack(F.flatten(F.transform(_counted(sentences(p["s"])), parts)), size, " "))
 
-    merged = _pack(_counted(F.flatten(F.transform(paragraphs, segments))), size, "\n\n")
+    merged = _pack(_counted(F.flatten(F.transform(_counted(paragraphs), segments))), size, "\n\n")
     if overlap <= 0:
         return merged
+    zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("array<string>").alias("last"))
 
-    def tail(s: Column) -> Column:
-        return F.array_join(F.slice(words(s), -F.least(F.lit(overlap), F.size(words(s))), overlap), " ")
+    def opened(acc: Column, s: Column) -> Column:
+        w = words(s)
+        chunk = F.when(acc["last"].isNull(), s).otherwise(F.concat(F.array_join(acc["last"], " "), F.lit("\n\n"), s))
+        return F.struct(F.concat(acc["out"], F.array(chunk)).alias("out"), F.slice(w, -F.least(F.lit(overlap), F.size(w)), overlap).alias("last"))
 
-    return F.transform(merged, lambda s, i: F.when(i == 0, s).otherwise(F.concat(tail(F.get(merged, i - 1)), F.lit("\n\n"), s)))
+    return F.aggregate(merged, zero, opened, lambda acc: acc["out"])

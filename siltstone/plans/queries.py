@@ -20,7 +20,7 @@ from siltstone.operators import crawl, dense, expand, fusion, rerank, sparse, st
 from siltstone.plans import embed, retrieve
 from siltstone.plans import ingest as ingest_plan
 from siltstone.plans.settings import Settings
-from siltstone.sources.tables import ensure_checkpoint_dir, latest, table
+from siltstone.sources.tables import ensure_checkpoint_dir, latest, spread, table
 from siltstone.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,13 +78,17 @@ _BM25 = f"""{_POSTINGS},{_TITLE_QUERIES},{_DOC_WEIGHTS},{_QUERY_WEIGHTS},
 
 
 def _crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest(table(spark, sf_dir, "crawl_results"), "crawl_id")
+    return latest(spread(table(spark, sf_dir, "crawl_results")), "crawl_id")
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(table(spark, sf_dir, "chunk_payloads"), "chunk_id")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def _title_queries(documents: DataFrame) -> DataFrame:
     return documents.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))
 
@@ -165,7 +169,7 @@ def crawl_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, sha256(lower(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(160)))) AS text_hash, sha1(text)[1:16] AS fp FROM documents")
 def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.text_hash(F.col("text")).alias("text_hash"), T.fingerprint(F.col("text")).alias("fp"))
+    return _documents(spark, sf_dir).select("doc_id", T.text_hash(F.col("text")).alias("text_hash"), T.fingerprint(F.col("text")).alias("fp"))
 
 
 @query(
@@ -179,7 +183,7 @@ def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.cleaned(F.col("text")).alias("text"))
+    return _documents(spark, sf_dir).select("doc_id", T.cleaned(F.col("text")).alias("text"))
 
 
 @query(
@@ -188,7 +192,7 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", T.word_count(text).alias("n_words"), T.estimated_tokens(text).alias("n_tokens"), T.truncated(text, 50).alias("head"))
+    return _documents(spark, sf_dir).select("doc_id", T.word_count(text).alias("n_words"), T.estimated_tokens(text).alias("n_tokens"), T.truncated(text, 50).alias("head"))
 
 
 @query(
@@ -196,7 +200,7 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT doc_id, unnest(range(len(s)))::INT AS place, unnest(s) AS sentence FROM parts"""
 )
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("place", "sentence"))
+    return _documents(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("place", "sentence"))
 
 
 @query(
@@ -205,17 +209,17 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT doc_id, (i // 64)::INT AS place, array_to_string(w[i + 1:i + 64], ' ') AS chunk FROM starts"""
 )
 def chunk_fixed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.fixed_windows(F.col("text"), 64)).alias("place", "chunk"))
+    return _documents(spark, sf_dir).select("doc_id", F.posexplode(T.fixed_windows(F.col("text"), 64)).alias("place", "chunk"))
 
 
 @query()
 def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"), 64, 0)).alias("place", "chunk"))
+    return _documents(spark, sf_dir).select("doc_id", F.posexplode(T.chunks(F.col("text"), 64, 0)).alias("place", "chunk"))
 
 
 @query()
 def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"), 128, 16)).alias("place", "chunk"))
+    return _documents(spark, sf_dir).select("doc_id", F.posexplode(T.chunks(F.col("text"), 128, 16)).alias("place", "chunk"))
 
 
 # ---- sparse retrieval
@@ -223,17 +227,17 @@ def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, len({_TOKENS}) AS n, array_to_string({_TOKENS}, ' ') AS tokens FROM documents")
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).alias("n"), F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
+    return _documents(spark, sf_dir).select("doc_id", F.size(T.tokens(F.col("text"))).alias("n"), F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query(f"WITH {_POSTINGS} SELECT * FROM postings")
 def term_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse.postings(table(spark, sf_dir, "documents"))
+    return sparse.postings(_documents(spark, sf_dir))
 
 
 @query(f"WITH {_POSTINGS} SELECT term_id, df, round(ln(1 + (n_docs - df + 0.5) / (df + 0.5)), 9) AS idf FROM counts, stats")
 def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posted = sparse.postings(table(spark, sf_dir, "documents"))
+    posted = sparse.postings(_documents(spark, sf_dir))
     counted = sparse.term_counts(posted).crossJoin(F.broadcast(sparse.collection_stats(posted)))
     return counted.select("term_id", "df", F.round(sparse.idf(F.col("n_docs"), F.col("df")), 9).alias("idf"))
 
@@ -241,7 +245,7 @@ def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_POSTINGS} SELECT n_docs, round(avgdl, 9) AS avgdl FROM stats")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of each language and of documents without one, merged as if they came in batches."""
-    documents = table(spark, sf_dir, "documents")
+    documents = _documents(spark, sf_dir)
     english = sparse.collection_stats(sparse.postings(documents.where("lower(lang) = 'en'")))
     rest = sparse.collection_stats(sparse.postings(documents.where("lang is null or lower(lang) <> 'en'")))
     return sparse.merged_stats(english, rest).select("n_docs", F.round("avgdl", 9).alias("avgdl"))
@@ -249,20 +253,20 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_POSTINGS},{_DOC_WEIGHTS} SELECT doc_id, term_id, tf, dl, round(weight, 9) AS weight FROM weighted WHERE weight > 0")
 def bm25_doc_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posted = sparse.postings(table(spark, sf_dir, "documents"))
+    posted = sparse.postings(_documents(spark, sf_dir))
     return sparse.document_weights(posted, sparse.term_counts(posted), sparse.collection_stats(posted)).withColumn("weight", F.round("weight", 9))
 
 
 @query(f"WITH {_POSTINGS},{_TITLE_QUERIES},{_QUERY_WEIGHTS} SELECT query_id, term_id, round(weight, 9) AS weight FROM query_weights WHERE weight > 0")
 def bm25_query_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = _documents(spark, sf_dir)
     posted = sparse.postings(documents)
     return sparse.query_weights(_title_queries(documents), sparse.term_counts(posted), sparse.collection_stats(posted)).withColumn("weight", F.round("weight", 9))
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm25")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = _documents(spark, sf_dir)
     return sparse.search(_title_queries(documents), documents).withColumn("score", F.round("score", 6))
 
 
@@ -377,7 +381,7 @@ _RERANKED = f"""{_BM25},
 
 
 def _reranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    documents = table(spark, sf_dir, "documents")
+    documents = _documents(spark, sf_dir)
     asked = _title_queries(documents)
     found = sparse.search(asked, documents)
     pairs = found.join(documents.select("doc_id", "url", "title", "text"), "doc_id").join(asked, "query_id")
@@ -416,7 +420,7 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def retrieve_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = _documents(spark, sf_dir)
     embedder = embed.hashed()
     points = documents.select(F.col("doc_id").alias("row_id"), "url", "title", "text", embedder(F.col("text")).alias("embedding"))
     return retrieve.retrieve(_title_queries(documents), points, embedder, Settings(top_k=10, rerank_top_k=3, use_mmr=True))
@@ -444,13 +448,13 @@ _LEAD_SQL = r"(?i)^(what is|what are|how does|how do|why does|why is|when to|whe
         SELECT doc_id, unnest(range(len(v[1:5])))::INT AS place, unnest(v[1:5]) AS variant FROM firsts"""
 )
 def expand_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titled = table(spark, sf_dir, "documents").where("title is not null")
+    titled = _documents(spark, sf_dir).where("title is not null")
     return titled.select("doc_id", F.posexplode(expand.keyword_variants(F.col("title"), 5)).alias("place", "variant"))
 
 
 @query()
 def expand_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titled = table(spark, sf_dir, "documents").where("title is not null")
+    titled = _documents(spark, sf_dir).where("title is not null")
     return titled.select("doc_id", F.posexplode(expand.retrieval_variants(F.col("title"), 4)).alias("place", "variant"))
 
 
@@ -567,7 +571,7 @@ def cache_ttl_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT d.text IN (SELECT text FROM known) AS was_cached, count(*) AS n, count(DISTINCT d.text) AS n_texts FROM documents d WHERE d.text IS NOT NULL GROUP BY 1"""
 )
 def embedding_cache_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").where("text is not null")
+    documents = _documents(spark, sf_dir).where("text is not null")
     embedder = embed.hashed()
     cache = documents.where("lower(trim(source)) = 'docs'").select(embed.cache_key(F.col("text"), "hashed").alias("text_key"), embedder(F.col("text")).alias("vector"))
     done = embed.embedded(documents, cache, embedder)

@@ -41,3 +41,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     shared = sc.getConf().get("spark.checkpoint.dir")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it comes in fewer partitions than there are, for work that is heavy by row.
+
+    So few partitions mean a small table; a large one is left as it is read,
+    without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
