@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -42,16 +43,20 @@ WIKI_MARKS = r"(?i)\[(?:edit|citation needed|when\?|who\?|why\?|update|clarifica
 #: Typographic signs and their plain spelling.
 PLAIN_SIGNS = (("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", "--"), ("…", "..."))
 _LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
-_EDGE = r"(?U)^\s+|\s+$"
 #: Fixed value: the characters between words.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words of which a boilerplate line holds at least one.
 _BOILERPLATE_WORDS = ("newsletter", "cookie", "privacy", "service", "article", "follow", "subscribe", "advertisement", "sponsored", "rights", "copyright")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, _EDGE, "")
+    return F.btrim(text, F.lit(SPACES + " "))
 
 
 def words(text: Column) -> Column:
@@ -122,15 +127,18 @@ def cleaned(text: Column) -> Column:
     for sign, plain in PLAIN_SIGNS:
         t = F.replace(t, F.lit(sign), F.lit(plain))
     t = F.regexp_replace(t, r"(?s)\A---(?U:\s*)\n.*?\n---(?U:\s*)\n", "")
+    return bound(t, _without_noise)
+
+
+def _without_noise(t: Column) -> Column:
     noise = "(?i)(?U)" + "|".join(f"(?:{p})" for p in BOILERPLATE)
+    rules = r"(?U)^[|\s:]*-{2,}[|\s:-]*$", r"(?U)^[|\s]+$"
+    suspect = bound(F.lower(t), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in _BOILERPLATE_WORDS]))
     lines = F.transform(F.split(t, _LINE_END), trimmed)
-    low = F.lower(t)
-    suspect = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in _BOILERPLATE_WORDS])
     lines = F.when(suspect, F.filter(lines, lambda x: ~x.rlike(noise))).otherwise(lines)
-    rules = r"(?U)^[|\s:]*-{2,}[|\s:-]*$", r"(?U)^[|\s]+$"
     lines = F.filter(lines, lambda x: ~((x.startswith("|") | x.startswith("-") | x.startswith(":")) & (x.rlike(rules[0]) | x.rlike(rules[1]))))
-    t = F.array_join(F.transform(lines, lambda x: F.when(F.contains(x, F.lit("[")), trimmed(F.regexp_replace(x, WIKI_MARKS, ""))).otherwise(x)), "\n")
-    t = F.regexp_replace(t, r"([!?,;])\1{2,}", "$1")
+    marked = F.transform(lines, lambda x: F.when(F.contains(x, F.lit("[")), trimmed(F.regexp_replace(x, WIKI_MARKS, ""))).otherwise(x))
+    t = F.regexp_replace(F.array_join(marked, "\n"), r"([!?,;])\1{2,}", "$1")
     return trimmed(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 
@@ -141,9 +149,12 @@ def sentences(text: Column) -> Column:
 
 def fixed_windows(text: Column, size: int) -> Column:
     """Windows of ``size`` words joined by blanks, the last one shorter; empty for a text without words."""
-    w = words(text)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(size))
-    return F.filter(F.transform(starts, lambda i: F.array_join(F.slice(w, i, size), " ")), lambda x: x != "")
+
+    def cut(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(size))
+        return F.filter(F.transform(starts, lambda i: F.array_join(F.slice(w, i, size), " ")), lambda x: x != "")
+
+    return bound(words(text), cut)
 
 
 def _pack(parts: Column, size: int, glue: str) -> Column:
@@ -192,8 +203,7 @@ def chunks(text: Column, size: int = 512, overlap: int = 64) -> Column:
     zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("array<string>").alias("last"))
 
     def opened(acc: Column, s: Column) -> Column:
-        w = words(s)
         chunk = F.when(acc["last"].isNull(), s).otherwise(F.concat(F.array_join(acc["last"], " "), F.lit("\n\n"), s))
-        return F.struct(F.concat(acc["out"], F.array(chunk)).alias("out"), F.slice(w, -F.least(F.lit(overlap), F.size(w)), overlap).alias("last"))
+        return F.struct(F.concat(acc["out"], F.array(chunk)).alias("out"), bound(words(s), lambda w: F.slice(w, -F.least(F.lit(overlap), F.size(w)), overlap)).alias("last"))
 
     return F.aggregate(merged, zero, opened, lambda acc: acc["out"])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.sources.tables import ensure_checkpoint_dir
 
 K1, B = 1.5, 0.75
 
@@ -87,7 +88,8 @@ def search(queries: DataFrame, documents: DataFrame, k: int = 10, idf_power: int
     Weights of queries and documents both hold the idf; idf_power 1 takes it out
     of the query, as textbooks have it. Queries without known terms give no rows.
     """
-    posted = postings(documents)
+    ensure_checkpoint_dir(documents.sparkSession)
+    posted = postings(documents).checkpoint()
     counts, stats = term_counts(posted), collection_stats(posted)
     weights = query_weights(queries, counts, stats)
     if idf_power == 1:

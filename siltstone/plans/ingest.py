@@ -20,8 +20,10 @@ def documents_of(pages: DataFrame, settings: Settings = Settings()) -> DataFrame
     held = pages.where("html is not null and html <> ''")
     if settings.require_ok:
         held = held.where("status_code = 200")
-    page = held.select("page_id", "url", H.parsed(F.col("html")).alias("page")).select("page_id", "url", "page.title", T.cleaned(F.col("page.text")).alias("text"))
-    return page.where("text <> ''").withColumn("word_count", T.word_count(F.col("text")))
+    page = held.select("page_id", "url", H.parsed(F.col("html")).alias("page"))
+    # a generator is computed once, where a filter on a computed column would compute it again
+    text = F.explode(F.filter(F.array(T.cleaned(F.col("page.text"))), lambda t: t != "")).alias("text")
+    return page.select("page_id", "url", "page.title", text).withColumn("word_count", T.word_count(F.col("text")))
 
 
 def chunks_of(documents: DataFrame, settings: Settings = Settings(), keep: tuple[str, ...] = ()) -> DataFrame:
