@@ -7,7 +7,7 @@ exponential tilt, ``r = min(max_repeats, exp(lambda_s * w / mean size of s))``;
 lambda solves a convex dual by Newton steps. Spark sums value and slope of
 every source over a table of (source, size, documents), made once; only the
 few sums of each source come to the driver. A rate becomes copies by rounding
-up with its fractional part as probability, drawn from a hash of the key.
+up or down by a draw from a hash of the key.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ from siltstone.llm.splitting import words_in
 from siltstone.sources.tables import ensure_checkpoint_dir
 
 #: Bound on the sources of a plan; they are collected and broadcast.
-MAX_SOURCES = 10_000
+MAX_SOURCES = 1_000
+#: Bins of the draws of each source, by their distance from the fractional part.
+BINS = 4096
 SPACE = r"[ \t\n\r ]+"
 
 
@@ -137,16 +139,33 @@ def solve(documents: DataFrame, targets: DataFrame, tolerance: float = 1e-9, max
 def mixture(documents: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
     """(doc_id, source, size, rate, copies) of every document of a planned source.
 
-    ``copies`` is at most max_repeats; documents with 0 copies are kept as rows.
+    A rate is rounded up if a draw from a hash of the key lies under its
+    fractional part. Draws that come close are moved for each source together, by
+    a cut found in a table of BINS sums for each source, so that the copies meet
+    the target up to one bin. ``copies`` is at most max_repeats; documents with 0
+    copies are kept as rows.
     """
     size = F.col("size").cast("double")
     rate = F.when(~F.col("reachable"), F.col("max_repeats").cast("double")).otherwise(_tilt(F.col("factor"), size, F.col("mean_size"), F.col("max_repeats")))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)).cast("double") / F.lit(float(1 << 40))
     few = plan.select("source", "max_repeats", "mean_size", "reachable", "factor")
-    return (
-        documents.join(F.broadcast(few), "source")
-        .withColumn("rate", rate)
-        .select("doc_id", "source", "size", "rate", (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int").alias("copies"))
+    rated = documents.join(F.broadcast(few), "source").withColumn("rate", rate).withColumn("whole", F.floor("rate").cast("int"))
+    # documents at their limit have no bin; in bins under BINS / 2 the draw lies under the fractional part
+    place = F.floor((draw - (F.col("rate") - F.col("whole")) + 1) * (BINS // 2)).cast("int")
+    rated = rated.withColumn("bin", F.when(F.col("whole") < F.col("max_repeats"), place))
+    sums = rated.groupBy("source", "bin").agg(F.sum("size").alias("up"), F.sum(F.col("size") * F.col("whole")).alias("base")).collect()
+    cuts = []
+    for p in plan.collect():
+        own = [r for r in sums if r["source"] == p["source"]]
+        gap, cut = p["target_size"] - sum(r["base"] for r in own), 0
+        for r in sorted((r for r in own if r["bin"] is not None), key=lambda r: r["bin"]):
+            if gap < r["up"] / 2:
+                break
+            gap, cut = gap - r["up"], r["bin"] + 1
+        cuts.append((p["source"], cut))
+    moved = plan.sparkSession.createDataFrame(cuts, "source string, cut int")
+    return rated.join(F.broadcast(moved), "source").select(
+        "doc_id", "source", "size", "rate", (F.col("whole") + F.when(F.col("bin") < F.col("cut"), 1).otherwise(0)).cast("int").alias("copies")
     )
 
 
