@@ -21,9 +21,12 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def latest(df: DataFrame, key: str, order: str = "loaded_at") -> DataFrame:
+def latest(df: DataFrame, key: str, order: str = "loaded_at", heavy: bool = False) -> DataFrame:
     """One row for each key: the one with the greatest ``order`` (nulls last).
 
+    ``heavy`` says that costly work by row follows: the rows are then spread over
+    all cores, and small partitions are not merged.
+
     Equal ``order`` values are decided by a hash of the whole row, so that a
     rerun gives the same row. Rows whose key is null have no identity and are
     dropped. An empty table stays empty.
@@ -31,6 +34,9 @@ def latest(df: DataFrame, key: str, order: str = "loaded_at") -> DataFrame:
     rank = free_name(df, "rank_in_key")
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     w = Window.partitionBy(key).orderBy(F.col(order).desc_nulls_last(), row_hash)
+    if heavy:
+        spark = df.sparkSession
+        df = df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
     return df.where(F.col(key).isNotNull()).withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank)
 
 
