@@ -293,12 +293,12 @@ def pages_of(crawls: DataFrame, requests: DataFrame) -> DataFrame:
     or names HTML; null html is left out.
     """
     crawl = (
-        latest(crawls.select("crawl_id", "status_code", "content_type", "html", "loaded_at"), "crawl_id")
+        latest(crawls.select("crawl_id", "status_code", "content_type", "html", "loaded_at"), "crawl_id", heavy=True)
         .where("status_code = 200 and html is not null")
         .where("content_type is null or trim(content_type) = '' or lower(content_type) like '%html%'")
         .select(F.lit("crawl").alias("src"), F.col("crawl_id").alias("row_id"), "html")
     )
-    extract = latest(requests.select("request_id", "html", "loaded_at"), "request_id").where("html is not null")
+    extract = latest(requests.select("request_id", "html", "loaded_at"), "request_id", heavy=True).where("html is not null")
     return crawl.unionByName(extract.select(F.lit("extract").alias("src"), F.col("request_id").alias("row_id"), "html"))
 
 

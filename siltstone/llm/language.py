@@ -286,7 +286,7 @@ def languages(results: DataFrame, samples: DataFrame) -> DataFrame:
     which at least one sentence of that line is written, ``right_label`` null.
     ``confidence`` is the mean over the words concerned. Extra columns are ignored.
     """
-    rows = latest(results.select("result_id", "text", "language", "loaded_at"), "result_id")
+    rows = latest(results.select("result_id", "text", "language", "loaded_at"), "result_id", heavy=True)
     found = language_spans(rows, samples)
     by_line = found.groupBy("result_id", "line_no", "lang").agg(F.sum("n_words").alias("n_words"), F.count("*").alias("n_sentences"), F.sum(F.col("confidence") * F.col("n_words")).alias("sure"))
     by_lang = by_line.groupBy("result_id", "lang").agg(F.sum("n_words").alias("n_words"), F.sum("n_sentences").alias("n_sentences"), F.sum("sure").alias("sure"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import boilerplate, language, leakage, mixing, nearcopies, neighbours, privacy, splitting
-from siltstone.sources.tables import table
+from siltstone.sources.tables import ensure_checkpoint_dir, spread, table
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leakage.leaked_items(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "eval_items"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,16 +60,19 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leakage.without_leaks(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "eval_items"))
 
 
 def _mix(spark: SparkSession, sf_dir: str, size) -> tuple[DataFrame, DataFrame]:
-    documents = mixing.sized(table(spark, sf_dir, "documents"), size)
+    # sizes are used several times; they are counted once
+    ensure_checkpoint_dir(spark)
+    documents = mixing.sized(spread(table(spark, sf_dir, "documents")), size).checkpoint()
     return documents, mixing.solve(documents, table(spark, sf_dir, "mix_targets"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mix(spark, sf_dir, mixing.word_size())[1].where("not reachable").select("source")
+    documents = mixing.sized(table(spark, sf_dir, "documents"), mixing.word_size())
+    return mixing.solve(documents, table(spark, sf_dir, "mix_targets")).where("not reachable").select("source")
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +85,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return privacy.personal_data(table(spark, sf_dir, "documents"), table(spark, sf_dir, "given_names"))
+    return privacy.personal_data(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "given_names"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
