@@ -17,7 +17,7 @@ from siltstone.functions import html as H
 from siltstone.functions import text as T
 from siltstone.functions import urls as U
 from siltstone.operators import crawl, dense, expand, fusion, rerank, sparse, store
-from siltstone.plans import embed, retrieve
+from siltstone.plans import embed, retrieve, services
 from siltstone.plans import ingest as ingest_plan
 from siltstone.plans.settings import Settings
 from siltstone.sources.tables import ensure_checkpoint_dir, latest, spread, table
@@ -597,6 +597,12 @@ def ingest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest_plan.ingest(None, pages, embed.hashed()).drop("embedding")
 
 
+@query()
+def extract_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = store.last_in_order(_crawls(spark, sf_dir).withColumn("url_key", U.url_key(F.col("final_url"))), "url_key", "crawl_id")
+    return services.extract(latest(table(spark, sf_dir, "extract_requests"), "request_id", heavy=True), pages)
+
+
 @query(
     f"""WITH pieces AS (SELECT url, chunk_index, chunk_id, text, len({_WORDS}) AS n FROM {_LAST_CHUNK} WHERE text IS NOT NULL)
         SELECT url, sum(n)::BIGINT AS word_count, count(*) AS n_chunks, sha256(string_agg(text, chr(10) || chr(10) ORDER BY chunk_index, chunk_id)) AS text_hash

@@ -170,3 +170,29 @@ def test_streams(spark, tmp_path):
     seen = jobs.first_seen(jobs.folder(spark, source, first), "at").writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     seen.awaitTermination()
     assert spark.table("seen").count() == 1
+
+
+def test_services(spark):
+    from siltstone.plans import services
+
+    requests = spark.createDataFrame([(1, "q", 5, ["b", "a"], 1, T0), (2, "q", 5, ["a", "b"], 1, T0), (3, "p", 5, None, 1, T0)], "read_id int, query string, n int, engines array<string>, safe int, read_at timestamp")
+    key = requests.where("read_id = 1").select(services.search_key(F.col("query"), F.col("n"), F.col("engines"), F.col("safe"))).head()[0]
+    entries = spark.createDataFrame([(key, "old", T0 - timedelta(seconds=5), T0 + timedelta(seconds=5))], "key string, value string, written_at timestamp, expires_at timestamp")
+    got = services.cached_search(requests, entries, lambda missing: missing.select("key", F.concat(F.lit("new "), "query").alias("value")))
+    assert rows(got.select("read_id", "value", "cached"), "read_id") == [(1, "old", True), (2, "old", True), (3, "new p", False)]
+
+    pages = spark.createDataFrame([("http://a.b/x", 200, PAGE, "http://a.b/x")], "url string, status_code int, html string, final_url string").withColumn("url_key", F.sha2("url", 256))
+    asked = spark.createDataFrame([(1, "<p>inline text", None), (2, None, "HTTP://A.B/x/"), (3, None, None), (4, None, "http://a.b/z"), (5, "", None)], "request_id int, html string, url string")
+    assert rows(services.extract(asked, pages).select("request_id", "text", "word_count", "error"), "request_id") == [
+        (1, "inline text", 2, None), (2, "Head\nOne\ntwo", 3, None), (3, None, None, "needs html or url"), (4, None, None, "not found"), (5, None, None, "no text")
+    ]
+    hits = spark.createDataFrame([("http://a.b/x",), ("http://A.b/x",), ("http://a.b/z",), (None,)], "url string")
+    assert services.search_and_ingest(hits, pages, None, embed.hashed(4)).count() == 1
+
+
+def test_tables(spark):
+    from siltstone.sources import schemas
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS made")
+    assert set(schemas.create_tables(spark, "made")) == set(schemas.TABLES) and schemas.create_tables(spark, "made") == []
+    assert schemas.collection_layout(spark, "made.chunks") == "hybrid" and schemas.collection_layout(spark, "made.none") == "missing"
