@@ -43,7 +43,8 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 10, by: list[str] | Non
     usable = "vector is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x))"
     q = queries.where(usable).withColumn("width", F.size("vector"))
     r = rows.where(usable).withColumn("width", F.size("vector"))
-    n_q, n_r = (max(1, -(-d.count() // BLOCK)) for d in (q, r))
+    # counted before vectors are looked at, so that computed ones are not computed for it
+    n_q, n_r = (max(1, -(-d.count() // BLOCK)) for d in (queries, rows))
     q = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))))
     r = r.withColumn("rb", F.pmod(F.xxhash64("row_id"), F.lit(n_r))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
     keys = [*by, "width", "qb", "rb"]
