@@ -77,12 +77,14 @@ _BM25 = f"""{_POSTINGS},{_TITLE_QUERIES},{_DOC_WEIGHTS},{_QUERY_WEIGHTS},
 # ---- inputs
 
 
-def _crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest(spread(table(spark, sf_dir, "crawl_results")), "crawl_id")
+def _crawls(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The named columns of the last delivery of each crawl; only they are shuffled."""
+    return latest(table(spark, sf_dir, "crawl_results").select("crawl_id", *columns, "loaded_at"), "crawl_id", heavy="html" in columns)
 
 
-def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest(table(spark, sf_dir, "chunk_payloads"), "chunk_id")
+def _chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The named columns of the last delivery of each chunk; only they are shuffled."""
+    return latest(table(spark, sf_dir, "chunk_payloads").select("chunk_id", *columns, "loaded_at"), "chunk_id")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,22 +100,22 @@ def _title_queries(documents: DataFrame) -> DataFrame:
 
 @query(f"SELECT crawl_id, {_NORMAL} AS normal_url FROM {_LAST_CRAWL}")
 def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _crawls(spark, sf_dir).select("crawl_id", U.normalize_url(F.col("url")).alias("normal_url"))
+    return _crawls(spark, sf_dir, "url").select("crawl_id", U.normalize_url(F.col("url")).alias("normal_url"))
 
 
 @query(f"SELECT crawl_id, sha256({_NORMAL}) AS url_key FROM {_LAST_CRAWL}")
 def url_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _crawls(spark, sf_dir).select("crawl_id", U.url_key(F.col("url")).alias("url_key"))
+    return _crawls(spark, sf_dir, "url").select("crawl_id", U.url_key(F.col("url")).alias("url_key"))
 
 
 @query(f"SELECT crawl_id, url FROM {_LAST_CRAWL} QUALIFY row_number() OVER (PARTITION BY {_NORMAL} ORDER BY crawl_id) = 1")
 def url_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.distinct_urls(_crawls(spark, sf_dir), order="crawl_id").select("crawl_id", "url")
+    return crawl.distinct_urls(_crawls(spark, sf_dir, "url"), order="crawl_id").select("crawl_id", "url")
 
 
-@query("SELECT lower(regexp_extract(trim(url), '^[A-Za-z]+://([^/?#]*)', 1)) AS domain, count(*) AS n FROM crawl_state GROUP BY 1")
+@query("SELECT lower(regexp_extract(trim(url), '^[A-Za-z]+://([^/?#]*)', 1)) AS domain, count(DISTINCT id) AS n FROM crawl_state GROUP BY 1")
 def url_domain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "crawl_state").groupBy(U.domain(U.stripped(F.col("url"))).alias("domain")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "crawl_state").groupBy(U.domain(U.stripped(F.col("url"))).alias("domain")).agg(F.count_distinct("id").alias("n"))
 
 
 @query(
@@ -126,13 +128,13 @@ def url_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def html_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = _crawls(spark, sf_dir).where("html <> ''").select("crawl_id", H.parsed(F.col("html")).alias("page"))
+    page = _crawls(spark, sf_dir, "html").where("html <> ''").select("crawl_id", H.parsed(F.col("html")).alias("page"))
     return page.select("crawl_id", "page.title", "page.text", T.word_count(F.col("page.text")).alias("word_count"))
 
 
 @query()
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.page_links(_crawls(spark, sf_dir).where("html <> ''").select(F.col("crawl_id").alias("url"), F.col("final_url").alias("base"), "html")).withColumnRenamed("url", "crawl_id")
+    return crawl.page_links(_crawls(spark, sf_dir, "html", "final_url").where("html <> ''").select(F.col("crawl_id").alias("url"), F.col("final_url").alias("base"), "html")).withColumnRenamed("url", "crawl_id")
 
 
 @query(
@@ -144,14 +146,14 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def crawl_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = latest(table(spark, sf_dir, "ingest_requests"), "request_id").select(F.explode("urls").alias("url"))
-    pages = _crawls(spark, sf_dir).withColumn("url_key", U.url_key(F.col("final_url")))
+    pages = _crawls(spark, sf_dir, "status_code", "html", "final_url").withColumn("url_key", U.url_key(F.col("final_url")))
     got = crawl.crawl(asked, store.last_in_order(pages, "url_key", "crawl_id"))
     return got.groupBy(F.coalesce("status_code", F.lit(-1)).alias("status"), F.col("error").isNotNull().alias("failed")).agg(F.count("*").alias("n"))
 
 
 @query()
 def crawl_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = store.last_in_order(_crawls(spark, sf_dir).where("html <> ''"), "final_url", "crawl_id")
+    pages = store.last_in_order(_crawls(spark, sf_dir, "html", "final_url").where("html <> ''"), "final_url", "crawl_id")
     links = crawl.page_links(pages.select(F.col("final_url").alias("url"), F.col("final_url").alias("base"), "html"))
     return crawl.walk(pages.select(F.col("final_url").alias("url")), links, depth=2, budget=None).groupBy("level").agg(F.count("*").alias("n"))
 
@@ -161,7 +163,7 @@ def crawl_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
                OR length(coalesce(html, '')) BETWEEN 1 AND 499 AS again FROM {_LAST_CRAWL}"""
 )
 def crawl_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _crawls(spark, sf_dir).select("crawl_id", crawl.needs_browser(F.col("status_code"), F.col("html")).alias("again"))
+    return _crawls(spark, sf_dir, "status_code", "html").select("crawl_id", crawl.needs_browser(F.col("status_code"), F.col("html")).alias("again"))
 
 
 # ---- texts
@@ -178,7 +180,7 @@ def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
                substr('89ab', ('0x' || d[17])::INT % 4 + 1, 1) || d[18:20] || '-' || d[21:32] AS point_id FROM digests"""
 )
 def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunks(spark, sf_dir).select("chunk_id", T.point_id(F.col("url"), F.col("chunk_index")).alias("point_id"))
+    return _chunks(spark, sf_dir, "url", "chunk_index").select("chunk_id", T.point_id(F.col("url"), F.col("chunk_index")).alias("point_id"))
 
 
 @query()
@@ -291,7 +293,7 @@ def _sparse_list(chunks: DataFrame) -> DataFrame:
 
 @query(f"WITH {_SPARSE_LIST} SELECT query_id, row_id, round(score, 6) AS score, rank FROM sparse_list")
 def sparse_dot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sparse_list(_chunks(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return _sparse_list(_chunks(spark, sf_dir, "collection", "sparse_indices", "sparse_values")).withColumn("score", F.round("score", 6))
 
 
 # ---- dense retrieval
@@ -343,7 +345,7 @@ def _dense_list(chunks: DataFrame) -> DataFrame:
 
 @query(f"WITH {_DENSE_LIST} SELECT query_id, row_id, round(score, 6) AS score, rank FROM dense_list")
 def knn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dense_list(_chunks(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return _dense_list(_chunks(spark, sf_dir, "collection", "embedding")).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -355,7 +357,7 @@ def knn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM fused QUALIFY rank <= 10"""
 )
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _chunks(spark, sf_dir)
+    chunks = _chunks(spark, sf_dir, "collection", "embedding", "sparse_indices", "sparse_values")
     near = _dense_list(chunks).select("query_id", "row_id", "rank", F.lit(0).alias("list_id"), F.lit(fusion.FIRST_WEIGHT).alias("weight"))
     terms = _sparse_list(chunks).select("query_id", "row_id", "rank", F.lit(1).alias("list_id"), F.lit(fusion.SPARSE_WEIGHT).alias("weight"))
     return fusion.reciprocal_rank_fusion(near.unionByName(terms)).where("rank <= 10").withColumn("score", F.round("score", 9))
@@ -479,7 +481,7 @@ def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT url, count(*) AS n FROM points GROUP BY url"""
 )
 def replace_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _chunks(spark, sf_dir).select("chunk_id", "url", "ingest_id", "loaded_at")
+    chunks = _chunks(spark, sf_dir, "url", "ingest_id").select("chunk_id", "url", "ingest_id", "loaded_at")
     replacing = table(spark, sf_dir, "ingest_requests").where("replace_old").select(F.col("request_id").alias("ingest_id"))
     points = store.replace_by_url(chunks, chunks.join(replacing, "ingest_id", "left_semi"), "loaded_at", key="chunk_id")
     return points.groupBy("url").agg(F.count("*").alias("n"))
@@ -491,14 +493,14 @@ def replace_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def delete_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = table(spark, sf_dir, "crawl_state").where("status = 'failed'").select("url")
-    return store.delete_by(_chunks(spark, sf_dir).select("chunk_id", "url"), failed, "url")
+    return store.delete_by(_chunks(spark, sf_dir, "url").select("chunk_id", "url"), failed, "url")
 
 
 @query(
     f"""SELECT chunk_id FROM {_LAST_CHUNK} WHERE collection = 'handbook' AND language = 'en' AND chunk_index = 0"""
 )
 def payload_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _chunks(spark, sf_dir).select("chunk_id", "collection", "chunk_index", F.create_map(F.lit("language"), "language").alias("extra"))
+    chunks = _chunks(spark, sf_dir, "collection", "chunk_index", "language").select("chunk_id", "collection", "chunk_index", F.create_map(F.lit("language"), "language").alias("extra"))
     return store.payload_filter(chunks, {"collection": "handbook", "language": "en", "chunk_index": 0}).select("chunk_id")
 
 
@@ -593,13 +595,13 @@ def health_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ingest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _crawls(spark, sf_dir).select(F.col("crawl_id").alias("page_id"), F.col("final_url").alias("url"), "status_code", "html")
+    pages = _crawls(spark, sf_dir, "final_url", "status_code", "html").select(F.col("crawl_id").alias("page_id"), F.col("final_url").alias("url"), "status_code", "html")
     return ingest_plan.ingest(None, pages, embed.hashed()).drop("embedding")
 
 
 @query()
 def extract_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = store.last_in_order(_crawls(spark, sf_dir).withColumn("url_key", U.url_key(F.col("final_url"))), "url_key", "crawl_id")
+    pages = store.last_in_order(_crawls(spark, sf_dir, "final_url", "status_code", "html").withColumn("url_key", U.url_key(F.col("final_url"))), "url_key", "crawl_id")
     return services.extract(latest(table(spark, sf_dir, "extract_requests"), "request_id", heavy=True), pages)
 
 
@@ -610,7 +612,7 @@ def extract_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rejoined_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks of each URL joined again in order, and the sum of their words."""
-    pieces = _chunks(spark, sf_dir).where("text is not null").withColumn("n", T.word_count(F.col("text")))
+    pieces = _chunks(spark, sf_dir, "url", "chunk_index", "text").where("text is not null").withColumn("n", T.word_count(F.col("text")))
     joined = pieces.groupBy("url").agg(
         F.sum("n").alias("word_count"), F.count("*").alias("n_chunks"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "text"))), lambda c: c["text"]), "\n\n"), 256).alias("text_hash")
     )
