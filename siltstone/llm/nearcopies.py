@@ -122,7 +122,7 @@ def _members_and_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(names[first]), pa.nulls(len(key), pa.int64())], names=head)
 
 
-def _same_key(key: np.ndarray, own: np.ndarray, hot_key: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def _same_key(key: np.ndarray, own: np.ndarray, hot_key: int | None, block: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(a, b, CANDIDATE) and (key, class, HOT) over whole keys, ordered by key and class."""
     fresh = np.ones(len(key), dtype=bool)
     fresh[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
@@ -131,17 +131,17 @@ def _same_key(key: np.ndarray, own: np.ndarray, hot_key: int | None) -> Iterator
     sizes = np.diff(np.append(starts, len(key)))
     for at in np.flatnonzero((sizes > 1) | (key[starts] == hot_key) if hot_key is not None else sizes > 1):
         part = slice(starts[at], starts[at] + sizes[at])
-        if sizes[at] > BLOCK or key[starts[at]] == hot_key:
+        if sizes[at] > block or key[starts[at]] == hot_key:
             yield key[part], own[part], HOT
         else:
             i, j = np.triu_indices(sizes[at], 1)
             yield own[part][i], own[part][j], CANDIDATE
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
     """Over rows (key, class, at) ordered by key and class: the classes that share a key.
 
-    Gives (a, b, CANDIDATE), and for a key with more than BLOCK classes
+    Gives (a, b, CANDIDATE), and for a key with more than ``block`` classes
     (key, class, HOT) instead; rows of members pass as (chunk_id, class, MEMBER).
     At most one batch and the open key are held.
     """
@@ -165,15 +165,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(key):
             continue
         last = int(np.searchsorted(key, key[-1], "left"))
-        if last == 0 and len(key) > 4 * BLOCK:
+        if last == 0 and len(key) > 4 * block:
             # one key fills all that is held: it is hot, and what is held can go
             hot_key = int(key[-1])
             yield from rows([(key, own, HOT)])
             carry_key, carry_class = key[:0], own[:0]
             continue
-        yield from rows(list(_same_key(key[:last], own[:last], hot_key)))
+        yield from rows(list(_same_key(key[:last], own[:last], hot_key, block)))
         carry_key, carry_class = key[last:], own[last:]
-    yield from rows(list(_same_key(carry_key, carry_class, hot_key)))
+    yield from rows(list(_same_key(carry_key, carry_class, hot_key, block)))
 
 
 def _sets(with_bits: bool):
@@ -199,14 +199,14 @@ def _sets(with_bits: bool):
     return run
 
 
-def _within_blocks(hot: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _within_blocks(hot: DataFrame, texts: DataFrame, threshold: float, block: int) -> DataFrame:
     """Candidates (a, b) among the classes of hot keys, by pairs of blocks.
 
-    Each key has blocks enough to hold about BLOCK classes each; a pair of
+    Each key has blocks enough to hold about ``block`` classes each; a pair of
     blocks meets in one task. Pairs pass if the share of equal signature bits is
     not more than five deviations under what the threshold leads to expect.
     """
-    sizes = hot.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = hot.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     bits = texts.mapInArrow(_sets(True), "class bigint, bits binary").groupBy("class").agg(F.max("bits").alias("bits"))
     placed = hot.join(sizes, "key").join(bits, "class").withColumn("mine", F.pmod(F.xxhash64("class", "key"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -224,8 +224,8 @@ def _within_blocks(hot: DataFrame, texts: DataFrame, threshold: float) -> DataFr
         signs = np.unpackbits(np.stack([np.frombuffer(x, np.uint8) for x in group["bits"].to_pylist()]), axis=1)[:, :n].astype(np.float32) * 2 - 1
         left, right = (np.flatnonzero(mine == k) for k in (i, j))
         a, b = [], []
-        for at in range(0, len(left), BLOCK):
-            part = left[at : at + BLOCK]
+        for at in range(0, len(left), block):
+            part = left[at : at + block]
             x, y = np.nonzero((signs[part] @ signs[right].T + n) / 2 >= least)
             a.append(own[part[x]]), b.append(own[right[y]])
         a, b = np.concatenate(a) if a else own[:0], np.concatenate(b) if b else own[:0]
@@ -234,7 +234,7 @@ def _within_blocks(hot: DataFrame, texts: DataFrame, threshold: float) -> DataFr
     return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
-def near_copies(chunks: DataFrame, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
+def near_copies(chunks: DataFrame, threshold: float = 0.6, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Members (chunk_id, class) and links (a, b, similarity) between classes, a < b.
 
     ``chunks(chunk_id, text, loaded_at)``; each chunk counts in its last loaded
@@ -252,14 +252,14 @@ def near_copies(chunks: DataFrame, threshold: float = 0.6) -> tuple[DataFrame, D
         .mapInArrow(_members_and_keys, "key bigint, class bigint, at bigint")
         .repartition("key")
         .sortWithinPartitions("key", "class")
-        .mapInArrow(_meet, "a bigint, b bigint, kind int, at bigint")
+        .mapInArrow(lambda batches: _meet(batches, block), "a bigint, b bigint, kind int, at bigint")
         .checkpoint()
     )
     members = met.where(F.col("kind") == MEMBER).groupBy(F.col("a").alias("chunk_id")).agg(F.max(F.struct("at", "b")).getField("b").alias("class"))
     candidates = met.where(F.col("kind") == CANDIDATE).select("a", "b")
     hot = met.where(F.col("kind") == HOT).select(F.col("a").alias("key"), F.col("b").alias("class")).distinct()
     if not hot.isEmpty():
-        candidates = candidates.unionByName(_within_blocks(hot, texts.select("text"), threshold))
+        candidates = candidates.unionByName(_within_blocks(hot, texts.select("text"), threshold, block))
     candidates = candidates.distinct()
     involved = candidates.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     sets = (
