@@ -53,10 +53,10 @@ def test_pairs_against_brute_force(spark, chunk_rows):
     assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 50
 
 
-def test_hot_keys_take_the_way_over_blocks(spark, monkeypatch):
-    monkeypatch.setattr(nearcopies, "BLOCK", 4)
+@pytest.mark.parametrize("block", [2, 8])
+def test_hot_keys_take_the_way_over_blocks(spark, block):
     rows = list(enumerate(make(np.random.default_rng(5), 40, 1)))
-    got = [tuple(r) for r in nearcopies.pairs(*nearcopies.near_copies(table(spark, rows))).collect()]
+    got = [tuple(r) for r in nearcopies.pairs(*nearcopies.near_copies(table(spark, rows), block=block)).collect()]
     want = brute(rows)
     assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.97 * len(want) and len(want) > 300
 
@@ -107,13 +107,14 @@ def test_neighbours_small_are_exact(spark):
     assert got == want
 
 
-def test_tree_recall(spark, monkeypatch):
+@pytest.mark.parametrize("dense_leaf", [4096, 60])
+def test_tree_recall(spark, monkeypatch, dense_leaf):
     monkeypatch.setattr(neighbours, "EXACT_ROWS", 200)
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(30, 16))
     x = (centres[rng.integers(0, 30, 3000)] + 0.35 * rng.normal(size=(3000, 16))).astype(np.float32)
     collections = ["a" if i % 5 else "b" for i in range(3000)]
-    near = neighbours.neighbours(chunk_vectors(spark, x, collections), k=10, width=16, least=0.85)
+    near = neighbours.neighbours(chunk_vectors(spark, x, collections), k=10, width=16, least=0.85, dense_leaf=dense_leaf)
     got = {(r.chunk_id, r.neighbour_id) for r in near.select("chunk_id", "neighbour_id").collect()}
     unit = neighbours.unit(x)
     score = unit @ unit.T
