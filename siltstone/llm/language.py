@@ -50,7 +50,8 @@ _CODES = {name: code for code, names in SPELLINGS.items() for name in names.spli
 
 SENTENCE_END = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+")
 QUOTED = re.compile("“[^“”\n]*”|«[^«»\n]*»|„[^„“”\n]*[“”]|\"[^\"\n]*\"|`[^`\n]*`")
-PLACE = re.compile(r"https?://\S+|www\.\S+|\S+@\S+|\S*[_=<>{}\\/|$#]\S*|\S*\d\S*")
+#: A token with one of these is an address, code or a number.
+NO_WORD = re.compile(r"[@_=<>{}\\/|$#\d]|\bwww\.")
 CODE_LINE = re.compile(r"\s*(?:[$>#]\s|\S+\s*=\s*\S+\s*$)")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
@@ -71,7 +72,9 @@ def sentences(text: str) -> Iterator[tuple[int, list[str]]]:
     for line_no, line in enumerate(text.split("\n")):
         if not line or CODE_LINE.match(line):
             continue
-        plain = PLACE.sub(" ", QUOTED.sub(" ", unicodedata.normalize("NFC", line)))
+        plain = QUOTED.sub(" ", unicodedata.normalize("NFC", line))
+        if NO_WORD.search(plain):
+            plain = " ".join(token for token in plain.split() if not NO_WORD.search(token))
         for sentence in SENTENCE_END.split(plain):
             if words := WORD.findall(sentence.lower()):
                 yield line_no, words
@@ -86,27 +89,37 @@ def letter_runs(word: str) -> Iterator[str]:
 
 @dataclass
 class Model:
-    """Log-probabilities for each language: of letter runs and words, row 0 for unknown ones. ``score`` keeps what it made."""
+    """Log-probabilities for each language: of letter runs and words, row 0 for unknown ones."""
 
     langs: list[str]
     run_rows: dict[str, int]
     run_logs: np.ndarray
     word_rows: dict[str, int]
     word_logs: np.ndarray
-    made: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def score(self, word: str) -> np.ndarray:
-        found = self.made.get(word)
-        if found is None:
-            if len(self.made) > 500_000:
-                self.made.clear()
-            rows = self.run_rows
-            total = RUN_WEIGHT * self.run_logs[[rows.get(run, 0) for run in letter_runs(word)]].sum(axis=0) + self.word_logs[self.word_rows.get(word, 0)]
-            script = np.array([(lang in CYRILLIC) == bool(CYRILLIC_LETTER.search(word)) for lang in self.langs])
-            if script.any():
-                total = np.where(script, total, -np.inf)
-            found = self.made[word] = np.maximum(total - total.max(), -SPREAD)
-        return found
+    place: dict[str, int] = field(default_factory=dict)
+    made: np.ndarray | None = None
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """One row for each word; the rows of words met before are kept, up to half a million."""
+        if len(self.place) > 500_000:
+            self.place.clear()
+        if fresh := sorted({w for w in words if w not in self.place}):
+            rows = np.stack([self._score(w) for w in fresh])
+            start = len(self.place)
+            self.made = rows if start == 0 else np.concatenate([self.made[:start], rows])
+            self.place.update(zip(fresh, range(start, start + len(fresh))))
+        if not words:
+            return np.zeros((0, len(self.langs)))
+        return self.made[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
+
+    def _score(self, word: str) -> np.ndarray:
+        rows = self.run_rows
+        total = RUN_WEIGHT * self.run_logs[[rows.get(run, 0) for run in letter_runs(word)]].sum(axis=0) + self.word_logs[self.word_rows.get(word, 0)]
+        cyrillic = bool(CYRILLIC_LETTER.search(word))
+        script = np.array([(lang in CYRILLIC) == cyrillic for lang in self.langs])
+        if script.any():
+            total = np.where(script, total, -np.inf)
+        return np.maximum(total - total.max(), -SPREAD)
 
 
 def fit(samples: list[tuple[str, list[str]]]) -> Model:
@@ -182,13 +195,13 @@ def spans(model: Model, texts: list[str | None], hints: list[str | None] | None
     the softmax of the summed word scores, halved towards 0.5 by short evidence.
     """
     parsed = [list(sentences(t)) if t else [] for t in texts]
-    scores, costs = [], []
+    every = model.scores([w for own in parsed for _, words in own for w in words])
+    scores, costs, start = [], [], 0
     for own, hint in zip(parsed, hints or [None] * len(parsed)):
-        bonus = np.array([HINT * (lang == hint) for lang in model.langs])
-        rows = [model.score(w) + bonus for _, words in own for w in words]
-        scores.append(np.stack(rows) if rows else np.zeros((0, len(model.langs))))
-        cost = np.full(len(rows), INSIDE)
-        at, before = 0, None
+        end = start + sum(len(words) for _, words in own)
+        score = every[start:end]
+        scores.append(score if hint is None else score + np.array([HINT * (lang == hint) for lang in model.langs]))
+        cost, at, before, start = np.full(len(score), INSIDE), 0, None, end
         for line, words in own:
             cost[at] = BETWEEN_SENTENCES if line == before else BETWEEN_LINES
             at, before = at + len(words), line
