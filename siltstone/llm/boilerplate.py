@@ -6,8 +6,10 @@ by a Gaussian along the page and clustered into two by threshold, and the
 lines above it are the content lines. The region around them is the element
 that holds the headline, or without headline the element whose own lines weigh
 most among the content lines. Of that region, what belongs to the article
-itself is kept: its own lines, lists and data tables, not the elements nested
-in it and not lines that are links as a whole.
+itself is kept: its own lines, lists and data tables, and the elements nested in
+it, at any depth, whose text is for the greater part content lines, or which are
+data (cells of a table, code, captions). Furniture, teasers and lines that are
+links as a whole are left out.
 """
 
 from __future__ import annotations
@@ -35,6 +37,9 @@ FURNITURE_WORDS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Deviation of the Gaussian in lines, and its reach.
 SIGMA, REACH = 1.0, 3
+#: Holders of data, whose short lines say nothing by their ratio; and the least number of cells of a table of data.
+DATA, LEAST_CELLS = frozenset("td th pre caption figcaption".split()), 4
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A line with this share of its text in links is a link.
 LINK_SHARE = 0.9
 
@@ -47,6 +52,7 @@ class Region:
     tag: str
     furniture: bool
     has_blocks: bool = False
+    table: int = 0
 
 
 @dataclass(slots=True)
@@ -57,6 +63,7 @@ class Line:
     region: int
     holder: str
     list_no: int
+    table: int = 0
     ratio: float = 0.0
 
 
@@ -74,16 +81,21 @@ class Lines(HTMLParser):
         self.text: list[str] = []
         self.tags = self.link_chars = self.links = self.seen_tags = 0
         self.lists = self.list_no = 0
+        #: open tables: depth and number
+        self.tables: list[tuple[int, int]] = []
+        self.seen_tables = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
             holder = self.open[-1][0] if self.open else ""
-            self.lines.append(Line(text, self.tags, self.link_chars, self.region, holder, self.list_no))
+            self.lines.append(Line(text, self.tags, self.link_chars, self.region, holder, self.list_no, self.tables[-1][1] if self.tables else 0))
         self.text, self.tags, self.link_chars = [], 0, 0
 
     def _close(self, upto: int) -> None:
         del self.open[upto:]
+        while self.tables and self.tables[-1][0] >= upto:
+            self.tables.pop()
         self.region = self.open[-1][1] if self.open else 0
 
     def _close_open(self, tags: tuple[str, ...], within: tuple[str, ...]) -> None:
@@ -122,12 +134,15 @@ class Lines(HTMLParser):
         if tag in ("ul", "ol"):
             self.lists += 1
             self.list_no = self.lists
+        if tag == "table":
+            self.seen_tables += 1
+            self.tables.append((len(self.open), self.seen_tables))
         if tag in REGIONS:
             # an element without blocks of its own is a line of the one around it
             names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v).lower().replace("_", " ").replace("-", " ").split()
             furniture = self.regions[self.region].furniture or tag in FURNITURE or not FURNITURE_WORDS.isdisjoint(names)
             self.regions[self.region].has_blocks = True
-            self.regions.append(Region(self.region, tag, furniture))
+            self.regions.append(Region(self.region, tag, furniture, table=self.tables[-1][1] if self.tables else 0))
             self.region = len(self.regions) - 1
         elif tag not in ("tr", "tbody", "thead", "tfoot"):
             self.regions[self.region].has_blocks = True
@@ -214,29 +229,118 @@ def main_lines(page: Lines) -> list[bool]:
     mass = _mass(lines, home, content, regions) or _mass(lines, home, [not link for link in full], regions)
 
     head = next((i for i, line in enumerate(lines) if line.holder == "h1"), None)
-    region = None
+    region, kept = None, set()
     if head is not None:
         region = home[head]
         while regions[region].tag == "header" and region:
             region = regions[region].parent
-        if not any(at == region and line.holder not in ("h1", "h2", "h3") for at, line in zip(home, lines)):
+        if any(at == region and line.holder not in ("h1", "h2", "h3") for at, line in zip(home, lines)):
+            kept = {region}
+        else:
+            # a region of headings alone: its body is what is nested in it
             inner = {at: m for at, m in mass.items() if _inside(regions, at, region)}
-            if inner:
-                below = max(inner, key=inner.get)
-                return [i == head or (at == below and not link and _own(line)) for i, (line, at, link) in enumerate(zip(lines, home, full))]
+            kept = {max(inner, key=inner.get)} if inner else {region}
     elif mass:
         region = max(mass, key=mass.get)
+        kept = {region}
     if region is None:
         return [False] * len(lines)
+    kept |= _nested(lines, home, content, full, smooth, border, regions, region, kept)
     # a list of nothing but links is a list of related pages
     linked: dict[int, bool] = {}
     for line, link in zip(lines, full):
         if line.list_no:
             linked[line.list_no] = linked.get(line.list_no, True) and link
-    return [
-        i == head or (at == region and not link and not (line.list_no and linked[line.list_no]) and _own(line))
+    good = [
+        i == head or (at in kept and not link and not (line.list_no and linked[line.list_no]) and _own(line))
         for i, (line, at, link) in enumerate(zip(lines, home, full))
     ]
+    if region not in kept:
+        # headings of the region stand over what follows them
+        for i in range(len(lines) - 2, -1, -1):
+            good[i] = good[i] or (home[i] == region and lines[i].holder in HEADINGS and not full[i] and good[i + 1] and home[i + 1] != region)
+    return good
+
+
+def _nested(
+    lines: list[Line], home: list[int], content: list[bool], full: list[bool], smooth: list[float], border: float, regions: list[Region], outer: int, kept: set[int]
+) -> set[int]:
+    """The elements within ``outer`` that belong to its article, each reached by elements that do, or that have no lines.
+
+    An element belongs if its own text is for the greater part content lines, one
+    of them by its own ratio, or if all of it is data. A line alone in an element
+    that is no section must have three quarters of the usual length of content lines, as
+    notices are set so. Furniture, elements of teasers and articles in an article
+    or beside another one do not belong.
+    """
+    own: dict[int, list[int]] = {}
+    cells: dict[int, int] = {}
+    for i, at in enumerate(home):
+        own.setdefault(at, []).append(i)
+        if lines[i].holder in ("td", "th"):
+            cells[lines[i].table] = cells.get(lines[i].table, 0) + 1
+    articles: dict[int, int] = {}
+    for at, element in enumerate(regions):
+        if element.tag == "article" and not element.furniture:
+            articles[element.parent] = articles.get(element.parent, 0) + 1
+        if element.tag in ("td", "th") and element.has_blocks:
+            cells[element.table] = cells.get(element.table, 0) + 1
+
+    long = [len(line.text) for line, good in zip(lines, content) if good]
+    usual = sum(long) / max(1, len(long))
+    # where all lines are alike, two clusters would cut between equals
+    high = [value for value, good in zip(smooth, content) if good]
+    least = min(border, sum(high) / max(1, len(high)) / 2)
+
+    def belongs(at: int) -> bool:
+        element, rows = regions[at], own[at]
+        heads = sum(lines[i].holder in HEADINGS for i in rows)
+        small = sum(lines[i].holder in HEADINGS - {"h1", "h2"} for i in rows)
+        text = [i for i in rows if lines[i].holder not in HEADINGS and not full[i]]
+        if not text or any(not _own(lines[i]) for i in rows) or 2 * sum(full[i] for i in rows) > len(rows):
+            return False
+        if all(lines[i].holder in DATA for i in text):
+            return True
+        if element.tag in ("td", "th") and not heads and element.table and cells.get(element.table, 0) >= LEAST_CELLS:
+            return True
+        if element.tag != "section" and 2 * small >= len(rows):
+            return False
+        size = sum(len(lines[i].text) for i in text)
+        if element.tag != "section" and len(text) == 1 and size < 0.75 * usual:
+            return False
+        return 2 * sum(len(lines[i].text) for i in text if smooth[i] >= least) >= size and max(len(lines[i].text) / max(1, lines[i].tags) for i in text) >= least
+
+    in_article = {outer: any(regions[at].tag == "article" for at in _upward(regions, outer))}
+    found: set[int] = set()
+    headed: list[int] = []
+    for at in range(outer + 1, len(regions)):
+        element = regions[at]
+        if element.parent not in in_article or element.furniture:
+            continue
+        if element.tag == "article" and at not in kept and (in_article[element.parent] or articles[element.parent] > 1):
+            continue
+        rows = own.get(at, [])
+        if at not in kept and rows:
+            if all(lines[i].holder in HEADINGS for i in rows):
+                if element.tag != "section" and any(lines[i].holder not in ("h1", "h2") for i in rows):
+                    continue
+                headed.append(at)
+            elif belongs(at):
+                found.add(at)
+            else:
+                continue
+        in_article[at] = in_article[element.parent] or element.tag == "article"
+    # headings alone count with what they stand over
+    for at in reversed(headed):
+        if any(_inside(regions, below, at) for below in found | kept):
+            found.add(at)
+    return found
+
+
+def _upward(regions: list[Region], at: int) -> Iterator[int]:
+    while at > 0:
+        yield at
+        at = regions[at].parent
 
 
 def _mass(lines: list[Line], home: list[int], counted: list[bool], regions: list[Region]) -> dict[int, float]:

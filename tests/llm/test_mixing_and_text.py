@@ -71,6 +71,19 @@ def test_main_body_odd_pages():
     assert main(deep) == [ARTICLE]
 
 
+def test_main_body_of_nested_elements():
+    lead, code = f"Lead. {ARTICLE}", "<div class=code><pre>x = 1</pre></div>"
+    page = f"<main><h1>H</h1><p>{lead}</p><section><h2>Sub</h2><p>{ARTICLE}</p></section><div class=wrap><table><tr><td>cell<td>12</table></div>{code}<div class=x><div><p>Deep. {ARTICLE}</p></div></div><div class=y><p>Try it free.</p></div></main>"
+    assert main(page) == ["H", lead, "Sub", ARTICLE, "cell", "12", "x = 1", f"Deep. {ARTICLE}"]
+    cells = "".join(f"<tr><td><p>a{i}</p></td><td><p>{i}</p></td></tr>" for i in range(2))
+    assert main(f"<article><h1>H</h1><p>{lead}</p><div><table>{cells}</table></div></article>") == ["H", lead, "a0", "0", "a1", "1"]
+    two = "".join(f"<section><h2>S{i}</h2><p>{ARTICLE}</p></section>" for i in range(2))
+    assert main(f"<article><h1>H</h1>{two}</article>") == ["H", "S0", ARTICLE, "S1", ARTICLE]
+    teasers = "".join(f"<div><h4>T{i}</h4><p>{ARTICLE}</p></div>" for i in range(3))
+    assert main(f"<article><h1>H</h1><p>{lead}</p><div class=x9>{teasers}</div></article>") == ["H", lead]
+    assert main(f"<main><p>{lead}</p><p>{ARTICLE}</p><section><p>{ARTICLE}</p></section></main>") == [lead, ARTICLE, ARTICLE]
+
+
 def test_block_numbers():
     page = boilerplate.parse("<p>a <i>b</i>c<br>d</p><!-- x --><noscript>n</noscript>&lt;e&gt;<p> </p>f")
     assert [line.text for line in page.lines] == ["a bc", "d", "<e>", "f"]
