@@ -6,13 +6,18 @@ disclose a person. Over the whole corpus, Spark counts for the beginnings and
 endings of terms how often they occur at all and how often right beside a
 protected entity: a listed given name or an initial. The pointwise mutual
 information between the two, in bits, is the disclosure of a term; terms above
-the threshold are family names. What stands before family names far more often
+the threshold are family names. A capitalised word right after a listed given
+name or an initial, with particles between them or not, is a family name there by
+the disclosure of the whole word among its capitalised occurrences, whatever its
+affixes; such words, which may be common ones, are not sought where they stand
+alone. What stands before family names far more often
 than elsewhere is a given name in turn, listed or not. In the cleaned text a
 family name that stands alone is generalised too.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,6 +31,8 @@ from siltstone.sources.tables import ensure_checkpoint_dir
 #: Letters of beginnings and endings, and the least disclosure in bits of either.
 BEGINNING, ENDINGS = 4, (3, 4, 5)
 ENDING_BITS, BEGINNING_BITS = 6.0, 4.0
+#: The same for a whole capitalised word. All three are lowered to half of what can be reached where protected neighbours are frequent.
+WORD_BITS = 4.0
 #: Least share of a disclosing ending's occurrences that stand beside a protected entity, and least number of them.
 LEAST_SHARE, LEAST_SEEN = 0.25, 2
 #: Share of the occurrences of a word that must stand before a family name for it to be a given name.
@@ -35,6 +42,8 @@ MAX_GIVEN, MAX_AFFIXES = 200_000, 500_000
 
 #: Titles and determiners that are no given names.
 NO_GIVEN = frozenset("mr mrs ms miss dr prof sir herr frau mme mlle monsieur madame sr sra srta señor señora don doña dhr mevr the a an el la le les der die das".split())
+#: What may stand between a given name and a family name.
+PARTICLES = frozenset("van von vom der den de del della dello di da das do dos du d' la las le los ter ten te zu zur zum af av bin ibn al el y e".split())
 DETERMINERS = frozenset(("the", "a", "an"))
 #: Kinds of ways that follow, precede or end the name of a street.
 AFTER = "street|st|road|rd|lane|ln|avenue|ave|av|drive|dr|court|ct|boulevard|blvd|close|crescent|terrace|place|pl|square|sq|way|row|walk|grove|gardens|mews|hill|parkway|highway"
@@ -143,6 +152,11 @@ def core(token: str) -> str | None:
     return word.lower() if CORE.match(word) else None
 
 
+def bare(word: str) -> str:
+    """The word without the ending of the English genitive."""
+    return word[:-2] if word[-2:] in ("'s", "’s") else word
+
+
 def affixes(word: str) -> Iterator[tuple[str, str]]:
     """('<', beginning) and ('>', ending) of each part of a word that is long enough; endings of several lengths."""
     for part in re.split("[-'’]", word):
@@ -153,14 +167,30 @@ def affixes(word: str) -> Iterator[tuple[str, str]]:
                     yield ">", part[-n:]
 
 
+def family_after(tokens: list[str], i: int, forms: frozenset[str]) -> int | None:
+    """Number of the capitalised token that ends the name begun by the given name or initial ``i``, past initials and at most three particles."""
+    j = i + 1
+    while j < len(tokens) and tokens[j] in INITIALS:
+        j += 1
+    most = j + 3
+    while j < min(most, len(tokens) - 1) and tokens[j].lower() in PARTICLES:
+        j += 1
+    return j if j < len(tokens) and tokens[j][:1].isupper() and tokens[j] not in forms else None
+
+
+def _forms(given: frozenset[str]) -> frozenset[str]:
+    return frozenset(x for g in given for x in (g.capitalize(), g.upper())) | INITIALS
+
+
 def _count(given: frozenset[str]):
-    """Rows (kind, term, seen, beside): kind '<' and '>' are affixes, 'w' whole words; beside counts protected neighbours."""
+    """Rows (kind, term, seen, beside): kind '<' and '>' are affixes, 'w' whole words, 'n' capitalised ones; beside counts protected neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forms = frozenset(x for g in given for x in (g.capitalize(), g.upper())) | INITIALS
+        forms = _forms(given)
         for batch in batches:
             seen: Counter = Counter()
             beside: Counter = Counter()
+            direct: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 if not text:
                     continue
@@ -171,6 +201,12 @@ def _count(given: frozenset[str]):
                         continue
                     if i + 1 < len(tokens) and tokens[i + 1][:1].isupper():
                         beside[tokens[i + 1]] += 1
+                    if tokens[i] in INITIALS and i and tokens[i - 1] in forms:
+                        continue
+                    if (j := family_after(tokens, i, forms)) is not None:
+                        direct[tokens[j]] += 1
+                        if tokens[j - 1].lower() in PARTICLES:
+                            beside[tokens[j]] += 1
             rows: dict[tuple[str, str], list[int]] = {}
             for token, n in seen.items():
                 if (word := core(token)) is None:
@@ -179,6 +215,10 @@ def _count(given: frozenset[str]):
                     at = rows.setdefault(key, [0, 0])
                     at[0] += n
                     at[1] += beside.get(token, 0)
+                if token.strip(_STRIP)[:1].isupper():
+                    at = rows.setdefault(("n", bare(word)), [0, 0])
+                    at[0] += n
+                    at[1] += direct.get(token, 0)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _ in rows]), pa.array([t for _, t in rows]), pa.array([a for a, _ in rows.values()], pa.int64()), pa.array([b for _, b in rows.values()], pa.int64())],
                 names=["kind", "term", "seen", "beside"],
@@ -229,12 +269,41 @@ def name_candidates(text: str, families: Families) -> list[tuple[int, int, str |
     return out
 
 
+def direct_names(text: str, forms: frozenset[str], families: Families) -> list[tuple[int, int, str | None, bool]]:
+    """(start, end, last word, whether an initial begins it) of each name of a given name or initial and a word that affixes do not tell.
+
+    The word is None where affixes tell it and particles stand before it.
+    """
+    if forms.isdisjoint(tokens := text.split()):
+        return []
+    places = [m.start() for m in re.finditer(r"\S+", text)]
+    out = []
+    if len(places) != len(tokens):
+        # the separators of str.split that are no white space to a pattern
+        places, at = [], 0
+        for token in tokens:
+            places.append(at := text.index(token, at))
+            at += len(token)
+    for i in [i for i, t in enumerate(tokens) if t in forms]:
+        before = tokens[i - 1] if i else ""
+        if before.lower() in DETERMINERS or (tokens[i] in INITIALS and before in forms) or (before.endswith(",") and families.is_family(before)):
+            continue
+        if (j := family_after(tokens, i, forms)) is None or (word := core(tokens[j])) is None or len(bare(word)) < 2:
+            continue
+        told = families.is_family(tokens[j])
+        if told and tokens[j - 1].lower() not in PARTICLES:
+            continue
+        out.append((places[i], places[j] + len(bare(word)), None if told else bare(word), tokens[i] in INITIALS))
+    return out
+
+
 FOUND = "doc_id bigint, kind string, start_pos int, end_pos int, given string, given_start int, initial_start int, after string, after_end int"
 
 
-def _scan(shared):
+def _scan(shared, given: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         families, streets = Families(shared.value), StreetWords()
+        forms = _forms(given)
         names = [x.split()[0] for x in FOUND.split(", ")]
         types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32())
         for batch in batches:
@@ -244,6 +313,14 @@ def _scan(shared):
                     continue
                 found = structured(text, streets)
                 rows.extend((key, kind, a, b, None, -1, -1, None, -1) for kind, a, b in found)
+                for a, b, word, initial in direct_names(text, forms, families):
+                    if any(x < b and a < y for _, x, y in found):
+                        continue
+                    if word is None:
+                        found.append(("person_name", a, b))
+                        rows.append((key, "person_name", a, b, None, -1, -1, None, -1))
+                    else:
+                        rows.append((key, "direct", a, b, word, -1, a if initial else -1, None, -1))
                 for a, b, *rest in name_candidates(text, families):
                     if not any(x < b and a < y for _, x, y in found):
                         rows.append((key, "family", a, b, *rest))
@@ -274,14 +351,29 @@ def personal_data(documents: DataFrame, given_names: DataFrame) -> DataFrame:
     base = counts.where("kind = 'w'").agg(F.sum("seen").alias("seen"), F.sum("beside").alias("beside")).head()
     prior = (base["beside"] or 0) / max(1, base["seen"] or 0) or 1.0
     bits = F.log2((F.col("beside") / F.col("seen")) / F.lit(prior))
+    # no term can have more bits than this; where neighbours are frequent half of it is asked for
+    half = math.log2(1 / prior) / 2
     share = F.col("beside") / F.col("seen")
     disclosing = counts.where("kind <> 'w' and beside > 0").where(
-        ((F.col("kind") == ">") & (bits >= ENDING_BITS) & (share >= LEAST_SHARE) & (F.col("beside") >= LEAST_SEEN)) | ((F.col("kind") == "<") & (bits >= BEGINNING_BITS))
+        ((F.col("kind") == ">") & (bits >= min(ENDING_BITS, half)) & (share >= LEAST_SHARE) & (F.col("beside") >= LEAST_SEEN)) | ((F.col("kind") == "<") & (bits >= min(BEGINNING_BITS, half)))
     )
     terms = [r.kind + r.term for r in disclosing.select("kind", "term").limit(MAX_AFFIXES + 1).collect()]
     if len(terms) > MAX_AFFIXES:
         raise ValueError(f"more than {MAX_AFFIXES} disclosing affixes")
-    found = texts.mapInArrow(_scan(spark.sparkContext.broadcast(frozenset(terms))), FOUND).checkpoint()
+    found = texts.mapInArrow(_scan(spark.sparkContext.broadcast(frozenset(terms)), given), FOUND).checkpoint()
+
+    # words beside given names, by their own disclosure; a word after initials alone must be seen so twice
+    capital = counts.where("kind = 'n'")
+    base = capital.agg(F.sum("seen").alias("seen"), F.sum("beside").alias("beside")).head()
+    prior = (base["beside"] or 0) / max(1, base["seen"] or 0) or 1.0
+    least = min(WORD_BITS, math.log2(1 / prior) / 2)
+    disclosed = capital.where("beside > 0").where(F.log2((F.col("beside") / F.col("seen")) / F.lit(prior)) >= least)
+    direct = (
+        found.where("kind = 'direct'")
+        .join(disclosed.select(F.col("term").alias("given"), "beside"), "given")
+        .where((F.col("initial_start") < 0) | (F.col("beside") >= LEAST_SEEN))
+        .select("doc_id", F.lit("person_name").alias("kind"), "start_pos", "end_pos")
+    )
 
     # a word is a given name if it is listed, or stands before family names for a good part of its occurrences
     family = found.where("kind = 'family'").drop("kind")
@@ -303,7 +395,7 @@ def personal_data(documents: DataFrame, given_names: DataFrame) -> DataFrame:
     alone = (start == F.col("start_pos")) & ~F.col("is_after")
     end = F.when((start == F.col("start_pos")) & F.col("is_after"), F.col("after_end")).otherwise(F.col("end_pos"))
     people = told.select("doc_id", F.when(alone, "term").otherwise("person_name").alias("kind"), start.alias("start_pos"), end.alias("end_pos"))
-    return found.where("kind <> 'family'").select("doc_id", "kind", "start_pos", "end_pos").unionByName(people).distinct()
+    return found.where("kind not in ('family', 'direct')").select("doc_id", "kind", "start_pos", "end_pos").unionByName(people).unionByName(direct).distinct()
 
 
 #: Placeholders.

@@ -175,3 +175,23 @@ def test_names(spark):
     clean = {r.doc_id: (r.text, r.n_mentions) for r in privacy.cleaned(docs, mentions).collect()}
     assert clean[100] == ("As [NAME] told us.", 1) and clean[105] == (None, 0) and clean[106] == ("", 0) and clean[104] == ("[NAME], [NAME]", 2)
     assert privacy.personal_data(docs.limit(0), given).count() == 0
+
+
+def names_in(spark, texts, listed):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    mentions = privacy.personal_data(docs, spark.createDataFrame([(g,) for g in listed], "given_name string"))
+    return sorted(texts[r.doc_id][r.start_pos : r.end_pos] for r in mentions.where("kind = 'person_name'").collect())
+
+
+def test_names_by_whole_words(spark):
+    filler = "the young system keeps running and the queue holds many rows. The baker and the queue wait. " * 40
+    texts = [f"{filler}Then {name} wrote. {filler}" for name in ("Anke Wolf", "Mei Ruiz's team", "Grace Young", "Mei van der Berg", "Anke K. de la Cruz")]
+    texts += [f"{filler}The Grace Pipeline and The Mei Lattice ship. Will The queue wait? Thanks, Mei The queue. Plan B. Nobody came."]
+    assert names_in(spark, texts, ["Anke", "Mei", "Grace", "Will"]) == ["Anke K. de la Cruz", "Anke Wolf", "Grace Young", "Mei Ruiz", "Mei van der Berg"]
+
+
+def test_names_of_a_directory(spark):
+    # half of all words stand beside a given name
+    people = [f"{g} {b}{e}" for g in ("Ann", "Bob") for b in ("Brock", "Till") for e in ("vonk", "moor")]
+    assert names_in(spark, people, ["Ann", "Bob"]) == sorted(people)
+    assert names_in(spark, [*people, "by Tillmoor, Ann today"], ["Ann", "Bob"]) == sorted([*people, "Tillmoor, Ann"])
