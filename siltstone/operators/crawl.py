@@ -59,10 +59,10 @@ def crawl(urls: DataFrame, pages: DataFrame, robots: DataFrame | None = None, ag
     )
 
 
-def page_links(pages: DataFrame, most: int = LINKS_A_PAGE) -> DataFrame:
-    """(url, place, link): the first links of each page to its own site, distinct, in order of appearance."""
+def page_links(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """(url, place, link): the links of each page to its own site, distinct, in order of appearance; with ``most``, the first so many."""
     links = pages.select("url", "base", H.parsed(F.col("html"))["hrefs"].alias("hrefs")).select("url", H.same_site_links(F.col("hrefs"), F.col("base")).alias("links"))
-    return links.select("url", F.posexplode(F.slice("links", 1, most)).alias("place", "link"))
+    return links.select("url", F.posexplode("links" if most is None else F.slice("links", 1, most)).alias("place", "link"))
 
 
 def walk(seeds: DataFrame, links: DataFrame, depth: int = 1, budget: int | None = MAX_PAGES) -> DataFrame:

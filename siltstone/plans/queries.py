@@ -154,7 +154,7 @@ def crawl_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def crawl_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = store.last_in_order(_crawls(spark, sf_dir, "html", "final_url").where("html <> ''"), "final_url", "crawl_id")
-    links = crawl.page_links(pages.select(F.col("final_url").alias("url"), F.col("final_url").alias("base"), "html"))
+    links = crawl.page_links(pages.select(F.col("final_url").alias("url"), F.col("final_url").alias("base"), "html"), most=crawl.LINKS_A_PAGE)
     return crawl.walk(pages.select(F.col("final_url").alias("url")), links, depth=2, budget=None).groupBy("level").agg(F.count("*").alias("n"))
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import html as H
 from siltstone.operators import crawl, expand, store
-from siltstone.plans import embed
+from siltstone.plans import embed, queries
 from siltstone.plans import ingest as ingest_plan
 from siltstone.plans.settings import Settings
 from siltstone.sources import fetch
@@ -81,6 +81,15 @@ def test_html(spark):
     assert links == ["http://s.org/a", "http://s.org/d/b"]
 
 
+def test_html_links_are_whole(spark, tmp_path):
+    page = "".join(f"<a href='/p{i}'>{i}</a>" for i in range(40))
+    spark.createDataFrame([(1, page, "http://s.org/", T0), (2, None, "http://s.org/", T0)], "crawl_id bigint, html string, final_url string, loaded_at timestamp").write.parquet(f"{tmp_path}/crawl_results.parquet")
+    got = rows(queries.QUERIES["html_links"](spark, str(tmp_path)), "crawl_id", "place")
+    assert got == [(1, i, f"http://s.org/p{i}") for i in range(40)]
+    pages = spark.createDataFrame([("http://s.org/", "http://s.org/", page)], "url string, base string, html string")
+    assert crawl.page_links(pages, most=crawl.LINKS_A_PAGE).count() == 25
+
+
 def test_robots_and_sitemap(spark):
     rules = "User-agent: *\nDisallow: /private"
     df = spark.createDataFrame([(rules, "http://a/private/x"), (rules, "http://a/open"), (None, "http://a/private"), ("", "http://a/b")], "r string, u string")
