@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,15 +62,22 @@ def units(levels: list[int], first: int, last: int, limit: int, level: int, out:
             begin = i + 1
 
 
-def pack(parts: list[tuple[int, int]], limit: int, overlap: int) -> list[tuple[int, int, int]]:
+def pack(parts: list[tuple[int, int]], limit: int, overlap: int, finer: Callable[[int, int], list[int]]) -> list[tuple[int, int, int]]:
     """(first word with overlap, first new word, end) of each piece.
 
-    The overlap is shortened where the next part would not fit beside it.
+    A part that does not fit beside the whole overlap is cut at the places that
+    ``finer`` gives for it; only where there are none, within one sentence, is
+    the overlap shortened.
     """
     pieces: list[tuple[int, int, int]] = []
     start = new = end = 0
-    for first, last in parts:
+    left = parts[::-1]
+    while left:
+        first, last = left.pop()
         if end > new and last - start > limit:
+            if last - max(first - overlap, start) > limit and (cuts := finer(first, last)):
+                left.extend(list(zip([first, *cuts], [*cuts, last]))[::-1])
+                continue
             pieces.append((start, new, end))
             new = first
             start = max(first - overlap, start, last - limit)
@@ -98,8 +105,13 @@ def split_words(text: str, limit: int, overlap: int) -> tuple[str, list[tuple[in
         longest = max(longest, run)
     parts: list[tuple[int, int]] = []
     units(levels, 0, len(spans), limit, SECTION, parts)
+
+    def finer(first: int, last: int) -> list[int]:
+        strongest = max(levels[first : last - 1], default=PLAIN)
+        return [i + 1 for i in range(first, last - 1) if levels[i] == strongest] if strongest >= SENTENCE else []
+
     return ("forced" if longest > limit else "natural"), [
-        (spans[start][0], spans[new][0], spans[end - 1][1], end - start, new - start) for start, new, end in pack(parts, limit, overlap)
+        (spans[start][0], spans[new][0], spans[end - 1][1], end - start, new - start) for start, new, end in pack(parts, limit, overlap, finer)
     ]
 
 
@@ -126,8 +138,15 @@ def split_chars(text: str, limit: int, overlap: int) -> tuple[str, list[tuple[in
 
     parts: list[tuple[int, int]] = []
     down(0, len(text), SECTION, parts)
+
+    def finer(first: int, last: int) -> list[int]:
+        for level in (SECTION, PARAGRAPH, SENTENCE):
+            if inside := cuts[level][bisect_right(cuts[level], first) : bisect_left(cuts[level], last)]:
+                return inside
+        return []
+
     forced = any(b - a > limit for a, b in spans)
-    return ("forced" if forced else "natural"), [(s, n, e, e - s, n - s) for s, n, e in pack(parts, limit, overlap)]
+    return ("forced" if forced else "natural"), [(s, n, e, e - s, n - s) for s, n, e in pack(parts, limit, overlap, finer)]
 
 
 PIECE_SCHEMA = "chunk_id bigint, piece_no int, cut string, start_pos int, new_pos int, end_pos int, size int, repeated int, piece string"

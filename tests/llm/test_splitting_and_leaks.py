@@ -54,6 +54,14 @@ def test_overlap_is_kept_where_it_fits():
     assert [p[4] for p in pieces] == [0, 2, 2, 2]
 
 
+def test_overlap_is_whole_before_a_paragraph_of_several_sentences():
+    text = "a b c d e f.\n\nG h i j k. L m n o p."
+    assert [p[4] for p in splitting.split_words(text, 10, 4)[1]] == [0, 4, 4]
+    assert [p[4] for p in splitting.split_chars(text, 20, 8)[1]][1:] == [8, 8]
+    # a sentence alone that does not fit beside the overlap shortens it
+    assert [p[4] for p in splitting.split_words("a b c d e f.\n\nG h i j k l m n.", 10, 4)[1]] == [0, 2]
+
+
 def test_very_long_text():
     cut, pieces = splitting.split_words("w " * 300_000, 512, 64)
     assert cut == "forced" and len(pieces) > 600
