@@ -7,9 +7,11 @@ tests compare with a plain model instead.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -611,9 +613,37 @@ def extract_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM pieces GROUP BY url"""
 )
 def rejoined_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks of each URL joined again in order, and the sum of their words."""
+    """The chunks of each URL joined again in order, and the sum of their words.
+
+    The digest needs the whole text in order, but no task holds it: the rows of
+    a URL are sorted, on disk if need be, and hashed as they pass.
+    """
     pieces = _chunks(spark, sf_dir, "url", "chunk_index", "text").where("text is not null").withColumn("n", T.word_count(F.col("text")))
-    joined = pieces.groupBy("url").agg(
-        F.sum("n").alias("word_count"), F.count("*").alias("n_chunks"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "text"))), lambda c: c["text"]), "\n\n"), 256).alias("text_hash")
-    )
-    return joined.select("url", "word_count", "n_chunks", "text_hash")
+    in_order = pieces.repartition("url").sortWithinPartitions(F.col("url").asc_nulls_first(), F.col("chunk_index").asc_nulls_last(), "chunk_id")
+    return in_order.select("url", "n", "text").mapInArrow(_digests, "url string, word_count bigint, n_chunks bigint, text_hash string")
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each run of equal urls: sums, and the hash of the texts joined by blank lines."""
+    done: list[tuple] = []
+    url, words, chunks, digest = None, 0, 0, hashlib.sha256()
+
+    def taken() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_pylist([dict(zip(("url", "word_count", "n_chunks", "text_hash"), row)) for row in done], schema=pa.schema([("url", pa.string()), ("word_count", pa.int64()), ("n_chunks", pa.int64()), ("text_hash", pa.string())]))
+        done.clear()
+        return batch
+
+    for batch in batches:
+        for at, n, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if chunks and at != url:
+                done.append((url, words, chunks, digest.hexdigest()))
+                words, chunks, digest = 0, 0, hashlib.sha256()
+            if chunks:
+                digest.update(b"\n\n")
+            digest.update(text.encode())
+            url, words, chunks = at, words + n, chunks + 1
+        if done:
+            yield taken()
+    if chunks:
+        done.append((url, words, chunks, digest.hexdigest()))
+        yield taken()

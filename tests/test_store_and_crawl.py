@@ -1,3 +1,4 @@
+import hashlib
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -90,6 +91,23 @@ def test_html_links_are_whole(spark, tmp_path):
     assert crawl.page_links(pages, most=crawl.LINKS_A_PAGE).count() == 25
 
 
+def test_rejoined_documents_hold_no_whole_text(spark, tmp_path):
+    chunks = [(i, (None, "http://a", "http://b")[i % 3], 50 - i // 3, f"text  {i} \u00e4", T0) for i in range(90)] + [(100, "http://a", 60, None, T0), (101, "http://c", 0, "", T0), (3, None, 49, "old", datetime(2029, 1, 1))]
+    spark.createDataFrame(chunks, "chunk_id bigint, url string, chunk_index int, text string, loaded_at timestamp").repartition(3).write.parquet(f"{tmp_path}/chunk_payloads.parquet")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = queries.QUERIES["rejoined_documents"](spark, str(tmp_path))
+        got = {r.url: (r.word_count, r.n_chunks, r.text_hash) for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for url in (None, "http://a", "http://b"):
+        texts = [c[3] for c in sorted(chunks[:90], key=lambda c: c[2]) if c[1] == url]
+        want[url] = (90, 30, hashlib.sha256("\n\n".join(texts).encode()).hexdigest())
+    assert got == want | {"http://c": (0, 1, hashlib.sha256(b"").hexdigest())}
+    assert "collect_list" not in df._jdf.queryExecution().toString()
+
+
 def test_robots_and_sitemap(spark):
     rules = "User-agent: *\nDisallow: /private"
     df = spark.createDataFrame([(rules, "http://a/private/x"), (rules, "http://a/open"), (None, "http://a/private"), ("", "http://a/b")], "r string, u string")
