@@ -65,10 +65,11 @@ def page_links(pages: DataFrame, most: int | None = None) -> DataFrame:
     return links.select("url", F.posexplode("links" if most is None else F.slice("links", 1, most)).alias("place", "link"))
 
 
-def walk(seeds: DataFrame, links: DataFrame, depth: int = 1, budget: int | None = MAX_PAGES) -> DataFrame:
+def walk(seeds: DataFrame, links: DataFrame, depth: int | None = 1, budget: int | None = MAX_PAGES) -> DataFrame:
     """(url, level, place): breadth-first from ``seeds(url)`` over ``links(url, place, link)``, level 0 for the seeds.
 
-    A page is visited once, on the level where it is found first. With a budget,
+    A page is visited once, on the level where it is found first. Without depth
+    the walk ends where no page is new. With a budget,
     each level takes its first pages by order of discovery until so many have
     been visited; what is left over is not taken up again. Discovery order is the
     place of the parent, then of the link, then the URL. One job for a level,

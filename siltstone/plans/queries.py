@@ -155,9 +155,14 @@ def crawl_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def crawl_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = store.last_in_order(_crawls(spark, sf_dir, "html", "final_url").where("html <> ''"), "final_url", "crawl_id")
-    links = crawl.page_links(pages.select(F.col("final_url").alias("url"), F.col("final_url").alias("base"), "html"), most=crawl.LINKS_A_PAGE)
-    return crawl.walk(pages.select(F.col("final_url").alias("url")), links, depth=2, budget=None).groupBy("level").agg(F.count("*").alias("n"))
+    """Pages on each level of the walk from the requested URLs, until no level has a new page; URLs are compared normalised."""
+    pages = store.last_in_order(_crawls(spark, sf_dir, "html", "final_url").where("html <> ''").withColumn("url", U.normalize_url(F.col("final_url"))), "url", "crawl_id")
+    links = crawl.page_links(pages.select("url", F.col("final_url").alias("base"), "html"), most=crawl.LINKS_A_PAGE)
+    # parsed once, not once a level
+    ensure_checkpoint_dir(spark)
+    links = links.withColumn("link", U.normalize_url(F.col("link"))).checkpoint()
+    asked = latest(table(spark, sf_dir, "ingest_requests"), "request_id").select(F.explode("urls").alias("url")).select(U.normalize_url(F.col("url")).alias("url"))
+    return crawl.walk(asked, links, depth=None, budget=None).groupBy("level").agg(F.count("*").alias("n"))
 
 
 @query(

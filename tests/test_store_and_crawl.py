@@ -108,6 +108,15 @@ def test_rejoined_documents_hold_no_whole_text(spark, tmp_path):
     assert "collect_list" not in df._jdf.queryExecution().toString()
 
 
+def test_crawl_levels_from_requests(spark, tmp_path):
+    links = {"a": ["/B/?utm_source=x", "/c"], "B": ["/d", "/a/"], "c": ["/a"], "d": ["/e#x"], "e": ["/f"], "z": ["/y"]}
+    pages = [(i, "".join(f"<a href='{to}'>x</a>" for to in own), f"http://s.org/{page}", T0) for i, (page, own) in enumerate(links.items())]
+    spark.createDataFrame(pages, "crawl_id bigint, html string, final_url string, loaded_at timestamp").write.parquet(f"{tmp_path}/crawl_results.parquet")
+    asked = [(1, ["HTTP://S.org/a/", None, "http://s.org/a"], T0), (2, None, T0)]
+    spark.createDataFrame(asked, "request_id bigint, urls array<string>, loaded_at timestamp").write.parquet(f"{tmp_path}/ingest_requests.parquet")
+    assert rows(queries.QUERIES["crawl_levels"](spark, str(tmp_path)), "level") == [(0, 1), (1, 2), (2, 1), (3, 1), (4, 1)]
+
+
 def test_robots_and_sitemap(spark):
     rules = "User-agent: *\nDisallow: /private"
     df = spark.createDataFrame([(rules, "http://a/private/x"), (rules, "http://a/open"), (None, "http://a/private"), ("", "http://a/b")], "r string, u string")
