@@ -1,10 +1,14 @@
 """Languages of texts and of the segments inside mixed texts.
 
-The script of a word narrows the candidate languages. Every word has a score for
-each candidate, from the letter runs and whole words of clean samples; a second
-pass adds the confidently labelled sentences of a bounded sample of the texts
-themselves. Viterbi over the words, with a penalty for switching the language
-that is low between lines and sentences and high inside them, labels spans.
+The script of a word, by a table of code point ranges, narrows the candidates to
+the languages whose samples are written in it. Every word has a score for each
+candidate, from the letter runs and whole words of clean samples; a second pass
+adds the confidently labelled sentences of a bounded sample of the texts
+themselves. Viterbi over the words of a text, with a penalty for switching the
+language that is low between lines and sentences and higher inside them, labels
+every word; the runs of one label within a sentence are the spans. Words in a
+script without language, and words like none of the samples, speak for no
+language, and a sentence with too many of them has no label.
 """
 
 from __future__ import annotations
@@ -12,9 +16,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +29,37 @@ from pyspark.sql import functions as F
 
 from siltstone.sources.tables import latest
 
-#: Bounds on what is fitted on the driver: clean samples, and texts of the second pass.
-MAX_SAMPLES, FIT_TEXTS = 20_000, 1_500
+#: Bounds on what is fitted on the driver: clean samples, and labelled texts of the second pass with the longest that may be among them.
+MAX_SAMPLES, FIT_TEXTS, FIT_CHARS = 20_000, 1_500, 20_000
 #: Cost of switching the language between lines, between sentences, inside a sentence; in nats.
-BETWEEN_LINES, BETWEEN_SENTENCES, INSIDE = 1.0, 2.0, 9.0
+BETWEEN_LINES, BETWEEN_SENTENCES, INSIDE = 1.0, 2.0, 8.0
 #: Range of the score of one word, and weight of its letter runs.
 SPREAD, RUN_WEIGHT = 6.0, 0.5
 #: What a label adds to each word in the fit of the second pass, in nats.
 HINT = 0.7
-#: Letters of the Cyrillic script belong to these languages, other letters to the rest.
-CYRILLIC = ("ru",)
-CYRILLIC_LETTER = re.compile("[Ѐ-ԯ]")
+#: Share of a sentence's words that one language needs for the whole sentence to be written in it.
+WHOLE = 0.65
+#: Share of a word's three-letter runs that must be known, and share of a sentence's words that must be so.
+KNOWN_RUNS, KNOWN_WORDS = 0.5, 0.34
+#: Share of the words of a language's samples that make their script one of its own.
+SCRIPT_SHARE = 0.05
+
+#: First code points of the ranges of scripts; a range ends where the next one starts.
+SCRIPTS = (
+    (0x0041, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0700, "syriac"),
+    (0x0750, "arabic"), (0x0780, "thaana"), (0x07C0, "nko"), (0x08A0, "arabic"), (0x0900, "devanagari"), (0x0980, "bengali"), (0x0A00, "gurmukhi"),
+    (0x0A80, "gujarati"), (0x0B00, "oriya"), (0x0B80, "tamil"), (0x0C00, "telugu"), (0x0C80, "kannada"), (0x0D00, "malayalam"), (0x0D80, "sinhala"),
+    (0x0E00, "thai"), (0x0E80, "lao"), (0x0F00, "tibetan"), (0x1000, "myanmar"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"),
+    (0x13A0, "cherokee"), (0x1400, "canadian"), (0x1680, "ogham"), (0x16A0, "runic"), (0x1700, "philippine"), (0x1780, "khmer"), (0x1800, "mongolian"),
+    (0x18B0, "canadian"), (0x1900, "other"), (0x1C80, "cyrillic"), (0x1C90, "georgian"), (0x1CC0, "other"), (0x1D00, "latin"), (0x1F00, "greek"),
+    (0x2000, "other"), (0x212A, "latin"), (0x212C, "other"), (0x2C60, "latin"), (0x2C80, "coptic"), (0x2D00, "georgian"), (0x2D30, "tifinagh"),
+    (0x2D80, "ethiopic"), (0x2DE0, "cyrillic"), (0x2E00, "han"), (0x3040, "kana"), (0x3100, "bopomofo"), (0x3130, "hangul"), (0x3190, "han"),
+    (0x31F0, "kana"), (0x3200, "han"), (0xA000, "yi"), (0xA4D0, "other"), (0xA640, "cyrillic"), (0xA6A0, "other"), (0xA720, "latin"), (0xA800, "other"),
+    (0xAB30, "latin"), (0xAB70, "cherokee"), (0xABC0, "other"), (0xAC00, "hangul"), (0xD800, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB13, "armenian"),
+    (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "other"), (0xFE70, "arabic"), (0xFF21, "latin"), (0xFF66, "kana"), (0xFFA0, "hangul"),
+    (0x10000, "other"), (0x1B000, "kana"), (0x1B300, "other"), (0x20000, "han"),
+)
+_STARTS = [start for start, _ in SCRIPTS]
 
 #: Spellings of the languages (two- and three-letter codes, English and own names).
 SPELLINGS = {
@@ -52,8 +78,13 @@ SENTENCE_END = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+")
 QUOTED = re.compile("“[^“”\n]*”|«[^«»\n]*»|„[^„“”\n]*[“”]|\"[^\"\n]*\"|`[^`\n]*`")
 #: A token with one of these is an address, code or a number.
 NO_WORD = re.compile(r"[@_=<>{}\\/|$#\d]|\bwww\.")
-CODE_LINE = re.compile(r"\s*(?:[$>#]\s|\S+\s*=\s*\S+\s*$)")
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+#: A command, an assignment, or a comment or prompt that goes on like code.
+CODE_LINE = re.compile(r"\s*(?:\$\s|\S+\s*=\s*\S+\s*$|[>#]\s.*[@_=<>{}\\/|$\d])")
+TOKEN = re.compile(r"\S+")
+_LETTER = r"[^\W\d_]"
+WORD = re.compile(f"{_LETTER}+(?:['’]{_LETTER}+)*")
+#: The same where letters are followed by combining marks.
+MARKED_WORD = re.compile(f"(?:{_LETTER}[\u0300-\u036f]*)+(?:['’](?:{_LETTER}[\u0300-\u036f]*)+)*")
 
 
 def label_code(label: str | None) -> str | None:
@@ -64,25 +95,55 @@ def label_code(label: str | None) -> str | None:
     return _CODES.get(low) or _CODES.get(re.split(r"[-_ (,;]", low)[0])
 
 
-def sentences(text: str) -> Iterator[tuple[int, list[str]]]:
-    """(line number, counted words) of each sentence with words; lines end at every line feed.
+def script_of(word: str) -> str:
+    """The script of most letters of a word, by the first one at a tie."""
+    if word.isascii():
+        return "latin"
+    return Counter(SCRIPTS[max(0, bisect_right(_STARTS, ord(c)) - 1)][1] for c in word if c.isalpha()).most_common(1)[0][0]
+
+
+def _blank(m: re.Match) -> str:
+    return " " * len(m.group())
+
+
+def _blank_code(m: re.Match) -> str:
+    return " " * len(m.group()) if NO_WORD.search(m.group()) else m.group()
+
+
+@dataclass(slots=True)
+class Sentence:
+    line: int
+    words: list[str]
+    #: positions of each word in the text
+    places: list[tuple[int, int]]
+
+
+def sentences(text: str) -> Iterator[Sentence]:
+    """The sentences with counted words; lines end at every line feed.
 
     Quoted phrases, code, addresses and numbers have no counted words.
     """
+    pattern = WORD if unicodedata.is_normalized("NFC", text) else MARKED_WORD
+    start = 0
     for line_no, line in enumerate(text.split("\n")):
-        if not line or CODE_LINE.match(line):
-            continue
-        plain = QUOTED.sub(" ", unicodedata.normalize("NFC", line))
-        if NO_WORD.search(plain):
-            plain = " ".join(token for token in plain.split() if not NO_WORD.search(token))
-        for sentence in SENTENCE_END.split(plain):
-            if words := WORD.findall(sentence.lower()):
-                yield line_no, words
-
-
-def letter_runs(word: str) -> Iterator[str]:
+        if line and not CODE_LINE.match(line):
+            plain = QUOTED.sub(_blank, line)
+            if NO_WORD.search(plain):
+                plain = TOKEN.sub(_blank_code, plain)
+            at = 0
+            for stop, after in [*(m.span() for m in SENTENCE_END.finditer(plain)), (len(plain), len(plain))]:
+                if found := list(pattern.finditer(plain, at, stop)):
+                    words = [m.group().lower() for m in found]
+                    if pattern is MARKED_WORD:
+                        words = [unicodedata.normalize("NFC", w) for w in words]
+                    yield Sentence(line_no, words, [(start + m.start(), start + m.end()) for m in found])
+                at = after
+        start += len(line) + 1
+
+
+def letter_runs(word: str, sizes: tuple[int, ...] = (1, 2, 3, 4)) -> Iterator[str]:
     framed = f"<{word}>"
-    for n in (1, 2, 3, 4):
+    for n in sizes:
         for i in range(len(framed) - n + 1):
             yield framed[i : i + n]
 
@@ -96,11 +157,13 @@ class Model:
     run_logs: np.ndarray
     word_rows: dict[str, int]
     word_logs: np.ndarray
+    #: script -> which languages are written in it
+    scripts: dict[str, np.ndarray]
     place: dict[str, int] = field(default_factory=dict)
     made: np.ndarray | None = None
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        """One row for each word; the rows of words met before are kept, up to half a million."""
+    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A row for each word, and whether the word is known; the rows of words met before are kept, up to half a million."""
         if len(self.place) > 500_000:
             self.place.clear()
         if fresh := sorted({w for w in words if w not in self.place}):
@@ -109,17 +172,23 @@ class Model:
             self.made = rows if start == 0 else np.concatenate([self.made[:start], rows])
             self.place.update(zip(fresh, range(start, start + len(fresh))))
         if not words:
-            return np.zeros((0, len(self.langs)))
-        return self.made[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
+            return np.zeros((0, len(self.langs))), np.zeros(0, bool)
+        rows = self.made[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
+        return rows[:, :-1], rows[:, -1] > 0
 
     def _score(self, word: str) -> np.ndarray:
-        rows = self.run_rows
+        """Scores of the languages from -SPREAD to 0 and, last, 1 for a known word; an unknown one scores 0 for all."""
+        out = np.zeros(len(self.langs) + 1)
+        script, rows = self.scripts.get(script_of(word)), self.run_rows
+        if script is None:
+            return out
+        runs = [rows.get(run, 0) for run in letter_runs(word, (3,))]
+        if word not in self.word_rows and sum(at > 0 for at in runs) < KNOWN_RUNS * len(runs):
+            return out
         total = RUN_WEIGHT * self.run_logs[[rows.get(run, 0) for run in letter_runs(word)]].sum(axis=0) + self.word_logs[self.word_rows.get(word, 0)]
-        cyrillic = bool(CYRILLIC_LETTER.search(word))
-        script = np.array([(lang in CYRILLIC) == cyrillic for lang in self.langs])
-        if script.any():
-            total = np.where(script, total, -np.inf)
-        return np.maximum(total - total.max(), -SPREAD)
+        total = np.where(script, total, -np.inf)
+        out[:-1], out[-1] = np.maximum(total - total.max(), -SPREAD), 1
+        return out
 
 
 def fit(samples: list[tuple[str, list[str]]]) -> Model:
@@ -129,7 +198,10 @@ def fit(samples: list[tuple[str, list[str]]]) -> Model:
     blank = [0.0] * len(langs)
     runs: dict[str, list[float]] = {}
     words: dict[str, list[float]] = {}
+    written: dict[str, np.ndarray] = {}
+    script = cache(script_of)
     for (lang, word), n in Counter((lang, w) for lang, own in samples for w in own).items():
+        written.setdefault(script(word), np.zeros(len(langs)))[at[lang]] += n
         bare = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
         for form, weight in ((word, n), (bare, 0.3 * n)) if bare != word else ((word, n),):
             weight, i = math.sqrt(weight), at[lang]
@@ -139,6 +211,8 @@ def fit(samples: list[tuple[str, list[str]]]) -> Model:
                 if row is None:
                     row = runs[run] = blank[:]
                 row[i] += weight
+    total = sum(written.values(), np.zeros(len(langs)))
+    scripts = {name: own >= SCRIPT_SHARE * total for name, own in written.items() if (own >= SCRIPT_SHARE * total).any()}
 
     def logs(table: dict[str, list[float]], smooth: float) -> tuple[dict[str, int], np.ndarray]:
         # row 0, of unknown runs and words, speaks for no language
@@ -148,7 +222,7 @@ def fit(samples: list[tuple[str, list[str]]]) -> Model:
         out[0] = 0
         return {k: i for i, k in enumerate(table, 1)}, out
 
-    return Model(langs, *logs(runs, 0.3), *logs(words, 0.1))
+    return Model(langs, *logs(runs, 0.3), *logs(words, 0.1), scripts)
 
 
 def viterbi(scores: list[np.ndarray], costs: list[np.ndarray]) -> list[np.ndarray]:
@@ -186,54 +260,86 @@ def viterbi(scores: list[np.ndarray], costs: list[np.ndarray]) -> list[np.ndarra
     return out
 
 
-def spans(model: Model, texts: list[str | None], hints: list[str | None] | None = None) -> list[list[tuple[int, str, int, float]]]:
-    """For each text its sentences as (line, language, words, confidence), in order.
+@dataclass(slots=True)
+class Span:
+    """A run of words of one language within a sentence."""
+
+    line: int
+    sentence: int
+    start: int
+    end: int
+    lang: str
+    n_words: int
+    confidence: float
+    #: whether the sentence as a whole is written in the language
+    whole: bool
+
 
-    A hint, a language code for each text, adds HINT to every word of that language.
+def spans(model: Model, texts: list[str | None], hints: list[str | None] | None = None) -> list[list[Span]]:
+    """The spans of each text, in order; sentences are numbered over the text, those without label included.
 
-    The language of a sentence is the one of most of its words, its confidence
-    the softmax of the summed word scores, halved towards 0.5 by short evidence.
+    A hint, a language code for each text, adds HINT to every known word of that
+    language. The confidence of a span is the softmax of its summed word scores,
+    drawn towards none by the weight of one word: (n * p + 1 / languages) / (n + 1).
     """
     parsed = [list(sentences(t)) if t else [] for t in texts]
-    every = model.scores([w for own in parsed for _, words in own for w in words])
+    every, known = model.scores([w for own in parsed for s in own for w in s.words])
     scores, costs, start = [], [], 0
     for own, hint in zip(parsed, hints or [None] * len(parsed)):
-        end = start + sum(len(words) for _, words in own)
+        end = start + sum(len(s.words) for s in own)
         score = every[start:end]
-        scores.append(score if hint is None else score + np.array([HINT * (lang == hint) for lang in model.langs]))
+        scores.append(score if hint is None else score + known[start:end, None] * np.array([HINT * (lang == hint) for lang in model.langs]))
         cost, at, before, start = np.full(len(score), INSIDE), 0, None, end
-        for line, words in own:
-            cost[at] = BETWEEN_SENTENCES if line == before else BETWEEN_LINES
-            at, before = at + len(words), line
+        for s in own:
+            cost[at] = BETWEEN_SENTENCES if s.line == before else BETWEEN_LINES
+            at, before = at + len(s.words), s.line
         costs.append(cost)
-    result = []
+    result, start, k = [], 0, len(model.langs)
     for own, score, label in zip(parsed, scores, viterbi(scores, costs)):
-        out, at = [], 0
-        for line, words in own:
-            end = at + len(words)
-            code = int(np.bincount(label[at:end]).argmax())
-            total = score[at:end].sum(axis=0)
-            odds = np.exp(np.clip(total - total[code], -50, 50)).sum()
-            out.append((line, model.langs[code], len(words), float(1 / odds)))
-            at = end
+        if not own:
+            result.append([])
+            continue
+        sizes = np.array([len(s.words) for s in own])
+        ends = np.cumsum(sizes)
+        firsts = ends - sizes
+        told = np.add.reduceat(known[start : start + len(score)], firsts, dtype=np.int64) >= KNOWN_WORDS * sizes
+        fresh = np.ones(len(label), bool)
+        fresh[1:] = label[1:] != label[:-1]
+        fresh[firsts] = True
+        begins = np.flatnonzero(fresh)
+        lengths = np.diff(np.append(begins, len(label)))
+        codes = label[begins]
+        total = np.add.reduceat(score, begins, axis=0)
+        odds = np.exp(np.clip(total - np.take_along_axis(total, codes[:, None].astype(np.int64), 1), -50, 50)).sum(axis=1)
+        sure = (lengths / odds + 1 / k) / (lengths + 1)
+        numbers = np.searchsorted(ends, begins, "right")
+        out = []
+        for no, at, n, code, p in zip(numbers.tolist(), begins.tolist(), lengths.tolist(), codes.tolist(), sure.tolist()):
+            if told[no]:
+                s, first = own[no], at - int(firsts[no])
+                out.append(Span(s.line, no, s.places[first][0], s.places[first + n - 1][1], model.langs[code], n, p, n >= WHOLE * len(s.words)))
         result.append(out)
+        start += len(score)
     return result
 
 
 def trained(samples: DataFrame, texts: DataFrame, fit_texts: int = FIT_TEXTS) -> Model:
     """Model from ``samples(lang, text)`` and up to ``fit_texts`` rows of ``texts(result_id, text, language)``, taken by a hash of the key.
 
-    The labels of those rows only tilt the scores, as part of them is wrong. More than MAX_SAMPLES samples raise ValueError; samples without language or
-    text are skipped.
+    Those rows have a label that names a language and at most FIT_CHARS
+    characters; their labels only tilt the scores, as part of them is wrong. More
+    than MAX_SAMPLES samples raise ValueError; samples without language or text
+    are skipped.
     """
     clean = samples.where("lang is not null and text is not null").select("lang", "text").limit(MAX_SAMPLES + 1).collect()
     if len(clean) > MAX_SAMPLES:
         raise ValueError(f"more than {MAX_SAMPLES} language samples")
-    known = [(label_code(r.lang) or r.lang, words) for r in clean for _, words in sentences(r.text)]
+    known = [(label_code(r.lang) or r.lang, s.words) for r in clean for s in sentences(r.text)]
     model = fit(known)
     if not model.langs:
         return model
-    some = texts.where("text is not null").select("result_id", "text", "language").orderBy(F.xxhash64("result_id"), "result_id").limit(fit_texts).collect()
+    labelled = texts.where(F.col("text").isNotNull() & (F.length("text") <= FIT_CHARS) & _code_of("language").isNotNull())
+    some = labelled.select("result_id", "text", "language").orderBy(F.xxhash64("result_id"), "result_id").limit(fit_texts).collect()
     return refit(known, [r.text for r in some], [label_code(r.language) for r in some])
 
 
@@ -248,45 +354,72 @@ def refit(known: list[tuple[str, list[str]]], texts: list[str], hints: list[str
     added = []
     for text, own in zip(texts, spans(model, texts, hints)):
         total: Counter = Counter()
-        for _, lang, n, _ in own:
-            total[lang] += n
+        for span in own:
+            total[span.lang] += span.n_words
         if total and total.most_common(1)[0][1] >= 0.6 * total.total():
             main = total.most_common(1)[0][0]
-            added.extend((main, words) for _, words in sentences(text))
+            added.extend((main, s.words) for s in sentences(text))
     model = fit(known + added)
-    added = [
-        (lang, words)
-        for text, own in zip(texts, spans(model, texts))
-        for (_, words), (_, lang, n, confidence) in zip(sentences(text), own)
-        if n >= 3 and confidence > 0.98
-    ]
+    added = []
+    for text, own in zip(texts, spans(model, texts)):
+        parsed = list(sentences(text))
+        added.extend((span.lang, parsed[span.sentence].words) for span in own if span.whole and span.n_words >= 3 and span.confidence * (span.n_words + 1) > 0.98 * span.n_words)
     return fit(known + added)
 
 
-SPAN_SCHEMA = "result_id bigint, line_no int, sentence_no int, lang string, n_words int, confidence double"
+def _batches(texts: DataFrame, samples: DataFrame, schema: str, of):
+    """``of(key, spans, label)`` gives the rows of each text; one pass over the texts, in Python batches."""
+    shared = texts.sparkSession.sparkContext.broadcast(trained(samples, texts))
+    names = [part.split()[0] for part in schema.split(", ")]
+    kinds = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}[part.split()[1]] for part in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            rows: list[tuple] = []
+            if model.langs:
+                keys, every, labels = (batch.column(i).to_pylist() for i in range(3))
+                for key, own, label in zip(keys, spans(model, every), labels):
+                    rows.extend(of(key, own, label))
+            columns = list(zip(*rows)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    return texts.select("result_id", "text", "language").mapInArrow(run, schema)
+
+
+SPAN_SCHEMA = "result_id bigint, line_no int, sentence_no int, start_pos int, end_pos int, lang string, n_words int, confidence double, is_whole boolean"
 
 
 def language_spans(texts: DataFrame, samples: DataFrame) -> DataFrame:
-    """One row for each sentence of ``texts(result_id, text, language)`` with its language and confidence.
+    """One row for each run of words of one language in a sentence of ``texts(result_id, text, language)``.
 
     ``line_no`` counts every line from 0, ``sentence_no`` the sentences of a text
-    that hold words. Null texts and texts without words give no rows; without
-    samples there are none for any text.
+    that hold words; positions are code points, end exclusive. ``is_whole`` tells
+    whether the language has the share WHOLE of the sentence's words. Null texts,
+    texts without words, and sentences in other scripts or of unknown words give
+    no rows; without samples there are none for any text.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(trained(samples, texts))
+    return _batches(texts, samples, SPAN_SCHEMA, lambda key, own, _: [(key, x.line, x.sentence, x.start, x.end, x.lang, x.n_words, x.confidence, x.whole) for x in own])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            rows = []
-            if model.langs:
-                for key, own in zip(batch.column(0).to_pylist(), spans(model, batch.column(1).to_pylist())):
-                    rows.extend((key, line, no, lang, n, sure) for no, (line, lang, n, sure) in enumerate(own))
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.float64())
-            columns = list(zip(*rows)) or [()] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in SPAN_SCHEMA.split(", ")])
 
-    return texts.select("result_id", "text").mapInArrow(run, SPAN_SCHEMA)
+LANGUAGE_SCHEMA = "result_id bigint, line_no int, lang string, n_words int, confidence double, right_label boolean"
+
+
+def of_text(key: int, own: list[Span], label: str | None) -> Iterator[tuple]:
+    """Rows of LANGUAGE_SCHEMA for the spans of one text."""
+    if not own:
+        return
+    total: dict[str, list[float]] = {}
+    lines: dict[tuple[int, str], list[float]] = {}
+    for x in own:
+        for at in (total.setdefault(x.lang, [0, 0.0]), *([lines.setdefault((x.line, x.lang), [0, 0.0])] if x.whole else [])):
+            at[0] += x.n_words
+            at[1] += x.n_words * x.confidence
+    main = min(total, key=lambda lang: (-total[lang][0], -sum(x.whole for x in own if x.lang == lang), lang))
+    yield key, -1, main, total[main][0], total[main][1] / total[main][0], label_code(label) == main
+    for (line, lang), (n, sure) in lines.items():
+        if lang != main:
+            yield key, line, lang, n, sure / n, None
 
 
 def languages(results: DataFrame, samples: DataFrame) -> DataFrame:
@@ -294,27 +427,19 @@ def languages(results: DataFrame, samples: DataFrame) -> DataFrame:
 
     ``results(result_id, text, language, loaded_at)``, each key in its last
     loaded delivery. line_no -1 is the main language, the one with most words
-    (ties: more sentences, then the first code), with ``right_label`` telling
+    (ties: more whole sentences, then the first code), with ``right_label`` telling
     whether the label names it; from 0 on, a language other than the main one in
-    which at least one sentence of that line is written, ``right_label`` null.
-    ``confidence`` is the mean over the words concerned. Extra columns are ignored.
+    which at least one whole sentence of that line is written, ``right_label``
+    null. ``confidence`` is the mean over the words concerned. Extra columns are
+    ignored. A text is labelled and summed up where it is read, in one pass.
     """
     rows = latest(results.select("result_id", "text", "language", "loaded_at"), "result_id", heavy=True)
-    found = language_spans(rows, samples)
-    by_line = found.groupBy("result_id", "line_no", "lang").agg(F.sum("n_words").alias("n_words"), F.count("*").alias("n_sentences"), F.sum(F.col("confidence") * F.col("n_words")).alias("sure"))
-    by_lang = by_line.groupBy("result_id", "lang").agg(F.sum("n_words").alias("n_words"), F.sum("n_sentences").alias("n_sentences"), F.sum("sure").alias("sure"))
-    main = by_lang.groupBy("result_id").agg(
-        F.max_by(F.struct("lang", "n_words", "sure"), F.struct("n_words", "n_sentences", (-F.ascii("lang")).alias("a"), (-F.ascii(F.substring("lang", 2, 1))).alias("b"))).alias("main")
-    )
-    labels = rows.select("result_id", _code_of("language").alias("label"))
-    whole = main.join(labels, "result_id").select(
-        "result_id", F.lit(-1).alias("line_no"), "main.lang", "main.n_words", (F.col("main.sure") / F.col("main.n_words")).alias("confidence"),
-        F.coalesce(F.col("label") == F.col("main.lang"), F.lit(False)).alias("right_label"),
-    )
-    parts = by_line.join(main.select("result_id", F.col("main.lang").alias("main_lang")), "result_id").where("lang <> main_lang").select(
-        "result_id", "line_no", "lang", "n_words", (F.col("sure") / F.col("n_words")).alias("confidence"), F.lit(None).cast("boolean").alias("right_label")
-    )
-    return whole.unionByName(parts)
+    return _batches(rows, samples, LANGUAGE_SCHEMA, of_text)
+
+
+def segments(results: DataFrame, samples: DataFrame) -> DataFrame:
+    """The spans of every result (see language_spans), each key in its last loaded delivery."""
+    return language_spans(latest(results.select("result_id", "text", "language", "loaded_at"), "result_id", heavy=True), samples)
 
 
 def _code_of(column: str):

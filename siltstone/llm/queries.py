@@ -31,6 +31,10 @@ def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "extract_results"), table(spark, sf_dir, "lang_samples"))
 
 
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.segments(table(spark, sf_dir, "extract_results"), table(spark, sf_dir, "lang_samples"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_languages(spark, sf_dir).where("line_no >= 0 or not right_label").select("result_id", "line_no", "lang")
 
@@ -97,7 +101,7 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_main_text, p2_found, p3_found, p3_languages, p4_found, p4_groups, p5_found, p5_pieces, p6_found, p6_leaks, p6_clean, p7_found, p7_mixture, p7_shares, p8_found, p8_mentions, p8_clean)
+    f.__name__: f for f in (p1_found, p1_main_text, p2_found, p3_found, p3_languages, p3_segments, p4_found, p4_groups, p5_found, p5_pieces, p6_found, p6_leaks, p6_clean, p7_found, p7_mixture, p7_shares, p8_found, p8_mentions, p8_clean)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -119,6 +119,37 @@ def test_languages(spark):
     got = {(r.result_id, r.line_no, r.lang, r.right_label) for r in language.languages(results, samples).collect()}
     assert got == {(1, -1, "de", True), (1, 2, "en", None), (2, -1, "en", True), (3, -1, "en", False), (3, 1, "ru", None), (7, -1, "en", False)}
     assert language.languages(results.limit(0), samples).count() == 0 and language.languages(results, samples.limit(0)).count() == 0
+    # a span reaches from its first word to its last one, in code points of the text
+    text = {r[0]: r[1] for r in rows if r[0] != 2}
+    found = [(r.result_id, r.line_no, r.lang, text[r.result_id][r.start_pos : r.end_pos], r.is_whole) for r in language.segments(results.where("result_id <> 2"), samples).orderBy("result_id", "start_pos").collect()]
+    assert (3, 1, "ru", "Никто не знает почему", True) in found and (1, 2, "en", "We should think twice before we start that", True) in found
+    assert all(0 < r.confidence < 1 for r in language.languages(results, samples).collect())
+
+
+def told(text, model=None):
+    model = model or language.fit([(lang, s.words) for lang, own in SAMPLES.items() for t in own for s in language.sentences(t)])
+    return [(x.lang, text[x.start : x.end], x.whole) for x in language.spans(model, [text])[0]]
+
+
+def test_languages_switch_inside_a_sentence():
+    # a vote of the sentence would give one language for all of it
+    text = "We should look at the house on the hill before we start, das Haus steht auf dem Berg und niemand weiß warum."
+    assert told(text) == [("en", "We should look at the house on the hill before we start", False), ("de", "das Haus steht auf dem Berg und niemand weiß warum", False)]
+    # the main language is that of most words, and no whole sentence is in another one
+    model = language.fit([(lang, s.words) for lang, own in SAMPLES.items() for t in own for s in language.sentences(t)])
+    assert [r[:4] for r in language.of_text(1, language.spans(model, [text])[0], "en")] == [(1, -1, "en", 12)]
+
+
+def test_scripts_and_unknown_words_have_no_label():
+    assert told("Αυτό είναι ένα ελληνικό κείμενο. 这是 一个 中文 文本") == [] and told("Xqzvk wrtpl mnbvcx qwrtzk plkjhz.") == []
+    assert told("Αυτό είναι ένα. The house stands on the hill.") == [("en", "The house stands on the hill", True)]
+    assert [language.script_of(w) for w in ("abc", "été", "дом", "λόγος", "中文", "한국", "かな", "שלום", "سلام", "a中")] == ["latin", "latin", "cyrillic", "greek", "han", "hangul", "kana", "hebrew", "arabic", "latin"]
+
+
+def test_sentences_keep_their_places():
+    text = "# Das Haus steht\n> x = 1\nSee “Dom, и” at www.a.b. The e\u0301te\u0301 ends!\n\nYes"
+    got = [(s.line, [text[a:b] for a, b in s.places], s.words) for s in language.sentences(text)]
+    assert got == [(0, ["Das", "Haus", "steht"], ["das", "haus", "steht"]), (2, ["See", "at", "The", "e\u0301te\u0301", "ends"], ["see", "at", "the", "été", "ends"]), (4, ["Yes"], ["yes"])]
 
 
 @pytest.mark.parametrize(("label", "code"), [("DE", "de"), ("de-AT", "de"), ("en_GB", "en"), ("Português", "pt"), ("ger", "de"), (" dut ", "nl"), ("xx", None), ("", None), (None, None), ("Polish", None)])
