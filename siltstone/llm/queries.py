@@ -79,6 +79,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.solve(documents, table(spark, sf_dir, "mix_targets")).where("not reachable").select("source")
 
 
+def p7_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source has and is to give, in words."""
+    documents = mixing.sized(table(spark, sf_dir, "documents"), mixing.word_size())
+    plan = mixing.solve(documents, table(spark, sf_dir, "mix_targets"))
+    return plan.select("source", "n_docs", "size", F.round("target_size", 3).alias("target_size"), "reachable")
+
+
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(*_mix(spark, sf_dir, mixing.token_count()("text")))
 
@@ -101,9 +108,15 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_main_text, p2_found, p3_found, p3_languages, p3_segments, p4_found, p4_groups, p5_found, p5_pieces, p6_found, p6_leaks, p6_clean, p7_found, p7_mixture, p7_shares, p8_found, p8_mentions, p8_clean)
+    f.__name__: f for f in (p1_found, p1_main_text, p2_found, p3_found, p3_languages, p3_segments, p4_found, p4_groups, p5_found, p5_pieces, p6_found, p6_leaks, p6_clean, p7_found, p7_plan, p7_mixture, p7_shares, p8_found, p8_mentions, p8_clean)
 }
 
+_SIZES = r"""words AS (
+            SELECT lower(trim(source, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) AS source,
+                   coalesce(len(regexp_extract_all(text, '[^ \t\n\r\x{00A0}]+')), 0) AS n FROM documents),
+        sizes AS (SELECT t.source, t.target_share, t.max_repeats, coalesce(sum(n), 0) AS n, count(n) AS n_docs
+                  FROM mix_targets t LEFT JOIN words USING (source) GROUP BY ALL)"""
+
 ORACLE_SQL: dict[str, str] = {
     "p2_found": r"""
         WITH latest_chunk AS (
@@ -156,11 +169,14 @@ ORACLE_SQL: dict[str, str] = {
         totals AS (SELECT item_id, count(*) AS total FROM item_runs GROUP BY item_id)
         SELECT d.doc_id, i.item_id FROM doc_runs d JOIN item_runs i USING (run) JOIN totals t USING (item_id)
         GROUP BY d.doc_id, i.item_id HAVING count(*) >= 0.3 * any_value(t.total)""",
-    "p7_found": r"""
-        WITH words AS (
-            SELECT lower(trim(source, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) AS source,
-                   coalesce(len(regexp_extract_all(text, '[^ \t\n\r\x{00A0}]+')), 0) AS n FROM documents),
-        sizes AS (SELECT t.source, t.target_share, t.max_repeats, coalesce(sum(n), 0) AS n
-                  FROM mix_targets t LEFT JOIN words USING (source) GROUP BY ALL)
+    "p7_found": rf"""
+        WITH {_SIZES}
         SELECT source FROM sizes WHERE max_repeats * n < target_share * (SELECT sum(n) FROM sizes)""",
+    "p7_plan": rf"""
+        WITH {_SIZES},
+        told AS (SELECT *, max_repeats * n >= target_share * (SELECT sum(n) FROM sizes) AS reachable FROM sizes),
+        short AS (SELECT nullif(sum(max_repeats * n), 0) / sum(target_share) AS total FROM told WHERE NOT reachable),
+        total AS (SELECT CASE WHEN (SELECT total FROM short) IS NULL THEN (SELECT sum(n) FROM sizes)
+                              ELSE greatest(0.2 * (SELECT sum(n) FROM sizes), (SELECT total FROM short)) END AS total)
+        SELECT source, n_docs, n::BIGINT AS size, round(target_share * total, 3) AS target_size, reachable FROM told, total""",
 }

@@ -1,3 +1,4 @@
+import math
 from datetime import datetime
 
 import pytest
@@ -37,6 +38,32 @@ def test_mixing_out_of_reach_takes_all_repeats(spark):
     assert copies[1] == 2 and not plan.where("source = 'a'").head().reachable
 
 
+def test_mixing_leaves_reachable_sources_their_shares(spark):
+    # c gives 400 words of the 500 that would be its share of all, d has nothing: the total shrinks until both are made up for
+    docs = [(i, "ab"[i % 2], "w " * (10 + i % 23)) for i in range(400)] + [(1000 + i, "c", "w " * 20) for i in range(10)]
+    targets = [("a", 0.5, 2), ("b", 0.4, 2), ("c", 0.06, 2), ("d", 0.04, 5)]
+    sized, plan = mix(spark, docs, targets)
+    rows = {r.source: r for r in plan.collect()}
+    assert [s for s in sorted(rows) if not rows[s].reachable] == ["c", "d"] and rows["c"].factor is None
+    assert rows["a"].target_size == pytest.approx(0.5 * 400 / 0.1)
+    mixed = mixing.mixture(sized, plan).cache()
+    got = {r.source: r for r in mixing.shares(mixed, plan).collect()}
+    assert all(got[s].reached_share == pytest.approx(t, rel=0.01) for s, t, _ in targets[:2]) and got["c"].mixed_size == 400 and got["d"].mixed_size == 0
+    # rates are an exponential tilt of the size
+    rates = {(r.size, r.rate) for r in mixed.where("source = 'a'").collect()}
+    factor = rows["a"].factor / rows["a"].mean_size
+    assert len(rates) > 5 and all(rate == pytest.approx(min(2, math.exp(factor * size))) for size, rate in rates)
+
+
+def test_mixing_reach_follows_from_the_dual(spark, monkeypatch):
+    # exactly all repeats is a finite multiplier's limit; a word less is out of reach, and without Newton steps nothing is told
+    docs = [(1, "a", "x " * 25), (2, "b", "x " * 75), (3, "a", "")]
+    assert mix(spark, docs, [("a", 0.5, 2), ("b", 0.5, 1)])[1].where("not reachable").count() == 0
+    assert [r.source for r in mix(spark, docs, [("a", 0.51, 2), ("b", 0.49, 1)])[1].where("not reachable").collect()] == ["a"]
+    monkeypatch.setattr(mixing, "_newton", lambda *args, **kwargs: None)
+    assert mix(spark, docs, [("a", 0.51, 2), ("b", 0.49, 1)])[1].where("not reachable").count() == 0
+
+
 def test_mixing_empty(spark):
     sized, plan = mix(spark, [], [("a", 1.0, 1)])
     assert plan.head().n_docs == 0 and mixing.shares(mixing.mixture(sized, plan), plan).head().reached_share == 0
