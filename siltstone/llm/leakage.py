@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,14 +20,23 @@ from pyspark.sql import functions as F
 
 #: Runs of Unicode letters and digits.
 WORD = re.compile(r"[^\W_]+")
-#: Bound on the words of all items together; the automaton has at most twice as many states and is broadcast.
-MAX_ITEM_WORDS = 5_000_000
+#: Bound on the words of one automaton, which has at most twice as many states and is broadcast; more items make several.
+MAX_ITEM_WORDS = 250_000
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def lowered(text: str) -> tuple[str, list[int] | None]:
+    """The text in lower case and, if that has another length, the place in the text that each of its characters stems from."""
+    low = text.lower()
+    if len(low) == len(text):
+        return low, None
+    # the whole is lowered at once, as some letters depend on their neighbours; its length is that of the letters alone
+    return low, [i for i, c in enumerate(text) for _ in c.lower()]
+
+
 @dataclass
 class Automaton:
     """Generalised suffix automaton over word numbers, read through ``runs``."""
@@ -125,14 +135,14 @@ def build(items: list[tuple[int, str | None]], run: int) -> Automaton:
 LEAK_SCHEMA = "doc_id bigint, item_id bigint, shared int, total int, longest int"
 
 
-def _automaton(items: DataFrame, run: int):
-    """The automaton of ``items(item_id, text)``, broadcast; too many items raise ValueError."""
-    texts = items.where("item_id is not null").select("item_id", "text")
-    size = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).head()["n"]
-    if size > 8 * MAX_ITEM_WORDS:
-        raise ValueError(f"evaluation items hold {size} characters; the automaton is meant for at most {8 * MAX_ITEM_WORDS}")
-    rows = [(r.item_id, r.text) for r in texts.orderBy("item_id").collect()]
-    return items.sparkSession.sparkContext.broadcast(build(rows, run))
+def _automata(items: DataFrame, run: int) -> list:
+    """Automata of ``items(item_id, text)``, broadcast: one, or as many as MAX_ITEM_WORDS calls for; each is built from its own items alone."""
+    texts = items.where("item_id is not null").select("item_id", "text").withColumn("n", F.coalesce(F.size(F.split("text", r"[^\p{L}\p{N}]+")), F.lit(0)))
+    size = texts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head()["n"]
+    n_parts = -(-size // MAX_ITEM_WORDS) or 1
+    part = F.pmod(F.xxhash64("item_id"), F.lit(n_parts))
+    spark = items.sparkSession
+    return [spark.sparkContext.broadcast(build([(r.item_id, r.text) for r in texts.where(part == i).orderBy("item_id").collect()], run)) for i in range(n_parts)]
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, run: int = 5, least: float = 0.3) -> DataFrame:
@@ -140,13 +150,19 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = 5, least: fl
 
     ``documents(doc_id, text)``, ``items(item_id, text)``; one row for each
     document and item: ``shared`` of ``total`` distinct runs, and the ``longest``
-    match in words. Documents stay where they are read, nothing is shuffled. Null
-    or empty texts and texts shorter than a run match nothing; no items or no
-    documents give no rows; extra columns are ignored. A repeated document key
-    gives a row for each repetition.
+    match in words at one of them, with any item of the same automaton. Documents stay where they are read, nothing is shuffled; they
+    are read again for each automaton beyond the first. Null or empty texts and
+    texts shorter than a run match nothing; no items or no documents give no rows;
+    extra columns are ignored. A repeated document key gives a row for each
+    repetition.
     """
-    shared_automaton = _automaton(items, run)
+    found = [documents.select("doc_id", "text").mapInArrow(_matcher(shared, least), LEAK_SCHEMA) for shared in _automata(items, run)]
+    if len(found) == 1:
+        return found[0]
+    return reduce(DataFrame.unionByName, found)
+
 
+def _matcher(shared_automaton, least: float):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared_automaton.value
         holders, totals = automaton.holders, automaton.totals
@@ -170,7 +186,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = 5, least: fl
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "shared", "total", "longest"])
 
-    return documents.select("doc_id", "text").mapInArrow(match, LEAK_SCHEMA)
+    return match
 
 
 def without_leaks(documents: DataFrame, items: DataFrame, run: int = 5, least: float = 0.3, span_words: int = 8) -> DataFrame:
@@ -182,41 +198,61 @@ def without_leaks(documents: DataFrame, items: DataFrame, run: int = 5, least: f
     spans. A span reaches from the first letter of its first word to the last
     of its last word. A null text stays null, with no words removed.
     """
-    shared_automaton = _automaton(items, run)
+    marked = documents.select(F.col("doc_id").cast("bigint"), "text", F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
+    for shared in _automata(items, run):
+        marked = marked.mapInArrow(_marker(shared, run, least, span_words), "doc_id bigint, text string, spans array<struct<a:int,b:int>>")
+    return marked.mapInArrow(_cut, "doc_id bigint, text string, removed_words int")
+
+
+_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
 
-    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marker(shared_automaton, run: int, least: float, span_words: int):
+    """Adds the spans of one automaton, as places in the text, to those of the automata before."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared_automaton.value
         for batch in batches:
-            texts, removed = [], []
-            for text in batch.column(1).to_pylist():
-                clean, gone = text, 0
-                if text:
-                    low = text.lower()
-                    # a text whose lower case has other positions is cut in its lower case
-                    base = text if len(low) == len(text) else low
-                    places = [m.span() for m in WORD.finditer(low)]
-                    hits = list(automaton.runs([low[a:b] for a, b in places]))
-                    if hits:
-                        count: dict[int, set[int]] = {}
-                        for _, _, state in hits:
-                            for item in automaton.holders[state]:
-                                count.setdefault(item, set()).add(state)
-                        bad = {item for item, states in count.items() if len(states) >= least * automaton.totals[item]}
-                        spans: list[list[int]] = []
-                        for end, length, state in hits:
-                            if length >= span_words or not bad.isdisjoint(automaton.holders[state]):
-                                first = end - (length if length >= span_words else run) + 1
-                                if spans and first <= spans[-1][1] + 1:
-                                    spans[-1] = [min(first, spans[-1][0]), end]
-                                else:
-                                    spans.append([first, end])
-                        kept, at = [], 0
-                        for first, end in spans:
-                            kept.append(base[at : places[first][0]])
-                            at, gone = places[end][1], gone + end - first + 1
-                        clean = "".join(kept) + base[at:]
-                texts.append(clean)
-                removed.append(gone)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], names=["doc_id", "text", "removed_words"])
-
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(strip, "doc_id bigint, text string, removed_words int")
+            every = []
+            for text, before in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                every.append(before + [{"a": a, "b": b} for a, b in _shared_spans(automaton, text, run, least, span_words)] if text else before)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(every, _SPANS)], names=["doc_id", "text", "spans"])
+
+    return mark
+
+
+def _shared_spans(automaton: Automaton, text: str, run: int, least: float, span_words: int) -> list[tuple[int, int]]:
+    low, at_char = lowered(text)
+    places = [m.span() for m in WORD.finditer(low)]
+    hits = list(automaton.runs([low[a:b] for a, b in places]))
+    if at_char is not None:
+        # a word reaches to the end of the character that its last letter stems from
+        places = [(at_char[a], at_char[b - 1] + 1) for a, b in places]
+    count: dict[int, set[int]] = {}
+    for _, _, state in hits:
+        for item in automaton.holders[state]:
+            count.setdefault(item, set()).add(state)
+    bad = {item for item, states in count.items() if len(states) >= least * automaton.totals[item]}
+    spans: list[list[int]] = []
+    for end, length, state in hits:
+        if length >= span_words or not bad.isdisjoint(automaton.holders[state]):
+            first = end - (length if length >= span_words else run) + 1
+            if spans and first <= spans[-1][1] + 1:
+                spans[-1] = [min(first, spans[-1][0]), end]
+            else:
+                spans.append([first, end])
+    return [(places[first][0], places[end][1]) for first, end in spans]
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, removed = [], []
+        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            kept, at, gone = [], 0, 0
+            for a, b in sorted((x["a"], x["b"]) for x in spans):
+                kept.append(text[at : max(at, a)])
+                gone += len(WORD.findall(text[max(at, a) : b]))
+                at = max(at, b)
+            texts.append("".join(kept) + text[at:] if spans else text)
+            removed.append(gone)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], names=["doc_id", "text", "removed_words"])

@@ -312,12 +312,16 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def groups(members: DataFrame, links: DataFrame) -> DataFrame:
-    """One row for each chunk with a class: its class, group, number of linked other classes and of copies."""
-    degree = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
-    copies = members.groupBy("class").agg(F.count("*").alias("n_copies"))
-    return (
-        members.join(copies, "class")
-        .join(degree, "class", "left")
-        .join(components(links).withColumnRenamed("node", "class"), "class", "left")
-        .select("chunk_id", "class", F.coalesce("component", "class").alias("group_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    """One row for each chunk with a class: its class_id and group_id, the number of linked other classes and of copies.
+
+    A class is named by its smallest chunk_id, a group by that of all its chunks.
+    Only classes that some chunk has in its last delivery count.
+    """
+    ensure_checkpoint_dir(members.sparkSession)
+    classes = members.groupBy("class").agg(F.min("chunk_id").alias("class_id"), F.count("*").alias("n_copies"))
+    live = links.select("a", "b").join(classes.select(F.col("class").alias("a")), "a", "left_semi").join(classes.select(F.col("class").alias("b")), "b", "left_semi").checkpoint()
+    degree = live.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
+    linked = classes.join(components(live).withColumnRenamed("node", "class"), "class", "left").join(degree, "class", "left")
+    firsts = linked.where("component is not null").groupBy("component").agg(F.min("class_id").alias("group_id"))
+    told = linked.join(firsts, "component", "left").select("class", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return members.join(told, "class").select("chunk_id", "class_id", "group_id", "n_copies", "n_links")

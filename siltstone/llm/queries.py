@@ -111,6 +111,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_main_text, p2_found, p3_found, p3_languages, p3_segments, p4_found, p4_groups, p5_found, p5_pieces, p6_found, p6_leaks, p6_clean, p7_found, p7_plan, p7_mixture, p7_shares, p8_found, p8_mentions, p8_clean)
 }
 
+_SHARED = r"""latest_chunk AS (
+            SELECT chunk_id, text FROM chunk_payloads WHERE chunk_id IS NOT NULL
+            QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at DESC) = 1),
+        words AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') AS w FROM latest_chunk),
+        runs AS (SELECT DISTINCT chunk_id, w[i:i+2] AS run FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+        sizes AS (SELECT chunk_id, count(*) AS n FROM runs GROUP BY chunk_id),
+        shared AS (
+            SELECT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b, count(*) AS n
+            FROM runs a JOIN runs b ON a.run = b.run AND a.chunk_id < b.chunk_id GROUP BY ALL)"""
+_LEAKS = r"""item_words AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') AS w FROM eval_items),
+        item_places AS (SELECT item_id, i, w[i:i+4] AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM item_words)),
+        item_runs AS (SELECT DISTINCT item_id, run FROM item_places),
+        doc_words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') AS w FROM documents),
+        doc_places AS (SELECT doc_id, i, w[i:i+4] AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM doc_words)),
+        doc_runs AS (SELECT DISTINCT doc_id, run FROM doc_places),
+        totals AS (SELECT item_id, count(*) AS total FROM item_runs GROUP BY item_id)"""
 _SIZES = r"""words AS (
             SELECT lower(trim(source, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) AS source,
                    coalesce(len(regexp_extract_all(text, '[^ \t\n\r\x{00A0}]+')), 0) AS n FROM documents),
@@ -130,18 +146,23 @@ ORACLE_SQL: dict[str, str] = {
             FROM usable a JOIN usable b ON a.collection = b.collection AND a.chunk_id <> b.chunk_id),
         top AS (SELECT a, b, s FROM scored WHERE s >= 0.84 QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 10)
         SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM top WHERE s >= 0.85""",
-    "p4_found": r"""
-        WITH latest_chunk AS (
-            SELECT chunk_id, text FROM chunk_payloads WHERE chunk_id IS NOT NULL
-            QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at DESC) = 1),
-        words AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') AS w FROM latest_chunk),
-        runs AS (SELECT DISTINCT chunk_id, w[i:i+2] AS run FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
-        sizes AS (SELECT chunk_id, count(*) AS n FROM runs GROUP BY chunk_id),
-        shared AS (
-            SELECT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b, count(*) AS n
-            FROM runs a JOIN runs b ON a.run = b.run AND a.chunk_id < b.chunk_id GROUP BY ALL)
+    "p4_found": rf"""
+        WITH {_SHARED}
         SELECT chunk_a, chunk_b FROM shared s JOIN sizes x ON x.chunk_id = chunk_a JOIN sizes y ON y.chunk_id = chunk_b
         WHERE s.n >= 0.6 * (x.n + y.n - s.n)""",
+    "p4_groups": rf"""
+        WITH RECURSIVE {_SHARED},
+        sets AS (SELECT chunk_id, list_sort(list(run)) AS runs FROM runs GROUP BY chunk_id),
+        classes AS (SELECT chunk_id, min(chunk_id) OVER (PARTITION BY runs) AS class_id, count(*) OVER (PARTITION BY runs) AS n_copies FROM sets),
+        links AS (SELECT chunk_a AS a, chunk_b AS b FROM shared s JOIN sizes x ON x.chunk_id = chunk_a JOIN sizes y ON y.chunk_id = chunk_b
+                  WHERE s.n >= 0.6 * (x.n + y.n - s.n) AND chunk_a IN (SELECT class_id FROM classes) AND chunk_b IN (SELECT class_id FROM classes)),
+        both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reached AS (SELECT DISTINCT class_id AS node, class_id AS other FROM classes
+                    UNION SELECT r.node, e.b FROM reached r JOIN both_ways e ON e.a = r.other),
+        named AS (SELECT node, min(other) AS group_id FROM reached GROUP BY node),
+        degree AS (SELECT a AS node, count(*) AS n_links FROM both_ways GROUP BY a)
+        SELECT chunk_id, class_id, group_id, n_copies, coalesce(n_links, 0) AS n_links
+        FROM classes c JOIN named n ON n.node = c.class_id LEFT JOIN degree d ON d.node = c.class_id""",
     "p5_found": r"""
         WITH latest_request AS (
             SELECT request_id, chunk_size FROM ingest_requests QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY loaded_at DESC) = 1),
@@ -159,16 +180,22 @@ ORACLE_SQL: dict[str, str] = {
             FROM long)
         SELECT chunk_id, CASE WHEN max(len(regexp_extract_all(sentence, '[^ \t\n\r\x{00A0}]+'))) > any_value(size_limit) THEN 'forced' ELSE 'natural' END AS cut
         FROM sentences GROUP BY chunk_id""",
-    "p6_found": r"""
-        WITH item_words AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') AS w FROM eval_items),
-        item_runs AS (
-            SELECT DISTINCT item_id, w[i:i+4] AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM item_words)),
-        doc_words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') AS w FROM documents),
-        doc_runs AS (
-            SELECT DISTINCT doc_id, w[i:i+4] AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM doc_words)),
-        totals AS (SELECT item_id, count(*) AS total FROM item_runs GROUP BY item_id)
+    "p6_found": rf"""
+        WITH {_LEAKS}
         SELECT d.doc_id, i.item_id FROM doc_runs d JOIN item_runs i USING (run) JOIN totals t USING (item_id)
         GROUP BY d.doc_id, i.item_id HAVING count(*) >= 0.3 * any_value(t.total)""",
+    "p6_leaks": rf"""
+        WITH {_LEAKS},
+        leaks AS (SELECT d.doc_id, i.item_id, count(*)::INT AS shared, any_value(t.total)::INT AS total
+                  FROM doc_runs d JOIN item_runs i USING (run) JOIN totals t USING (item_id) GROUP BY d.doc_id, i.item_id HAVING count(*) >= 0.3 * any_value(t.total)),
+        -- the longest stretch of the document that any item holds and that ends with a run of this item
+        ends AS (SELECT DISTINCT l.doc_id, l.item_id, x.i + 4 AS last FROM leaks l JOIN doc_places x USING (doc_id) JOIN item_runs r ON r.item_id = l.item_id AND r.run = x.run),
+        hits AS (SELECT DISTINCT x.doc_id, x.i AS place, y.item_id, y.i - x.i AS shift FROM doc_places x JOIN item_places y USING (run)),
+        islands AS (SELECT doc_id, place, place - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY place) AS island, item_id, shift FROM hits),
+        stretches AS (SELECT doc_id, place + 4 AS last, row_number() OVER (PARTITION BY doc_id, item_id, shift, island ORDER BY place) + 4 AS words FROM islands),
+        longest AS (SELECT doc_id, last, max(words) AS words FROM stretches GROUP BY ALL)
+        SELECT l.doc_id, l.item_id, any_value(shared) AS shared, any_value(total) AS total, max(words)::INT AS longest
+        FROM leaks l JOIN ends USING (doc_id, item_id) JOIN longest USING (doc_id, last) GROUP BY l.doc_id, l.item_id""",
     "p7_found": rf"""
         WITH {_SIZES}
         SELECT source FROM sizes WHERE max_repeats * n < target_share * (SELECT sum(n) FROM sizes)""",

@@ -5,7 +5,8 @@ heading), paragraph (two line feeds), sentence, word. Every gap between two
 words has the strongest separator found in it. A stretch of text above the
 limit is cut at its strongest separators first, and each part that is still too
 long at the next weaker ones; the parts are then packed greedily, and each
-piece opens with the last words of the piece before it. With ``measure='chars'``
+piece opens with the last words of the piece before it, always as many as the
+overlap says: a sentence that does not fit beside them is cut. With ``measure='chars'``
 the hierarchy goes one level further down, to the character.
 """
 
@@ -62,12 +63,15 @@ def units(levels: list[int], first: int, last: int, limit: int, level: int, out:
             begin = i + 1
 
 
-def pack(parts: list[tuple[int, int]], limit: int, overlap: int, finer: Callable[[int, int], list[int]]) -> list[tuple[int, int, int]]:
+def pack(
+    parts: list[tuple[int, int]], limit: int, overlap: int, finer: Callable[[int, int], list[int]], last_end: Callable[[int, int], int] = lambda first, upto: upto
+) -> list[tuple[int, int, int]]:
     """(first word with overlap, first new word, end) of each piece.
 
-    A part that does not fit beside the whole overlap is cut at the places that
-    ``finer`` gives for it; only where there are none, within one sentence, is
-    the overlap shortened.
+    Every piece but the first opens with ``overlap`` words of the piece before it,
+    or all of them if it has fewer. A part that does not fit beside them is cut at
+    the places that ``finer`` gives for it; where there are none, within one
+    sentence, at ``last_end``, the last place up to where the piece is full.
     """
     pieces: list[tuple[int, int, int]] = []
     start = new = end = 0
@@ -79,8 +83,11 @@ def pack(parts: list[tuple[int, int]], limit: int, overlap: int, finer: Callable
                 left.extend(list(zip([first, *cuts], [*cuts, last]))[::-1])
                 continue
             pieces.append((start, new, end))
-            new = first
-            start = max(first - overlap, start, last - limit)
+            new, start = first, max(first - overlap, start)
+            if last - start > limit:
+                full = last_end(first, start + limit)
+                left.append((full, last))
+                last = full
         end = last
     if end > new:
         pieces.append((start, new, end))
@@ -145,8 +152,12 @@ def split_chars(text: str, limit: int, overlap: int) -> tuple[str, list[tuple[in
                 return inside
         return []
 
+    def last_end(first: int, upto: int) -> int:
+        at = cuts[PLAIN][bisect_right(cuts[PLAIN], upto) - 1] if cuts[PLAIN] else first
+        return at if at > first else upto
+
     forced = any(b - a > limit for a, b in spans)
-    return ("forced" if forced else "natural"), [(s, n, e, e - s, n - s) for s, n, e in pack(parts, limit, overlap, finer)]
+    return ("forced" if forced else "natural"), [(s, n, e, e - s, n - s) for s, n, e in pack(parts, limit, overlap, finer, last_end)]
 
 
 PIECE_SCHEMA = "chunk_id bigint, piece_no int, cut string, start_pos int, new_pos int, end_pos int, size int, repeated int, piece string"

@@ -73,6 +73,16 @@ def test_last_delivery_and_groups(spark):
     assert nearcopies.pairs(*empty).count() == 0 and nearcopies.groups(*empty).count() == 0
 
 
+def test_groups_count_live_classes_only(spark):
+    base = [f"w{i}" for i in range(40)]
+    one, two = " ".join(base), " ".join([*base[:12], "x", "y", "z", *base[12:30], "p", "q"])
+    between = " ".join([*base[:12], "x", *base[12:33]])
+    rows = [(1, one, T0), (2, two, T0), (3, between, T0), (3, "something else altogether now", T0 + timedelta(1))]
+    assert brute([(1, one), (2, two), (3, between)]) == {(1, 3), (2, 3)}
+    groups = {r.chunk_id: (r.class_id, r.group_id, r.n_copies, r.n_links) for r in nearcopies.groups(*nearcopies.near_copies(spark.createDataFrame(rows, "chunk_id bigint, text string, loaded_at timestamp"))).collect()}
+    assert groups == {1: (1, 1, 1, 0), 2: (2, 2, 1, 0), 3: (3, 3, 1, 0)}
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1, 1.0) for i in range(0, 20)] + [(100, 101, 1.0)], "a bigint, b bigint, similarity double")
     got = {r.node: r.component for r in nearcopies.components(links).collect()}

@@ -1,7 +1,6 @@
 import re
 from datetime import datetime
 
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -31,14 +30,18 @@ def test_words_round_trip_and_limits(text, limit, overlap):
     assert [w for s, n, e, _, _ in pieces for w in WORDS.findall(text[n:e])] == words
     for (start, new, end, size, repeated), before in zip(pieces, [None, *pieces]):
         assert size == len(WORDS.findall(text[start:end])) <= limit and repeated == len(WORDS.findall(text[start:new])) <= overlap
-        if before:
-            assert repeated == 0 or text[start:new].split()[-1] == text[: before[2]].split()[-1]
+        # the overlap is whole unless the piece before is smaller
+        assert repeated == (min(overlap, limit - 1, before[3]) if before else 0)
+        if repeated:
+            assert text[start:new].split()[-1] == text[: before[2]].split()[-1]
     if cut == "natural":
         ends = {len(WORDS.findall(text[:n])) for _, n, _, _, _ in pieces}
         borders, n = {0}, 0
         for s in sentences(text):
-            n += len(WORDS.findall(s))
-            borders.add(n)
+            size = len(WORDS.findall(s))
+            # only a sentence that does not fit beside the overlap is cut within
+            borders.update(range(n + 1, n + size + 1) if size > limit - min(overlap, limit - 1) else [n + size])
+            n += size
         assert ends <= borders
 
 
@@ -58,8 +61,11 @@ def test_overlap_is_whole_before_a_paragraph_of_several_sentences():
     text = "a b c d e f.\n\nG h i j k. L m n o p."
     assert [p[4] for p in splitting.split_words(text, 10, 4)[1]] == [0, 4, 4]
     assert [p[4] for p in splitting.split_chars(text, 20, 8)[1]][1:] == [8, 8]
-    # a sentence alone that does not fit beside the overlap shortens it
-    assert [p[4] for p in splitting.split_words("a b c d e f.\n\nG h i j k l m n.", 10, 4)[1]] == [0, 2]
+    # a sentence alone that does not fit beside the overlap is cut where the piece is full, between characters only if a word is too long
+    text = "a b c d e f.\n\nG h i j k l m n."
+    assert [(text[n:e], r) for _, n, e, _, r in splitting.split_words(text, 10, 4)[1]] == [("a b c d e f.", 0), ("G h i j k l", 4), ("m n.", 4)]
+    text = "Aaaa bbbb. Cccc dddd eeee."
+    assert [(text[n:e], r) for _, n, e, _, r in splitting.split_chars(text, 16, 6)[1]] == [("Aaaa bbbb. ", 0), ("Cccc dddd ", 6), ("eeee.", 6)]
 
 
 def test_very_long_text():
@@ -112,7 +118,22 @@ def test_leaks(spark):
     assert leakage.leaked_items(table.limit(0), items).count() == 0 and leakage.leaked_items(table, items.limit(0)).count() == 0
 
 
-def test_too_many_items(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "MAX_ITEM_WORDS", 1)
-    with pytest.raises(ValueError):
-        leakage.leaked_items(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), spark.createDataFrame(ITEMS, "item_id bigint, text string"))
+def test_clean_keeps_case_where_lower_case_is_longer(spark):
+    docs = [(1, "İstanbul Is A BIG City."), (2, f"İİ {ITEMS[0][1]} İ Stays HERE"), (3, f"ΑΣ ΣΑΣ, {ITEMS[0][1].upper()}. ΟΔΟΣ")]
+    table, items = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    clean = {r.doc_id: r.text for r in leakage.without_leaks(table, items).collect()}
+    assert clean == {1: docs[0][1], 2: "İİ  İ Stays HERE", 3: "ΑΣ ΣΑΣ, . ΟΔΟΣ"}
+    for _, text in docs:
+        low, at = leakage.lowered(text)
+        assert at is None or len(at) == len(low)
+
+
+def test_many_items_make_several_automata(spark, monkeypatch):
+    items = [*ITEMS, *((10 + i, f"item number {i} says that rivers run slowly past hill {i} and mill {i % 3} at night") for i in range(12))]
+    docs = [(1, f"intro. {ITEMS[0][1]}! outro"), (2, f"{items[7][1]} then {items[9][1]}. end"), (3, None), (4, "")]
+    table, known = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    one = leakage.without_leaks(table, known).collect()
+    monkeypatch.setattr(leakage, "MAX_ITEM_WORDS", 40)
+    assert len(leakage._automata(known, 5)) > 3
+    assert {(r.doc_id, r.item_id) for r in leakage.leaked_items(table, known).collect()} == brute(docs, items, 5, 0.3)
+    assert leakage.without_leaks(table, known).collect() == one and one[1].text == " then . end"
