@@ -1,29 +1,35 @@
 """Personal data in free text: mentions with their places, and the text with typed placeholders.
 
-Mail boxes, telephone numbers, identity numbers and street addresses have forms
-that patterns describe. Names have none; they are found by how strongly terms
-disclose a person. Over the whole corpus, Spark counts for the beginnings and
-endings of terms how often they occur at all and how often right beside a
-protected entity: a listed given name or an initial. The pointwise mutual
-information between the two, in bits, is the disclosure of a term; terms above
-the threshold are family names. A capitalised word right after a listed given
-name or an initial, with particles between them or not, is a family name there by
-the disclosure of the whole word among its capitalised occurrences, whatever its
-affixes; such words, which may be common ones, are not sought where they stand
-alone. What stands before family names far more often
-than elsewhere is a given name in turn, listed or not. In the cleaned text a
-family name that stands alone is generalised too.
+What a term discloses is measured by its co-occurrence with protected entities
+over the whole corpus, as pointwise mutual information in bits, and everything
+that is not told by its form alone is decided so:
+
+- Names have no form. A capitalised word right after a listed given name or an
+  initial, with particles between them or not, is a family name there by the
+  disclosure of the whole word among its capitalised occurrences. Elsewhere the
+  beginnings and endings of terms are the back-off: those that disclose a person
+  tell family names, listed or seen before or not. What stands before family names
+  far more often than elsewhere is a given name in turn.
+- Numbers have a form that other numbers share. Telephone and identity numbers are
+  candidates by pattern, and the term before a candidate confirms or rejects it:
+  where the numbers after a term are protected far less often than numbers in
+  general, it is rejected.
+- Mail boxes and street addresses are told by their form.
+
+Counts and thresholds are shares of the corpus, so that they behave alike at every
+size. In the cleaned text a family name that stands alone is generalised too.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.sources.tables import ensure_checkpoint_dir
@@ -35,10 +41,14 @@ ENDING_BITS, BEGINNING_BITS = 6.0, 4.0
 WORD_BITS = 4.0
 #: Least share of a disclosing ending's occurrences that stand beside a protected entity, and least number of them.
 LEAST_SHARE, LEAST_SEEN = 0.25, 2
+#: An affix needs this share of all neighbours of protected entities too, so that at most four times the inverse disclose, whatever the corpus.
+LEAST_PART = 1e-5
+#: How many bits less than numbers in general the numbers after a term may be protected, and least digits of a number that counts.
+REJECT_BITS, LEAST_DIGITS = 1.0, 6
 #: Share of the occurrences of a word that must stand before a family name for it to be a given name.
 GIVEN_SHARE = 0.5
-#: Bounds on what is broadcast: listed given names, disclosing affixes.
-MAX_GIVEN, MAX_AFFIXES = 200_000, 500_000
+#: Bound on the listed given names, which are broadcast.
+MAX_GIVEN = 200_000
 
 #: Titles and determiners that are no given names.
 NO_GIVEN = frozenset("mr mrs ms miss dr prof sir herr frau mme mlle monsieur madame sr sra srta señor señora don doña dhr mevr the a an el la le les der die das".split())
@@ -47,6 +57,8 @@ PARTICLES = frozenset("van von vom der den de del della dello di da das do dos d
 DETERMINERS = frozenset(("the", "a", "an"))
 #: Kinds of ways that follow, precede or end the name of a street.
 AFTER = "street|st|road|rd|lane|ln|avenue|ave|av|drive|dr|court|ct|boulevard|blvd|close|crescent|terrace|place|pl|square|sq|way|row|walk|grove|gardens|mews|hill|parkway|highway"
+#: Kinds of ways whose full stop belongs to them unless a sentence may end there; after St, Ave, Av and Dr it always does.
+ABBREVIATED = "rd|ln|blvd|ct|pl|sq"
 BEFORE_FR = "rue|avenue|av\\.|chemin|boulevard|bd|allée|impasse|place|quai|route|cours|passage|square"
 BEFORE_ES = "calle|c/|avenida|avda\\.?|av\\.|plaza|paseo|camino|carrer|rua|travessa|largo|praça|via|viale|piazza|corso|vicolo"
 ENDING_DE = "straße|strasse|str\\.|weg|gasse|allee|platz|damm|ufer|ring|steig|straat|laan|gracht|plein|kade"
@@ -71,7 +83,7 @@ PHONE = re.compile(
     r"(?<![\w.+/-])(?:"
     r"\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}"
     r"|\+\d{1,3}(?:[ .-]?\d{1,5}){2,6}"
-    r"|00\d{2}(?:[ .-]\d{1,5}){2,5}"
+    r"|00\d{2}(?:[ .-]\d{1,8}){2,5}"
     r"|\(\d{3}\)\s?\d{3}[ .-]\d{4}"
     r"|\d{3}([.-])\d{3}\1\d{4}"
     r"|0\d{2,4}/\d{5,9}"
@@ -83,11 +95,12 @@ IDENTITY = re.compile(
     r"(?<![\w./+-])(?:\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4}|\d{3}-\d{3}-\d{3}|\d{2} \d{3} \d{3} \d{3}|\d{2}\.\d{2}\.\d{2}-\d{3}\.\d{2}"
     r"|[A-Z]{2} \d{2} \d{2} \d{2} [A-Z]|[A-Z]{2}\d{6}[A-Z]|[A-Z]\d{8}|\d{8}[A-Z]|[XYZ]\d{7}[A-Z])(?![\w]|[-./]\d)"
 )
-#: Words right before a number that is no person's: of builds, tickets, runs and tables.
-NO_PERSON = re.compile(r"(?:build|ticket|run|table|tables|issue|job|batch|release|version|commit|checksum|order|invoice|case|port|host|timestamp|row|rows|run id|part)\s*(?:no\.?|nr\.?|id|#|number)?\s*[:#=]?\s*$", re.I)
+#: Any number long enough to be taken for one of the two, and the term before it, two words if the last is short.
+NUMBER = re.compile(r"(?<![\w.+/-])[+(]?\d[\d(). /-]{3,}\d")
+BEFORE_NUMBER = re.compile(rf"({_LETTER}+)(?:[^\w\n]+({_LETTER}{{1,3}}))?[^\w\n]*$")
 
 STREET = re.compile(
-    rf"(?<![\w+.,-])(?:{_NUMBER}[ \t ]+(?!the\b)(?:{_NAME_WORD}[ \t ]+){{1,3}}?(?:St\.|(?:{AFTER})\b)(?![ \t ]+view\b)"
+    rf"(?<![\w+.,-])(?:{_NUMBER}[ \t ]+(?!the\b)(?:{_NAME_WORD}[ \t ]+){{1,3}}?(?:(?:St|Ave|Av|Dr)\.|(?:{ABBREVIATED})\.(?=[,;]|[ \t ]+(?-i:[a-z0-9]))|(?:{AFTER})\b)(?![ \t ]+view\b)"
     rf"|{_NUMBER},?[ \t ]+(?:{BEFORE_FR})[ \t ]+(?:(?:de la|de l['’]|de|des|du|d['’])[ \t ]*)?[A-ZÀ-Ý][\w'’-]*(?:[ \t ]+[A-ZÀ-Ý][\w'’-]*){{0,3}}"
     rf"|\b(?:{BEFORE_ES})[ \t ]+(?:(?:de las|de los|de la|del|de|da|do|dei|della|delle)[ \t ]+)?[A-ZÀ-Ý][\w'’-]*(?:[ \t ]+[A-ZÀ-Ý][\w'’-]*){{0,3}},?[ \t ]+(?:n[º°o]\.?[ \t ]*|n\.[ \t ]*)?{_NUMBER}"
     rf"|[A-ZÄÖÜ][\w-]*(?:{ENDING_DE})[ \t ]+{_NUMBER})",
@@ -120,32 +133,65 @@ class StreetWords:
         return found
 
 
-def structured(text: str, streets: StreetWords | None = None) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of mail boxes, telephone numbers, identity numbers and street addresses, without overlaps."""
+class Spans:
+    """Places that do not overlap, in order."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def take(self, start: int, end: int) -> bool:
+        """Whether the place was free; it is taken then."""
+        at = bisect_left(self.starts, end)
+        if at and self.ends[at - 1] > start:
+            return False
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+        return True
+
+    def free(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, end)
+        return not (at and self.ends[at - 1] > start)
+
+
+def structured(text: str, streets: StreetWords | None = None, taken: Spans | None = None) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of mail boxes, street addresses, and candidates for telephone and identity numbers, without overlaps."""
     found: list[tuple[str, int, int]] = []
-    low_at = "@" in text or "(at)" in text or "[at]" in text or (" at " in text and " dot " in text) or "AT" in text
-    if low_at:
+    taken = Spans() if taken is None else taken
+
+    def take(kind: str, m: re.Match) -> None:
+        if taken.take(m.start(), m.end()):
+            found.append((kind, m.start(), m.end()))
+
+    if "@" in text or "(at)" in text or "[at]" in text or (" at " in text and " dot " in text) or "AT" in text:
         for m in EMAIL.finditer(text):
             box = re.split(r"\s?(?:@|\[at\]|\(at\)|\bat\b)\s?", m.group(0), maxsplit=1, flags=re.I)[0]
-            if box.lower() in NO_BOX_NAMES or NO_BOX_BEFORE.search(text[max(0, m.start() - 3) : m.start()]) or NO_BOX_AFTER.match(text[m.end() : m.end() + 2]):
-                continue
-            found.append(("email", m.start(), m.end()))
-    for kind, pattern in (("phone", PHONE), ("id_number", IDENTITY)):
-        for m in pattern.finditer(text):
-            digits = sum(c.isdigit() for c in m.group(0))
-            if kind == "phone" and not 9 <= digits <= 15:
-                continue
-            if NO_PERSON.search(text[max(0, m.start() - 24) : m.start()]):
-                continue
-            if not any(a < m.end() and m.start() < b for _, a, b in found):
-                found.append((kind, m.start(), m.end()))
+            if not (box.lower() in NO_BOX_NAMES or NO_BOX_BEFORE.search(text[max(0, m.start() - 3) : m.start()]) or NO_BOX_AFTER.match(text[m.end() : m.end() + 2])):
+                take("email", m)
+    for m in PHONE.finditer(text):
+        if 9 <= sum(c.isdigit() for c in m.group(0)) <= 15:
+            take("phone", m)
+    for m in IDENTITY.finditer(text):
+        take("id_number", m)
     if (streets or StreetWords()).any_in(text.split()):
         for m in STREET.finditer(text):
-            if not any(a < m.end() and m.start() < b for _, a, b in found):
-                found.append(("street_address", m.start(), m.end()))
+            take("street_address", m)
     return sorted(found, key=lambda x: x[1])
 
 
+def term_before(text: str, at: int) -> str | None:
+    """The term before a number on its line, in lower case."""
+    m = BEFORE_NUMBER.search(text[max(0, at - 40) : at])
+    return None if m is None else " ".join(w for w in m.groups() if w).lower()
+
+
+def other_numbers(text: str, taken: Spans) -> Iterator[int]:
+    """Starts of the numbers that are no candidates."""
+    for m in NUMBER.finditer(text):
+        if sum(c.isdigit() for c in m.group(0)) >= LEAST_DIGITS and taken.free(m.start(), m.end()):
+            yield m.start()
+
+
 def core(token: str) -> str | None:
     """The bare word of a token between white space, in lower case; None for what is not a word."""
     word = token.strip(_STRIP)
@@ -251,21 +297,29 @@ LEFT = re.compile(rf"(?:({_LETTER}[\w'’-]*){_SPACE})?((?:{_INITIAL}[ \t ]*)*)$
 RIGHT = re.compile(rf",{_SPACE}({_LETTER}[\w'’-]*|{_INITIAL})")
 
 
+#: A word as a whole, genitive included, not within an address or a file name.
+WHOLE_WORD = re.compile(rf"(?<![\w@.+-]){_LETTER}+(?:[-'’]{_LETTER}+)*(?![\w@-]|\.\w)")
+
+
 def name_candidates(text: str, families: Families) -> list[tuple[int, int, str | None, int, int, str | None, int]]:
     """Each family name with its surroundings: (start, end, word before, its start, start of initials or -1, word after a comma, its end)."""
-    hits = {t for t in text.split() if families.is_family(t)}
+    hits = {t.strip(_STRIP) for t in text.split() if families.is_family(t)}
     out = []
-    for word in {t.strip(_STRIP) for t in hits}:
-        for m in re.finditer(rf"(?<![\w@.+-]){re.escape(word)}(?![\w@-]|\.\w)", text):
-            left = LEFT.search(text[max(0, m.start() - 60) : m.start()])
-            base = max(0, m.start() - 60)
-            before, initials = left.group(1), left.group(2)
-            right = RIGHT.match(text[m.end() : m.end() + 60])
-            determined = before is None or not re.search(r"\b(?:the|The)\s+$", text[max(0, base + left.start(1) - 6) : base + left.start(1)])
-            out.append(
-                (m.start(), m.end(), before.lower() if before and determined else None, base + left.start(1) if before else -1, base + left.start(2) if initials else -1,
-                 right.group(1).lower() if right else None, m.end() + right.end(1) if right else -1)
-            )
+    for m in WHOLE_WORD.finditer(text) if hits else ():
+        word, start = m.group(0), m.start()
+        if word not in hits:
+            word = bare(word)
+            if word not in hits:
+                continue
+        end, base = start + len(word), max(0, start - 60)
+        left = LEFT.search(text[base:start])
+        before, initials = left.group(1), left.group(2)
+        right = RIGHT.match(text[end : end + 60])
+        determined = before is None or not re.search(r"\b(?:the|The)\s+$", text[max(0, base + left.start(1) - 6) : base + left.start(1)])
+        out.append(
+            (start, end, before.lower() if before and determined else None, base + left.start(1) if before else -1, base + left.start(2) if initials else -1,
+             right.group(1).lower() if right else None, end + right.end(1) if right else -1)
+        )
     return out
 
 
@@ -297,47 +351,88 @@ def direct_names(text: str, forms: frozenset[str], families: Families) -> list[t
     return out
 
 
-FOUND = "doc_id bigint, kind string, start_pos int, end_pos int, given string, given_start int, initial_start int, after string, after_end int"
+FOUND = "doc_id bigint, kind string, start_pos int, end_pos int, given string, given_start int, initial_start int, after string, after_end int, n int"
 
 
 def _scan(shared, given: frozenset[str]):
+    """Rows of FOUND: mentions and candidates, and for each batch the terms before other numbers, kind 'number', with their count n.
+
+    ``given`` holds the term before a telephone or identity number, and the word
+    before a family name.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         families, streets = Families(shared.value), StreetWords()
         forms = _forms(given)
         names = [x.split()[0] for x in FOUND.split(", ")]
-        types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32())
+        types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32())
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
+            numbers: Counter = Counter()
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text:
                     continue
-                found = structured(text, streets)
-                rows.extend((key, kind, a, b, None, -1, -1, None, -1) for kind, a, b in found)
+                taken = Spans()
+                for kind, a, b in structured(text, streets, taken):
+                    rows.append((key, kind, a, b, term_before(text, a) if kind in ("phone", "id_number") else None, -1, -1, None, -1, 1))
+                numbers.update(term_before(text, a) for a in other_numbers(text, taken))
                 for a, b, word, initial in direct_names(text, forms, families):
-                    if any(x < b and a < y for _, x, y in found):
+                    if not taken.free(a, b):
                         continue
                     if word is None:
-                        found.append(("person_name", a, b))
-                        rows.append((key, "person_name", a, b, None, -1, -1, None, -1))
+                        taken.take(a, b)
+                        rows.append((key, "person_name", a, b, None, -1, -1, None, -1, 1))
                     else:
-                        rows.append((key, "direct", a, b, word, -1, a if initial else -1, None, -1))
-                for a, b, *rest in name_candidates(text, families):
-                    if not any(x < b and a < y for _, x, y in found):
-                        rows.append((key, "family", a, b, *rest))
+                        rows.append((key, "direct", a, b, word, -1, a if initial else -1, None, -1, 1))
+                rows.extend((key, "family", a, b, *rest, 1) for a, b, *rest in name_candidates(text, families) if taken.free(a, b))
+            rows.extend((None, "number", -1, -1, term, -1, -1, None, -1, n) for term, n in numbers.items() if term)
             columns = list(zip(*rows)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     return run
 
 
+def _prior(counts: DataFrame, kind: str) -> float:
+    """Share of the occurrences of terms of a kind that stand beside a protected entity; 1 if none does."""
+    base = counts.where(F.col("kind") == kind).agg(F.sum("seen").alias("seen"), F.sum("beside").alias("beside")).head()
+    return (base["beside"] or 0) / max(1, base["seen"] or 0) or 1.0
+
+
+def _bits(part: Column, whole: Column, prior: float | Column) -> Column:
+    return F.log2((part / whole) / (F.lit(prior) if isinstance(prior, float) else prior))
+
+
+def disclosing_affixes(counts: DataFrame) -> list[str]:
+    """Beginnings ('<') and endings ('>') that disclose a person; not more than four times 1 / LEAST_PART, as each needs that share of all neighbours."""
+    prior = _prior(counts, "w")
+    bits = _bits(F.col("beside"), F.col("seen"), prior)
+    # no term can have more bits than this; where neighbours are frequent half of it is asked for
+    half = math.log2(1 / prior) / 2
+    total = counts.where("kind = 'w'").agg(F.sum("beside")).head()[0] or 0
+    ending = (F.col("kind") == ">") & (bits >= min(ENDING_BITS, half)) & (F.col("beside") / F.col("seen") >= LEAST_SHARE) & (F.col("beside") >= LEAST_SEEN)
+    beginning = (F.col("kind") == "<") & (bits >= min(BEGINNING_BITS, half))
+    told = counts.where("kind in ('<', '>') and beside > 0").where(F.col("beside") >= LEAST_PART * total).where(ending | beginning)
+    return [r.kind + r.term for r in told.select("kind", "term").collect()]
+
+
+def numbers_told(found: DataFrame) -> DataFrame:
+    """The telephone and identity numbers of ``found`` but those after a term that rejects them."""
+    numbers = found.where("kind in ('phone', 'id_number', 'number')").withColumn("hit", F.when(F.col("kind") != "number", F.col("n")).otherwise(0))
+    base = numbers.where("given is not null").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n")).head()
+    prior = (base["hit"] or 0) / max(1, base["n"] or 0) or 1.0
+    terms = numbers.where("given is not null").groupBy("given").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n")).where("hit > 0")
+    rejecting = terms.where(_bits(F.col("hit") + 0.5, F.col("n") + 1, prior) < -REJECT_BITS).select("given")
+    return numbers.where("hit > 0").join(rejecting, "given", "left_anti").select("doc_id", "kind", "start_pos", "end_pos")
+
+
 def personal_data(documents: DataFrame, given_names: DataFrame) -> DataFrame:
     """Mentions (doc_id, kind, start_pos, end_pos) in ``documents(doc_id, text)``, positions in code points, end exclusive.
 
     Kinds: email, phone, id_number, street_address, person_name, and term for a
     family name that stands alone. ``given_names(given_name)`` need not be
     complete. A null or empty text has no mentions; rows with a null key are
-    dropped; extra columns are ignored. More listed names or disclosing affixes
-    than MAX_GIVEN or MAX_AFFIXES raise ValueError, as those are broadcast.
+    dropped; extra columns are ignored. More listed names than MAX_GIVEN raise
+    ValueError, as those are broadcast.
     """
     spark = documents.sparkSession
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
@@ -348,26 +443,12 @@ def personal_data(documents: DataFrame, given_names: DataFrame) -> DataFrame:
     counts = texts.select("text").mapInArrow(_count(given), "kind string, term string, seen bigint, beside bigint").groupBy("kind", "term").agg(F.sum("seen").alias("seen"), F.sum("beside").alias("beside"))
     ensure_checkpoint_dir(spark)
     counts = counts.checkpoint()
-    base = counts.where("kind = 'w'").agg(F.sum("seen").alias("seen"), F.sum("beside").alias("beside")).head()
-    prior = (base["beside"] or 0) / max(1, base["seen"] or 0) or 1.0
-    bits = F.log2((F.col("beside") / F.col("seen")) / F.lit(prior))
-    # no term can have more bits than this; where neighbours are frequent half of it is asked for
-    half = math.log2(1 / prior) / 2
-    share = F.col("beside") / F.col("seen")
-    disclosing = counts.where("kind <> 'w' and beside > 0").where(
-        ((F.col("kind") == ">") & (bits >= min(ENDING_BITS, half)) & (share >= LEAST_SHARE) & (F.col("beside") >= LEAST_SEEN)) | ((F.col("kind") == "<") & (bits >= min(BEGINNING_BITS, half)))
-    )
-    terms = [r.kind + r.term for r in disclosing.select("kind", "term").limit(MAX_AFFIXES + 1).collect()]
-    if len(terms) > MAX_AFFIXES:
-        raise ValueError(f"more than {MAX_AFFIXES} disclosing affixes")
-    found = texts.mapInArrow(_scan(spark.sparkContext.broadcast(frozenset(terms)), given), FOUND).checkpoint()
+    found = texts.mapInArrow(_scan(spark.sparkContext.broadcast(frozenset(disclosing_affixes(counts))), given), FOUND).checkpoint()
 
     # words beside given names, by their own disclosure; a word after initials alone must be seen so twice
-    capital = counts.where("kind = 'n'")
-    base = capital.agg(F.sum("seen").alias("seen"), F.sum("beside").alias("beside")).head()
-    prior = (base["beside"] or 0) / max(1, base["seen"] or 0) or 1.0
+    prior = _prior(counts, "n")
     least = min(WORD_BITS, math.log2(1 / prior) / 2)
-    disclosed = capital.where("beside > 0").where(F.log2((F.col("beside") / F.col("seen")) / F.lit(prior)) >= least)
+    disclosed = counts.where("kind = 'n' and beside > 0").where(_bits(F.col("beside"), F.col("seen"), prior) >= least)
     direct = (
         found.where("kind = 'direct'")
         .join(disclosed.select(F.col("term").alias("given"), "beside"), "given")
@@ -380,7 +461,7 @@ def personal_data(documents: DataFrame, given_names: DataFrame) -> DataFrame:
     before = family.where("given is not null").groupBy(F.col("given").alias("term")).agg(F.count("*").alias("n_before"))
     learned = (
         before.join(counts.where("kind = 'w'").select("term", "seen"), "term")
-        .where((F.col("n_before") >= GIVEN_SHARE * F.col("seen")) & (F.col("n_before") >= 2) & ~F.col("term").isin(*NO_GIVEN))
+        .where((F.col("n_before") >= GIVEN_SHARE * F.col("seen")) & (F.col("n_before") >= LEAST_SEEN) & ~F.col("term").isin(*NO_GIVEN))
         .select("term")
     )
     names = learned.unionByName(spark.createDataFrame([(g,) for g in sorted(given)], "term string")).distinct()
@@ -395,7 +476,8 @@ def personal_data(documents: DataFrame, given_names: DataFrame) -> DataFrame:
     alone = (start == F.col("start_pos")) & ~F.col("is_after")
     end = F.when((start == F.col("start_pos")) & F.col("is_after"), F.col("after_end")).otherwise(F.col("end_pos"))
     people = told.select("doc_id", F.when(alone, "term").otherwise("person_name").alias("kind"), start.alias("start_pos"), end.alias("end_pos"))
-    return found.where("kind not in ('family', 'direct')").select("doc_id", "kind", "start_pos", "end_pos").unionByName(people).unionByName(direct).distinct()
+    by_form = found.where("kind in ('email', 'street_address', 'person_name')").select("doc_id", "kind", "start_pos", "end_pos")
+    return by_form.unionByName(numbers_told(found)).unionByName(people).unionByName(direct).distinct()
 
 
 #: Placeholders.
@@ -408,17 +490,19 @@ def cleaned(documents: DataFrame, mentions: DataFrame) -> DataFrame:
     Of overlapping mentions the one that starts first holds, of two that start
     together the longer. Documents without mentions and null texts stay as they are.
     """
-    kinds = F.create_map(*[F.lit(x) for pair in PLACEHOLDERS.items() for x in pair])
-    spans = mentions.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", (-F.col("end_pos")).alias("miss"), kinds[F.col("kind")].alias("mark")))).alias("spans"))
-    step = "struct(acc.out || substring(text, acc.at + 1, s.start_pos - acc.at) || s.mark as out, -s.miss as at, acc.n + 1 as n)"
-    folded = f"aggregate(spans, struct(cast('' as string) as out, 0 as at, 0 as n), (acc, s) -> if(s.start_pos < acc.at, acc, {step}))"
-    return (
-        documents.select("doc_id", "text")
-        .join(spans, "doc_id", "left")
-        .withColumn("done", F.when(F.col("spans").isNotNull(), F.expr(folded)))
-        .select(
-            "doc_id",
-            F.when(F.col("done").isNotNull(), F.concat("done.out", F.expr("substring(text, done.at + 1)"))).otherwise(F.col("text")).alias("text"),
-            F.coalesce("done.n", F.lit(0)).alias("n_mentions"),
-        )
-    )
+    spans = mentions.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", (-F.col("end_pos")).alias("miss"), "kind"))).alias("spans"))
+    return documents.select(F.col("doc_id").cast("bigint"), "text").join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_replace, "doc_id bigint, text string, n_mentions int")
+
+
+def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, counts = [], []
+        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            parts, at, n = [], 0, 0
+            for span in spans or ():
+                if text is not None and span["start_pos"] >= at:
+                    parts += text[at : span["start_pos"]], PLACEHOLDERS[span["kind"]]
+                    at, n = -span["miss"], n + 1
+            texts.append("".join(parts) + text[at:] if n else text)
+            counts.append(n)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=["doc_id", "text", "n_mentions"])

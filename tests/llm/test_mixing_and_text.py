@@ -202,6 +202,10 @@ def test_labels(label, code, spark):
         ("tax 06 221 854 741, asked", "id_number", "06 221 854 741"),
         ("to 12a Mill Lane, Upper Town", "street_address", "12a Mill Lane"),
         ("at 7 Old St. and", "street_address", "7 Old St."),
+        ("to 96 Ferry Ave., second floor", "street_address", "96 Ferry Ave."),
+        ("lives at 9 Mill Rd. The", "street_address", "9 Mill Rd"),
+        ("at 9 Mill Rd., Upper", "street_address", "9 Mill Rd."),
+        ("0044-1632-960014.", "phone", "0044-1632-960014"),
         ("au 7 bis, avenue du Vieux Port.", "street_address", "7 bis, avenue du Vieux Port"),
         ("en Calle de los Sauces, 41.", "street_address", "Calle de los Sauces, 41"),
         ("Büro: Mühlgrabenweg 10.", "street_address", "Mühlgrabenweg 10"),
@@ -248,6 +252,28 @@ def test_names_by_whole_words(spark):
     assert names_in(spark, texts, ["Anke", "Mei", "Grace", "Will"]) == ["Anke K. de la Cruz", "Anke Wolf", "Grace Young", "Mei Ruiz", "Mei van der Berg"]
 
 
+def test_terms_before_numbers_confirm_or_reject(spark):
+    texts = [f"Ticket {100000 + i} is open. Passport 987-65-43{i:02d} was pasted." for i in range(30)] + ["Ticket 987-65-4320 is open.", "Newly seen 987-65-4321 here.", "987-65-4322", f"{'9' * 50_000} 987-65-4323"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    mentions = privacy.personal_data(docs, spark.createDataFrame([("Ann",)], "given_name string"))
+    got = {(r.doc_id, texts[r.doc_id][r.start_pos : r.end_pos]) for r in mentions.collect()}
+    assert got == {(i, f"987-65-43{i:02d}") for i in range(30)} | {(31, "987-65-4321"), (32, "987-65-4322"), (33, "987-65-4323")}
+
+
+def test_affixes_are_bounded_by_their_share(spark):
+    # each affix needs a share of all neighbours, so that rare ones fall away as the corpus grows
+    counts = spark.createDataFrame([("w", "x", 10**9, 10**6), (">", "rare", 3, 3), (">", "often", 40, 20), ("<", "rare", 3, 3), ("<", "ofte", 30, 20), (">", "comm", 10**7, 100)], "kind string, term string, seen bigint, beside bigint")
+    assert sorted(privacy.disclosing_affixes(counts)) == ["<ofte", ">often"]
+    assert sorted(privacy.disclosing_affixes(counts.where("seen < 1000").unionByName(spark.createDataFrame([("w", "x", 10**6, 100)], counts.schema)))) == ["<ofte", "<rare", ">often", ">rare"]
+
+
+def test_cleaning_is_linear_and_keeps_overlaps_whole(spark):
+    docs = spark.createDataFrame([(1, "a@b.cc " * 20_000), (2, "0123456789"), (3, None)], "doc_id bigint, text string")
+    mentions = spark.createDataFrame([(1, "email", 7 * i, 7 * i + 6) for i in range(20_000)] + [(2, "phone", 2, 5), (2, "email", 2, 7), (2, "term", 4, 9), (2, "term", 8, 10)], "doc_id bigint, kind string, start_pos int, end_pos int")
+    got = {r.doc_id: (r.text, r.n_mentions) for r in privacy.cleaned(docs, mentions).collect()}
+    assert got == {1: ("[EMAIL] " * 20_000, 20_000), 2: ("01[EMAIL]7[NAME]", 2), 3: (None, 0)}
+
+
 def test_names_of_a_directory(spark):
     # half of all words stand beside a given name
     people = [f"{g} {b}{e}" for g in ("Ann", "Bob") for b in ("Brock", "Till") for e in ("vonk", "moor")]
