@@ -2,14 +2,18 @@
 
 The events of the standard-library parser are streamed into lines, one for each
 block of text. A line's ratio is its text against its tags; ratios are smoothed
-by a Gaussian along the page and clustered into two by threshold, and the
-lines above it are the content lines. The region around them is the element
-that holds the headline, or without headline the element whose own lines weigh
-most among the content lines. Of that region, what belongs to the article
-itself is kept: its own lines, lists and data tables, and the elements nested in
-it, at any depth, whose text is for the greater part content lines, or which are
-data (cells of a table, code, captions). Furniture, teasers and lines that are
-links as a whole are left out.
+by a Gaussian along the page and clustered into two by threshold, and the lines
+above it are the content lines. They select the region: the innermost element
+around the headline that holds lines of some ratio, or without headline the
+element whose own lines weigh most among the content lines. A page whose lines
+have no ratio has no main body, headline or not.
+
+Structure draws the borders of the region around the content lines. Its own
+lines belong to it, short ones and lists too, as cells, items and captions have
+no ratio of their own; in a page without an element for the article, lists of
+links only between content lines. Elements nested in it, at any depth, belong if
+their text is for the greater part content lines, or is data (cells of a table,
+code, captions). Furniture and teasers are left out.
 """
 
 from __future__ import annotations
@@ -42,6 +46,8 @@ DATA, LEAST_CELLS = frozenset("td th pre caption figcaption".split()), 4
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A line with this share of its text in links is a link.
 LINK_SHARE = 0.9
+#: Part of the border that some line around a headline must reach in its smoothed ratio.
+LEAST_RATIO = 0.1
 
 
 @dataclass(slots=True)
@@ -222,38 +228,39 @@ def main_lines(page: Lines) -> list[bool]:
         home.append(at)
 
     full = [line.link_chars >= LINK_SHARE * len("".join(line.text.split())) for line in lines]
-    ratios = [(0.0 if link else float(len(line.text))) / max(1, line.tags) for line, link in zip(lines, full)]
-    smooth = smoothed(ratios)
-    border = threshold(smooth)
-    content = [s >= border and not link for s, link in zip(smooth, full)]
-    mass = _mass(lines, home, content, regions) or _mass(lines, home, [not link for link in full], regions)
+    smooth, border, content = content_lines(lines, full)
+    if not any(content):
+        return [False] * len(lines)
+    # where furniture alone is above the border, any line with a ratio counts
+    mass = _mass(lines, home, content, regions) or _mass(lines, home, [value > 0 and not link for value, link in zip(smooth, full)], regions)
 
     head = next((i for i, line in enumerate(lines) if line.holder == "h1"), None)
     region, kept = None, set()
     if head is not None:
         region = home[head]
-        while regions[region].tag == "header" and region:
+        while region and (regions[region].tag == "header" or not any(smooth[i] >= LEAST_RATIO * border and _inside(regions, home[i], region) for i in range(len(lines)))):
             region = regions[region].parent
-        if any(at == region and line.holder not in ("h1", "h2", "h3") for at, line in zip(home, lines)):
-            kept = {region}
-        else:
-            # a region of headings alone: its body is what is nested in it
-            inner = {at: m for at, m in mass.items() if _inside(regions, at, region)}
-            kept = {max(inner, key=inner.get)} if inner else {region}
+        while not kept:
+            inner = {at: m for at, m in mass.items() if at != region and _inside(regions, at, region)}
+            if any(at == region and line.holder not in ("h1", "h2", "h3") for at, line in zip(home, lines)) or (not region and not inner):
+                kept = {region}
+            elif inner:
+                # a region of headings alone: its body is what is nested in it
+                kept = {max(inner, key=inner.get)}
+            else:
+                region = regions[region].parent
     elif mass:
         region = max(mass, key=mass.get)
         kept = {region}
     if region is None:
         return [False] * len(lines)
     kept |= _nested(lines, home, content, full, smooth, border, regions, region, kept)
-    # a list of nothing but links is a list of related pages
-    linked: dict[int, bool] = {}
-    for line, link in zip(lines, full):
-        if line.list_no:
-            linked[line.list_no] = linked.get(line.list_no, True) and link
+    inside = [i for i, at in enumerate(home) if at in kept and content[i]] or [0]
+    # the page itself holds the furniture too
+    bare = {at for at in kept if regions[at].tag in ("page", "body")}
     good = [
-        i == head or (at in kept and not link and not (line.list_no and linked[line.list_no]) and _own(line))
-        for i, (line, at, link) in enumerate(zip(lines, home, full))
+        i == head or (at in kept and _own(line) and not (at in bare and full[i] and not inside[0] < i < inside[-1]))
+        for i, (line, at) in enumerate(zip(lines, home))
     ]
     if region not in kept:
         # headings of the region stand over what follows them
@@ -262,6 +269,14 @@ def main_lines(page: Lines) -> list[bool]:
     return good
 
 
+def content_lines(lines: list[Line], full: list[bool]) -> tuple[list[float], float, list[bool]]:
+    """Smoothed ratio of each line, the border between the two clusters, and which lines are content; a link has ratio 0."""
+    ratios = [(0.0 if link else float(len(line.text))) / max(1, line.tags) for line, link in zip(lines, full)]
+    smooth = smoothed(ratios)
+    border = threshold(smooth)
+    return smooth, border, [value >= border and value > 0 and not link for value, link in zip(smooth, full)]
+
+
 def _nested(
     lines: list[Line], home: list[int], content: list[bool], full: list[bool], smooth: list[float], border: float, regions: list[Region], outer: int, kept: set[int]
 ) -> set[int]:

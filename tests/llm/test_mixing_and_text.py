@@ -87,13 +87,33 @@ def main(html):
 
 def test_main_body():
     got = main(PAGE)
-    assert got[0] == "Head & line" and got[-2:] == ["Sub", "code()"] and "cell" in got and "12" in got and len(got) == 7
+    assert got[0] == "Head & line" and got[-2:] == ["Sub", "code()"] and "cell" in got and "12" in got and len(got) == 8
+
+
+def test_main_body_depends_on_ratios(monkeypatch):
+    pages = [PAGE, f"<p>{ARTICLE}</p><p>More. {ARTICLE}", f"<div><h1>H</h1></div><div class=body><p>{ARTICLE}</p><p>{ARTICLE}</p></div>"]
+    assert [len(main(page)) for page in pages] == [8, 2, 3]
+    # a headline whose element has no text of any ratio gives way to what is around it
+    assert main(f"<body><div><h1><a href=/>Site</a></h1></div><div><p>{ARTICLE}</p><p>{ARTICLE}</p></div></body>") == ["Site", ARTICLE, ARTICLE]
+    # the threshold selects the lines of a page without headline: boilerplate in a like element is left out by its ratio alone
+    links = "".join(f"<p><a href=/{i}>Item {i}</a> <a href=/x{i}>more</a></p>" for i in range(6))
+    page = f"<div>{links}</div><div><p>{ARTICLE}</p><p>{ARTICLE}</p></div><div>{links}</div>"
+    assert main(page) == [ARTICLE, ARTICLE]
+    monkeypatch.setattr(boilerplate, "smoothed", lambda ratios: [0.0] * len(ratios))
+    assert [main(page) for page in pages] == [[], [], []]
+
+
+def test_lists_of_links():
+    linked = "<ul><li><a href=/a>One page</a></li><li><a href=/b>Other page</a></li></ul>"
+    # they belong to the element of the article, and to the page itself only between content lines
+    assert main(f"<nav>{linked}</nav><article><h1>H</h1><p>{ARTICLE}</p>{linked}</article><div>{linked}</div>") == ["H", ARTICLE, "One page", "Other page"]
+    assert main(f"<body>{linked}<p>{ARTICLE}</p>{linked}<p>{ARTICLE}</p>{linked}</body>") == [ARTICLE, "One page", "Other page", ARTICLE]
 
 
 def test_main_body_odd_pages():
     assert main("plain text without tags") == [] and boilerplate.parse("").lines == []
     assert main(f"<p>{ARTICLE}</p><p>More. {ARTICLE}") == [ARTICLE, f"More. {ARTICLE}"]
-    assert main(f"<div><h1>H</h1></div><div class=body><p>{ARTICLE}</p><p>{ARTICLE}</p></div>") in (["H"], ["H", ARTICLE, ARTICLE])
+    assert main(f"<div><h1>H</h1></div><div class=body><p>{ARTICLE}</p><p>{ARTICLE}</p></div>") == ["H", ARTICLE, ARTICLE]
     deep = "<div>" * 5000 + f"<p>{ARTICLE}" + "</div>" * 5000
     assert main(deep) == [ARTICLE]
 
