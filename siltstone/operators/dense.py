@@ -11,8 +11,8 @@ from pyspark.sql.types import StructType
 
 from siltstone.operators.sparse import top_k
 
-#: Vectors of one block on either side.
-BLOCK = 4096
+#: Vectors of one block on either side at most, and of rows at least where there are cores for more blocks.
+BLOCK, LEAST_BLOCK = 4096, 512
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -44,31 +44,40 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 10, by: list[str] | Non
     q = queries.where(usable).withColumn("width", F.size("vector"))
     r = rows.where(usable).withColumn("width", F.size("vector"))
     # counted before vectors are looked at, so that computed ones are not computed for it
-    n_q, n_r = (max(1, -(-d.count() // BLOCK)) for d in (queries, rows))
+    of_q, of_r = queries.count(), rows.count()
+    n_q = max(1, -(-of_q // BLOCK))
+    # small tables are cut further, to give every core a block of some size
+    n_r = max(1, -(-of_r // BLOCK), min(queries.sparkSession.sparkContext.defaultParallelism // n_q, of_r // LEAST_BLOCK))
     q = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))))
     r = r.withColumn("rb", F.pmod(F.xxhash64("row_id"), F.lit(n_r))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
     keys = [*by, "width", "qb", "rb"]
     # both sides may stem from one table: new names keep their columns apart
     r = r.toDF(*[f"{c}_" for c in r.columns]).toDF(*r.columns)
     met_schema = f"query_id {dict(q.dtypes)['query_id']}, row_id {dict(r.dtypes)['row_id']}, score double"
-    kinds = [to_arrow_type(f.dataType) for f in StructType.fromDDL(met_schema)]
+    empty = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(met_schema)]).empty_table()
     floor = -2.0 if least is None else least
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if left.num_rows and right.num_rows:
-            x, y = _matrix(left["vector"]), _matrix(right["vector"])
-            size = lambda m: np.where((s := np.linalg.norm(m, axis=1)) == 0, 1, s)[:, None]
-            score = (x / size(x)) @ (y / size(y)).T
-            q_ids, r_ids = left["query_id"].to_pylist(), right["row_id"].to_pylist()
-            for i, own in enumerate(score):
-                near = np.flatnonzero(own >= floor)
-                if len(near) > 2 * k + 2:
-                    edge = np.partition(own[near], len(near) - k - 1)[len(near) - k - 1] - 1e-12
-                    near = near[own[near] >= edge]
-                out.extend((q_ids[i], r_ids[j], float(own[j])) for j in near if include_self or r_ids[j] != q_ids[i])
-        columns = list(zip(*out)) or [(), (), ()]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "row_id", "score"), columns, kinds)})
+        if not left.num_rows or not right.num_rows:
+            return empty
+        size = lambda m: np.where((s := np.linalg.norm(m, axis=1)) == 0, 1, s)[:, None]
+        x, y = (m / size(m) for m in (_matrix(left["vector"]), _matrix(right["vector"])))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for start in range(0, len(x), 256):
+            score = x[start : start + 256] @ y.T
+            good = score >= floor
+            if score.shape[1] > 2 * k + 2:
+                # one more than k, for the row itself, and what ties with the last one up to rounding
+                edge = np.partition(score, score.shape[1] - k - 1, axis=1)[:, score.shape[1] - k - 1]
+                good &= score >= edge[:, None] - 1e-9
+            i, j = np.nonzero(good)
+            found.append((start + i, j, score[i, j]))
+        i, j, score = (np.concatenate([f[n] for f in found]) for n in range(3))
+        table = pa.table({"query_id": left["query_id"].combine_chunks().take(pa.array(i)), "row_id": right["row_id"].combine_chunks().take(pa.array(j)), "score": score})
+        if include_self:
+            return table.cast(empty.schema)
+        other = [a != b for a, b in zip(table["query_id"].to_pylist(), table["row_id"].to_pylist())]
+        return table.filter(pa.array(other, pa.bool_())).cast(empty.schema)
 
     met = q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInArrow(meet, met_schema)
     return top_k(met.withColumn("score", F.round("score", 9)), k, key="row_id")

@@ -15,12 +15,13 @@ def postings(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """(key, term_id, tf, dl) of each term of each document; dl counts all tokens of it.
 
     Null and empty texts and texts of stop words have no postings. Repeated keys
-    count as one document with the tokens of all their rows.
+    count as one document with the tokens of all their rows. One shuffle, of the
+    token lists by key, serves length and counts.
     """
-    tokens = documents.where(F.col(key).isNotNull()).select(F.col(key), T.tokens(F.col(text)).alias("tokens"))
-    terms = tokens.select(key, F.size("tokens").alias("n"), F.explode("tokens").alias("token")).select(key, T.token_id(F.col("token")).alias("term_id"))
-    counted = terms.groupBy(key, "term_id").agg(F.count("*").cast("int").alias("tf"))
-    return counted.withColumn("dl", F.sum("tf").over(Window.partitionBy(key)).cast("int"))
+    tokens = documents.where(F.col(key).isNotNull()).select(F.col(key), T.tokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 0).repartition(key)
+    lengths = tokens.withColumn("dl", F.sum(F.size("tokens")).over(Window.partitionBy(key)).cast("int"))
+    terms = lengths.select(key, "dl", F.explode("tokens").alias("token")).select(key, "dl", T.token_id(F.col("token")).alias("term_id"))
+    return terms.groupBy(key, "term_id").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
 
 
 def term_counts(posted: DataFrame) -> DataFrame:
@@ -28,9 +29,14 @@ def term_counts(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term_id").agg(F.count("*").alias("df"))
 
 
-def collection_stats(posted: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row (n_docs, avgdl), of the documents that have postings; 0 and null for none."""
-    return posted.select(key, "dl").distinct().agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+def collection_stats(posted: DataFrame) -> DataFrame:
+    """One row (n_docs, avgdl), of the documents that have postings; 0 and null for none.
+
+    The parts tf / dl of a document sum to 1, so that sums tell the number of
+    documents and no posting is shuffled; rounding takes their errors away.
+    """
+    n = F.coalesce(F.round(F.sum(F.col("tf") / F.col("dl"))), F.lit(0)).cast("bigint")
+    return posted.agg(n.alias("n_docs"), (F.sum("tf") / F.when(n > 0, n)).alias("avgdl"))
 
 
 def merged_stats(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -87,10 +93,13 @@ def search(queries: DataFrame, documents: DataFrame, k: int = 10, idf_power: int
 
     Weights of queries and documents both hold the idf; idf_power 1 takes it out
     of the query, as textbooks have it. Queries without known terms give no rows.
+    Beyond the statistics, only postings of terms that some query holds count.
     """
     ensure_checkpoint_dir(documents.sparkSession)
-    posted = postings(documents).checkpoint()
-    counts, stats = term_counts(posted), collection_stats(posted)
+    every = postings(documents).checkpoint()
+    asked = queries.select(F.explode(T.tokens(F.col("query"))).alias("token")).select(T.token_id(F.col("token")).alias("term_id")).distinct()
+    posted, stats = every.join(asked, "term_id", "left_semi"), collection_stats(every)
+    counts = term_counts(posted)
     weights = query_weights(queries, counts, stats)
     if idf_power == 1:
         weights = weights.join(counts, "term_id").crossJoin(F.broadcast(stats)).withColumn("weight", F.col("weight") / idf(F.col("n_docs"), F.col("df")))
