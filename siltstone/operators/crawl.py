@@ -101,15 +101,52 @@ def walk(seeds: DataFrame, links: DataFrame, depth: int | None = 1, budget: int
         level += 1
 
 
-def sitemap_urls(documents: DataFrame) -> DataFrame:
-    """(url, place): locations of the urlset documents of ``documents(place, xml)``, distinct, at most SITEMAP_URLS."""
+#: Where a site may keep its sitemaps, in the order they are tried, and how deep indexes are followed.
+SITEMAP_PATHS, SITEMAP_DEPTH = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml"), 2
+
+
+def discovered_urls(sites: DataFrame, documents: DataFrame, depth: int = SITEMAP_DEPTH, urls: int | None = SITEMAP_URLS, children: int | None = SITEMAP_CHILDREN) -> DataFrame:
+    """(site, url, number): the locations of each site's sitemaps, distinct, in the order in which a walk finds them.
+
+    ``sites(site)`` are URLs of which only scheme and network location count,
+    ``documents(url, xml)`` the fetched sitemaps. The walk tries SITEMAP_PATHS one
+    after the other and follows the first ``children`` entries of an index before
+    what comes after it, to ``depth`` levels, each sitemap once. The first ``urls``
+    locations of each site remain. None lifts either limit. One job for a level;
+    places are paths, so that their order is that of the walk.
+    """
+    ensure_checkpoint_dir(sites.sparkSession)
+    origin = F.lower(F.regexp_extract("site", r"(?i)^\s*(https?://[^/?#\s]+)", 1))
+    roots = sites.select(origin.alias("site")).where("site <> ''").distinct()
+    now = roots.select("site", F.posexplode(F.array(*[F.concat("site", F.lit(p)) for p in SITEMAP_PATHS])).alias("place", "sitemap")).select("site", "sitemap", F.array("place").alias("path"))
+    seen, found = None, None
+    for level in range(depth + 1):
+        first = now.groupBy("site", "sitemap").agg(F.min("path").alias("path"))
+        if seen is not None:
+            first = first.join(seen, ["site", "sitemap"], "left_anti")
+        seen = first.select("site", "sitemap") if seen is None else seen.unionByName(first.select("site", "sitemap"))
+        maps = first.join(documents.select(F.col("url").alias("sitemap"), "xml"), "sitemap").select("site", "path", H.sitemap(F.col("xml")).alias("map")).checkpoint()
+        entries = lambda kind: maps.where(F.col("map.kind") == kind)
+        placed = entries("urlset").select("site", "path", F.posexplode("map.locations").alias("pos", "url")).select("site", "url", F.concat("path", F.array("pos")).alias("path"))
+        found = placed if found is None else found.unionByName(placed)
+        inner = F.col("map.locations") if children is None else F.slice("map.locations", 1, children)
+        now = entries("sitemapindex").select("site", "path", F.posexplode(inner).alias("pos", "sitemap")).select("site", "sitemap", F.concat("path", F.array("pos")).alias("path"))
+        if level < depth and now.isEmpty():
+            break
+    once = found.groupBy("site", "url").agg(F.min("path").alias("path"))
+    numbered = once.withColumn("number", F.row_number().over(Window.partitionBy("site").orderBy("path")) - 1).drop("path")
+    return numbered if urls is None else numbered.where(F.col("number") < urls)
+
+
+def sitemap_urls(documents: DataFrame, most: int | None = SITEMAP_URLS) -> DataFrame:
+    """(url, place): locations of the urlset documents of ``documents(place, xml)``, distinct; the first ``most``, or all."""
     parsed = documents.select("place", H.sitemap(F.col("xml")).alias("map")).where(F.col("map.kind") == "urlset")
     every = parsed.select(F.col("place").alias("doc"), F.posexplode("map.locations").alias("pos", "url"))
     first = every.groupBy("url").agg(F.min(F.struct("doc", "pos")).alias("at"))
-    return first.orderBy("at").limit(SITEMAP_URLS).select("url", F.col("at.doc").alias("place"))
+    return (first if most is None else first.orderBy("at").limit(most)).select("url", F.col("at.doc").alias("place"))
 
 
-def sitemap_children(documents: DataFrame) -> DataFrame:
-    """(place, child): the first SITEMAP_CHILDREN locations of each sitemap index."""
+def sitemap_children(documents: DataFrame, most: int | None = SITEMAP_CHILDREN) -> DataFrame:
+    """(place, child): the locations of each sitemap index; the first ``most``, or all."""
     parsed = documents.select("place", H.sitemap(F.col("xml")).alias("map")).where(F.col("map.kind") == "sitemapindex")
-    return parsed.select("place", F.explode(F.slice("map.locations", 1, SITEMAP_CHILDREN)).alias("child"))
+    return parsed.select("place", F.explode("map.locations" if most is None else F.slice("map.locations", 1, most)).alias("child"))

@@ -80,20 +80,30 @@ def written(entries: DataFrame, default_ttl: int = DEFAULT_TTL) -> DataFrame:
     return entries.withColumn("expires_at", F.timestamp_micros(F.unix_micros(F.col("written_at").cast("timestamp")) + ttl.cast("bigint") * 1_000_000))
 
 
-def cache_lookup(reads: DataFrame, entries: DataFrame, key: str = "key") -> DataFrame:
+def cache_lookup(reads: DataFrame, entries: DataFrame, key: str = "key", slice_seconds: int = 3_600) -> DataFrame:
     """``reads(read_id, key, read_at)`` with the value of the last entry written before and not expired, and ``hit``.
 
     One row for each read. A later write hides an earlier one even if it has
     expired. Both are merged along time, so that a hot key needs no pairs of
-    reads and writes.
+    reads and writes; and its time is cut into slices of ``slice_seconds``, so that
+    no task holds all of it. What the slices before one leave is carried over by a
+    table with one row for each key and slice. Null keys agree with each other;
+    a read without time finds nothing.
     """
-    reads_at = reads.select(F.col("read_id"), F.col(key), F.col("read_at").cast("timestamp").alias("at"), F.lit(1).alias("side"), F.lit(None).cast(dict(entries.dtypes)["value"]).alias("value"), F.lit(None).cast("timestamp").alias("expires_at"))
-    writes_at = entries.select(F.lit(None).cast(dict(reads.dtypes)["read_id"]).alias("read_id"), F.col(key), F.col("written_at").cast("timestamp").alias("at"), F.lit(0).alias("side"), "value", F.col("expires_at").cast("timestamp"))
-    w = Window.partitionBy(key).orderBy("at", "side", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = F.last(F.when(F.col("side") == 0, F.struct("value", "expires_at")), ignorenulls=True).over(w)
-    merged = reads_at.unionByName(writes_at).withColumn("entry", seen).where("side = 1")
+    reads_at = reads.where("read_at is not null").select(F.col("read_id"), F.col(key), F.col("read_at").cast("timestamp").alias("at"), F.lit(1).alias("side"), F.lit(None).cast(dict(entries.dtypes)["value"]).alias("value"), F.lit(None).cast("timestamp").alias("expires_at"))
+    writes_at = entries.where("written_at is not null").select(F.lit(None).cast(dict(reads.dtypes)["read_id"]).alias("read_id"), F.col(key), F.col("written_at").cast("timestamp").alias("at"), F.lit(0).alias("side"), "value", F.col("expires_at").cast("timestamp"))
+    every = reads_at.unionByName(writes_at).withColumn("slice", F.floor(F.unix_seconds("at") / slice_seconds))
+    entry = F.when(F.col("side") == 0, F.struct("value", "expires_at"))
+    w = Window.partitionBy(key, "slice").orderBy("at", "side", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = every.withColumn("entry", F.last(entry, ignorenulls=True).over(w)).where("side = 1")
+    ends = every.groupBy(key, "slice").agg(F.max_by(entry, F.when(F.col("side") == 0, F.struct("at", "value"))).alias("last"))
+    before = Window.partitionBy(key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col(key).alias("of_key"), F.col("slice").alias("of_slice"), F.last("last", ignorenulls=True).over(before).alias("carried"))
+    joined = merged.join(carried, F.col(key).eqNullSafe(F.col("of_key")) & (F.col("slice") == F.col("of_slice")), "left").withColumn("entry", F.coalesce("entry", "carried"))
     hit = F.coalesce(F.col("entry.expires_at") > F.col("at"), F.lit(False))
-    return merged.select("read_id", key, F.when(hit, F.col("entry.value")).alias("value"), hit.alias("hit"))
+    found = joined.select("read_id", key, F.when(hit, F.col("entry.value")).alias("value"), hit.alias("hit"))
+    timeless = reads.where("read_at is null").select("read_id", key, F.lit(None).cast(dict(entries.dtypes)["value"]).alias("value"), F.lit(False).alias("hit"))
+    return found.unionByName(timeless)
 
 
 def health(services: DataFrame) -> DataFrame:

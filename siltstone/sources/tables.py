@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,11 +42,17 @@ def latest(df: DataFrame, key: str, order: str = "loaded_at", heavy: bool = Fals
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; only where it is unset (tests) take a temporary one."""
+    """Use the shared folder of ``spark.checkpoint.dir``.
+
+    Where it is unset, a session on one machine takes a temporary folder of its
+    own; on a cluster, where such a folder would not be shared, ValueError.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = sc.getConf().get("spark.checkpoint.dir")
+    if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
 
 

@@ -1,6 +1,7 @@
 import hashlib
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import html as H
@@ -66,6 +67,26 @@ def test_cache(spark):
     ]
 
 
+def test_cache_of_a_hot_key_is_cut_in_time(spark):
+    # writes and reads far apart: what a slice leaves is carried over slices without any write
+    import random
+
+    rng = random.Random(4)
+    writes = [("k" if i % 3 else None, f"v{i}", T0 + timedelta(seconds=rng.randrange(200_000)), rng.choice([10, 5_000, 100_000])) for i in range(60)]
+    reads = [(i, "k" if i % 3 else None, T0 + timedelta(seconds=rng.randrange(300_000))) for i in range(120)] + [(500, "k", None), (501, "none", T0)]
+    entries = store.written(spark.createDataFrame(writes, "key string, value string, written_at timestamp, ttl int"))
+    asked = spark.createDataFrame(reads, "read_id int, key string, read_at timestamp")
+
+    def want(key, at):
+        last = max(((w[2], w[1], w[3]) for w in writes if at and w[0] == key and w[2] <= at), default=None)
+        hit = last is not None and last[0] + timedelta(seconds=last[2]) > at
+        return (last[1] if hit else None, hit)
+
+    for seconds in (60, 3_600, 10**9):
+        got = {r.read_id: (r.value, r.hit) for r in store.cache_lookup(asked, entries, slice_seconds=seconds).collect()}
+        assert got == {i: want(key, at) for i, key, at in reads}
+
+
 def test_health(spark):
     services = lambda *up: spark.createDataFrame([(str(i), u) for i, u in enumerate(up)], "service string, up boolean")
     assert [store.health(services(*u)).head().status for u in ((True, True), (False, None), (True, False))] == ["healthy", "unhealthy", "degraded"]
@@ -130,6 +151,25 @@ def test_robots_and_sitemap(spark):
     assert rows(crawl.sitemap_children(docs), "child") == [(1, "http://a/s")]
 
 
+def test_sitemap_discovery(spark):
+    ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    urlset = lambda *urls: f"<urlset {ns}>" + "".join(f"<url><loc>{u}</loc></url>" for u in urls) + "</urlset>"
+    index = lambda *maps: f"<sitemapindex {ns}>" + "".join(f"<sitemap><loc>{m}</loc></sitemap>" for m in maps) + "</sitemapindex>"
+    documents = [
+        ("http://a/sitemap.xml", index("http://a/m1", "http://a/m2", "http://a/sitemap.xml")), ("http://a/m1", urlset("http://a/1", "http://a/2")), ("http://a/m2", index("http://a/m3")),
+        ("http://a/m3", index("http://a/m4")), ("http://a/m4", urlset("http://a/deep")), ("http://a/sitemap-index.xml", urlset("http://a/2", "http://a/3")), ("http://b/sitemap_index.xml", "<broken"), ("http://c/sitemap.xml", None),
+    ]
+    sites = spark.createDataFrame([("HTTP://A/x/y?z",), ("http://a",), ("http://b/",), ("http://c/",), (None,), ("no url",)], "site string")
+    known = spark.createDataFrame(documents, "url string, xml string")
+    assert rows(crawl.discovered_urls(sites, known), "number") == [("http://a", "http://a/1", 0), ("http://a", "http://a/2", 1), ("http://a", "http://a/3", 2)]
+    assert [r.url for r in crawl.discovered_urls(sites, known, depth=3, urls=None, children=None).orderBy("number").collect()] == ["http://a/1", "http://a/2", "http://a/deep", "http://a/3"]
+    assert [r.url for r in crawl.discovered_urls(sites, known, urls=1, children=1).collect()] == ["http://a/1"]
+    assert crawl.discovered_urls(sites.limit(0), known).count() == 0
+    many = spark.createDataFrame([(0, urlset(*[f"http://a/{i}" for i in range(600)])), (1, index(*[f"http://a/m{i}" for i in range(30)]))], "place int, xml string")
+    assert crawl.sitemap_urls(many).count() == 500 and crawl.sitemap_urls(many, most=None).count() == 600
+    assert crawl.sitemap_children(many).count() == 20 and crawl.sitemap_children(many, most=None).count() == 30
+
+
 def test_crawl(spark):
     pages = spark.createDataFrame([("http://a.b/x", 200, PAGE, "http://a.b/x"), ("http://a.b/y", 403, "no", "http://a.b/y")], "url string, status_code int, html string, final_url string").withColumn("url_key", F.sha2("url", 256))
     urls = spark.createDataFrame([("HTTP://A.b/x/",), ("http://a.b/y",), ("http://a.b/z",), ("http://a.b/private",), ("http://a.b/x",)], "url string")
@@ -208,6 +248,47 @@ def test_streams(spark, tmp_path):
     assert spark.table("seen").count() == 1
 
 
+def test_state_in_batches_keeps_two_versions(spark, tmp_path):
+    source, schema = str(tmp_path / "in"), "url string, n int"
+    spark.createDataFrame([(f"u{i % 7}", i) for i in range(40)], schema).repartitionByRange(8, "n").write.parquet(source)
+    stream = jobs.folder(spark, source, spark.createDataFrame([], schema), files_a_batch=2)
+    merge = lambda old, new: store.last_in_order(new if old is None else old.unionByName(new), "url", "n")
+    query = jobs.keep_state(stream, str(tmp_path / "state"), str(tmp_path / "progress"), merge)
+    query.awaitTermination()
+    assert len(query.recentProgress) >= 4 and len(jobs._versions(spark, str(tmp_path / "state"))) == 2
+    assert rows(jobs.current(spark, str(tmp_path / "state")), "url") == [(f"u{i}", max(n for n in range(40) if n % 7 == i)) for i in range(7)]
+
+
+def test_ingest_of_arriving_pages(spark, tmp_path):
+    page = lambda text: f"<html><body><main><p>{text}</p></main></body></html>"
+    pages = [(i, f"http://s.org/{i % 5}", 200, page(f"Page {i} says something. " * (1 + i % 3))) for i in range(20)] + [(90, "http://s.org/0", 200, None)]
+    rows_ = spark.createDataFrame(pages, "page_id bigint, url string, status_code int, html string")
+    rows_.repartitionByRange(6, "page_id").write.parquet(str(tmp_path / "in"))
+    jobs.keep_ingested(jobs.folder(spark, str(tmp_path / "in"), rows_, files_a_batch=2), str(tmp_path / "state"), str(tmp_path / "progress"), embed.hashed(8)).awaitTermination()
+    columns = ["point_id", "url", "page_id", "text"]
+    whole = rows(ingest_plan.ingest(None, rows_, embed.hashed(8)).select(*columns), "point_id")
+    assert rows(jobs.current(spark, str(tmp_path / "state")).select(*columns), "point_id") == whole and len(whole) == 5
+
+
+def test_checkpoints_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from siltstone.sources import tables
+
+    def session(master):
+        java = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False)))
+        made = []
+        sc = SimpleNamespace(_jsc=java, getConf=lambda: SimpleNamespace(get=lambda key: None), master=master, setCheckpointDir=made.append)
+        return SimpleNamespace(sparkContext=sc), made
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            tables.ensure_checkpoint_dir(session(master)[0])
+    spark, made = session("local[4]")
+    tables.ensure_checkpoint_dir(spark)
+    assert len(made) == 1
+
+
 def test_services(spark):
     from siltstone.plans import services
 
