@@ -76,6 +76,94 @@ _BM25 = f"""{_POSTINGS},{_TITLE_QUERIES},{_DOC_WEIGHTS},{_QUERY_WEIGHTS},
     bm25 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 10)"""
 
 
+def _words_sql(column: str) -> str:
+    return f"list_filter(regexp_split_to_array({column}, '{_SPACES}'), lambda w: w <> '')"
+
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(8232) || chr(8233)"
+
+
+def _trim_sql(text: str) -> str:
+    return f"trim({text}, {_BLANKS})"
+
+
+def _clean_sql() -> str:
+    """T.cleaned for texts whose only compatibility characters are the ellipsis and the ordinal sign."""
+    plain = "regexp_replace(replace(replace(text, '…', '...'), 'º', 'o'), '[\\x{200B}\\x{200C}\\x{200D}\\x{FEFF}\\x{AD}]', '', 'g')"
+    for sign, new in T.PLAIN_SIGNS:
+        plain = f"replace({plain}, '{sign}', '{new.replace(chr(39), chr(39) * 2)}')"
+    noise = "|".join(f"(?:{x})" for x in T.BOILERPLATE).replace("\\s+", _SPACES)
+    marks = T.WIKI_MARKS
+    collapsed = "array_to_string(lines, chr(10))"
+    for sign in "!?,;":
+        collapsed = f"regexp_replace({collapsed}, '[{sign}]{{3,}}', '{sign}', 'g')"
+    return rf"""
+        plain AS (SELECT doc_id, regexp_replace({plain}, '(?s)\A---[ \t\n\r\f\v]*\n.*?\n---[ \t\n\r\f\v]*\n', '') AS t FROM documents),
+        every AS (SELECT doc_id, list_transform(regexp_split_to_array(t, '\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: {_trim_sql("x")}) AS lines FROM plain),
+        kept AS (SELECT doc_id, list_transform(list_filter(lines, lambda x: NOT regexp_matches(x, '(?i){noise}') AND NOT regexp_matches(x, '^[|\s:]+-{{2,}}[|\s:-]*$|^-{{2,}}[|\s:-]*$|^\|[|\s]*$')),
+                     lambda x: CASE WHEN contains(x, '[') THEN {_trim_sql(f"regexp_replace(x, '{marks}', '', 'g')")} ELSE x END) AS lines FROM every),
+        cleaned AS (SELECT doc_id, {_trim_sql(f"regexp_replace({collapsed}, chr(10) || '{{3,}}', chr(10) || chr(10), 'g')")} AS text FROM kept)"""
+
+
+def _chunks_sql(size: int, overlap: int) -> str:
+    """T.chunks by two recursions: sentences to segments of a long paragraph, then segments to chunks."""
+
+    def packed(name: str, rows: str, keys: str, glue: str) -> str:
+        same = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+        ours = ", ".join(f"b.{k}" for k in keys.split(", "))
+        return f"""
+        {name} AS (
+            SELECT {keys}, r, s, n, 1 AS place FROM {rows} WHERE r = 1
+            UNION ALL
+            SELECT {ours}, b.r, CASE WHEN a.n + b.n <= {size} THEN a.s || {glue} || b.s ELSE b.s END, CASE WHEN a.n + b.n <= {size} THEN a.n + b.n ELSE b.n END,
+                   CASE WHEN a.n + b.n <= {size} THEN a.place ELSE a.place + 1 END
+            FROM {name} a JOIN {rows} b ON {same} AND b.r = a.r + 1)"""
+
+    last = "chunk" if overlap <= 0 else f"CASE WHEN last IS NULL THEN chunk ELSE array_to_string(({_words_sql('last')})[-{overlap}:], ' ') || chr(10) || chr(10) || chunk END"
+    return rf"""WITH RECURSIVE
+        split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10) || chr(10)) AS p FROM documents),
+        paragraphs AS (SELECT doc_id, i, p, len({_words_sql("p")}) AS n FROM (SELECT doc_id, unnest(range(len(p))) AS i, {_trim_sql("unnest(p)")} AS p FROM split) WHERE p <> ''),
+        cut AS (SELECT doc_id, i, string_split(regexp_replace(p, '([.!?]){_SPACES}([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM paragraphs WHERE n > {size}),
+        sentences AS (SELECT doc_id, i, j, s, {_words_sql("s")} AS w FROM (SELECT doc_id, i, unnest(range(len(s))) AS j, unnest(s) AS s FROM cut)),
+        parts AS (
+            SELECT doc_id, i, j, 0 AS k, s, len(w) AS n FROM sentences WHERE len(w) BETWEEN 1 AND {size}
+            UNION ALL SELECT doc_id, i, j, k, array_to_string(w[k + 1:k + {size}], ' '), {size} FROM (SELECT *, unnest(range(0, len(w), {size})) AS k FROM sentences WHERE len(w) > {size})),
+        numbered AS (SELECT doc_id, i, s, n, row_number() OVER (PARTITION BY doc_id, i ORDER BY j, k) AS r FROM parts),
+        {packed("sentence_pack", "numbered", "doc_id, i", "' '")},
+        segments AS (
+            SELECT doc_id, i, 0 AS place, p AS s, n FROM paragraphs WHERE n <= {size}
+            UNION ALL SELECT doc_id, i, place, s, len({_words_sql("s")}) FROM (SELECT doc_id, i, place, arg_max(s, r) AS s FROM sentence_pack GROUP BY ALL)),
+        ordered AS (SELECT doc_id, s, n, row_number() OVER (PARTITION BY doc_id ORDER BY i, place) AS r FROM segments),
+        {packed("pack", "ordered", "doc_id", "chr(10) || chr(10)")},
+        chunks AS (SELECT doc_id, place, arg_max(s, r) AS chunk FROM pack GROUP BY ALL),
+        after AS (SELECT doc_id, place, chunk, lag(chunk) OVER (PARTITION BY doc_id ORDER BY place) AS last FROM chunks)
+        SELECT doc_id, (place - 1)::INT AS place, {last} AS chunk FROM after"""
+
+
+def _mmr_sql(k: int, trade: float) -> str:
+    """Greedy choice, one step after the other."""
+    steps = [f"chosen1 AS (SELECT query_id, row_id, e, 1 AS position FROM candidates QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {trade}::DOUBLE * relevance DESC, rank) = 1)"]
+    for step in range(2, k + 1):
+        steps.append(f"""
+        valued{step} AS (SELECT c.query_id, c.row_id, any_value(c.e) AS e, any_value(c.rank) AS rank, {trade}::DOUBLE * any_value(relevance) - (1 - {trade}::DOUBLE) * max(list_cosine_similarity(c.e, s.e)) AS value
+            FROM candidates c JOIN chosen{step - 1} s ON c.query_id = s.query_id WHERE (c.query_id, c.row_id) NOT IN (SELECT (query_id, row_id) FROM chosen{step - 1}) GROUP BY c.query_id, c.row_id),
+        chosen{step} AS (SELECT * FROM chosen{step - 1} UNION ALL
+            SELECT * FROM (SELECT query_id, row_id, e, {step} AS position FROM valued{step} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY value DESC, rank) = 1))""")
+    return f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        near AS ({_knn_sql(k=20)}),
+        candidates AS (SELECT n.query_id, n.row_id, n.rank, v.e, list_cosine_similarity(q.e, v.e) AS relevance FROM near n JOIN v ON v.vec_id = n.row_id JOIN v q ON q.vec_id = n.query_id),
+        {",".join(steps)}
+        SELECT query_id, row_id, position::INT AS position FROM chosen{k}"""
+
+
+def _knn_sql(where: str = "", k: int = 10, least: str = "") -> str:
+    return f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+        scored AS (SELECT a.vec_id AS query_id, b.vec_id AS row_id, round(list_cosine_similarity(a.e, b.e), 9) AS score
+                   FROM v a, v b WHERE a.vec_id % 20 = 0 {where})
+        SELECT query_id, row_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank
+        FROM scored {least} QUALIFY rank <= {k}"""
+
+
 # ---- inputs
 
 
@@ -93,10 +181,28 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"))
 
 
+def _requested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The URLs of the last delivery of each ingest request."""
+    return latest(table(spark, sf_dir, "ingest_requests").select("request_id", "urls", "loaded_at"), "request_id").select(F.explode("urls").alias("url"))
+
+
 def _title_queries(documents: DataFrame) -> DataFrame:
     return documents.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))
 
 
+def _shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, for what a stream writes."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}_{uuid.uuid4().hex}"
+
+
+def _arrivals(spark: SparkSession, rows: DataFrame, root: str, order: str = "loaded_at") -> DataFrame:
+    """A table as a stream of files that arrive in ``order``, in at least three batches of equal files."""
+    files = 4 * max(1, spark.sparkContext.defaultParallelism // 4)
+    rows.repartitionByRange(files, order).write.parquet(f"{root}/arrivals")
+    return jobs.folder(spark, f"{root}/arrivals", rows, files_a_batch=files // 4)
+
+
 # ---- URLs and pages
 
 
@@ -125,7 +231,7 @@ def url_domain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) = 1"""
 )
 def url_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest(table(spark, sf_dir, "crawl_state"), "id").select("id", U.is_valid_url(U.stripped(F.col("url"))).alias("valid"))
+    return latest(table(spark, sf_dir, "crawl_state").select("id", "url", "loaded_at"), "id").select("id", U.is_valid_url(U.stripped(F.col("url"))).alias("valid"))
 
 
 @query()
@@ -134,7 +240,18 @@ def html_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.select("crawl_id", "page.title", "page.text", T.word_count(F.col("page.text")).alias("word_count"))
 
 
-@query()
+
+_LINKS = rf"""
+    hrefs AS (SELECT crawl_id, final_url AS base, regexp_extract(final_url, '^[A-Za-z]+://[^/?#]*') AS origin, regexp_extract(lower(final_url), '^[a-z]+://([^/?#]*)', 1) AS host,
+                     regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(?:script|style)[ >].*?(?:</(?:script|style)>|$)', '', 'g'), '(?is)<a\s(?:[^>]*\s)?href\s*=\s*["'']([^"'']*)["'']', 1) AS hrefs
+              FROM {_LAST_CRAWL} WHERE html <> ''),
+    found AS (SELECT crawl_id, origin, host, unnest(range(len(hrefs))) AS i, trim(replace(unnest(hrefs), '&amp;', '&')) AS href FROM hrefs),
+    joined AS (SELECT crawl_id, host, i, regexp_replace(CASE WHEN href LIKE '/%' THEN origin || href ELSE href END, '#.*$', '') AS link FROM found
+               WHERE href <> '' AND NOT regexp_matches(href, '^(#|mailto:|tel:|javascript:)')),
+    links AS (SELECT crawl_id, link, min(i) AS i FROM joined WHERE regexp_extract(lower(link), '^[a-z]+://([^/?#]*)', 1) = host GROUP BY ALL)"""
+
+
+@query(f"WITH {_LINKS} SELECT crawl_id, (row_number() OVER (PARTITION BY crawl_id ORDER BY i) - 1)::INT AS place, link FROM links")
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.page_links(_crawls(spark, sf_dir, "html", "final_url").where("html <> ''").select(F.col("crawl_id").alias("url"), F.col("final_url").alias("base"), "html")).withColumnRenamed("url", "crawl_id")
 
@@ -147,22 +264,42 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM normal n LEFT JOIN pages p ON p.final_url = n.url GROUP BY ALL"""
 )
 def crawl_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = latest(table(spark, sf_dir, "ingest_requests"), "request_id").select(F.explode("urls").alias("url"))
-    pages = _crawls(spark, sf_dir, "status_code", "html", "final_url").withColumn("url_key", U.url_key(F.col("final_url")))
+    asked = _requested(spark, sf_dir)
+    # the count needs no html
+    pages = _crawls(spark, sf_dir, "status_code", "final_url").withColumn("html", F.lit(None).cast("string")).withColumn("url_key", U.url_key(F.col("final_url")))
     got = crawl.crawl(asked, store.last_in_order(pages, "url_key", "crawl_id"))
     return got.groupBy(F.coalesce("status_code", F.lit(-1)).alias("status"), F.col("error").isNotNull().alias("failed")).agg(F.count("*").alias("n"))
 
 
-@query()
+_EDGES = f"""{_LINKS},
+        named AS (SELECT crawl_id, url FROM (SELECT crawl_id, {_NORMAL.replace("url", "final_url")} AS url FROM {_LAST_CRAWL} WHERE html <> '') QUALIFY row_number() OVER (PARTITION BY url ORDER BY crawl_id DESC) = 1),
+        placed AS (SELECT n.url AS page, l.link AS url, row_number() OVER (PARTITION BY crawl_id ORDER BY l.i) - 1 AS place FROM links l JOIN named n USING (crawl_id) QUALIFY place < 25),
+        edges AS (SELECT page, {_NORMAL} AS target, min(place) AS place FROM placed GROUP BY ALL),
+        asked AS (SELECT unnest(urls) AS url FROM ingest_requests QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY loaded_at DESC) = 1)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_EDGES},
+        walk AS (SELECT DISTINCT {_NORMAL} AS url, 0 AS level FROM asked WHERE url IS NOT NULL
+                 UNION SELECT e.target, w.level + 1 FROM walk w JOIN edges e ON e.page = w.url WHERE w.level < 50),
+        firsts AS (SELECT url, min(level) AS level FROM walk GROUP BY url)
+        SELECT level, count(*) AS n FROM firsts GROUP BY level"""
+)
 def crawl_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages on each level of the walk from the requested URLs, until no level has a new page; URLs are compared normalised."""
+    """Pages on each level of the walk from the requested URLs, until no level has a new page; URLs are compared normalised.
+
+    Of a page the first LINKS_A_PAGE links are followed.
+    """
+    asked = _requested(spark, sf_dir).select(U.normalize_url(F.col("url")).alias("url"))
+    return crawl.walk(asked, _site_links(spark, sf_dir), depth=None, budget=None).groupBy("level").agg(F.count("*").alias("n"))
+
+
+def _site_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(url, place, link) of the last crawl of each page, URLs normalised; parsed once."""
     pages = store.last_in_order(_crawls(spark, sf_dir, "html", "final_url").where("html <> ''").withColumn("url", U.normalize_url(F.col("final_url"))), "url", "crawl_id")
     links = crawl.page_links(pages.select("url", F.col("final_url").alias("base"), "html"), most=crawl.LINKS_A_PAGE)
-    # parsed once, not once a level
     ensure_checkpoint_dir(spark)
-    links = links.withColumn("link", U.normalize_url(F.col("link"))).checkpoint()
-    asked = latest(table(spark, sf_dir, "ingest_requests"), "request_id").select(F.explode("urls").alias("url")).select(U.normalize_url(F.col("url")).alias("url"))
-    return crawl.walk(asked, links, depth=None, budget=None).groupBy("level").agg(F.count("*").alias("n"))
+    return links.withColumn("link", U.normalize_url(F.col("link"))).checkpoint()
 
 
 @query(
@@ -173,6 +310,38 @@ def crawl_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _crawls(spark, sf_dir, "status_code", "html").select("crawl_id", crawl.needs_browser(F.col("status_code"), F.col("html")).alias("again"))
 
 
+@query(
+    f"""WITH {_EDGES},
+        seeds AS (SELECT DISTINCT {_NORMAL} AS url FROM asked WHERE url IS NOT NULL),
+        level0 AS (SELECT url, row_number() OVER (ORDER BY url) - 1 AS place FROM seeds QUALIFY place < 400),
+        met AS (SELECT e.target AS url, min((s.place, e.place)) AS met_at FROM level0 s JOIN edges e ON e.page = s.url WHERE e.target NOT IN (SELECT url FROM seeds) GROUP BY e.target),
+        level1 AS (SELECT url, row_number() OVER (ORDER BY met_at, url) - 1 AS place FROM met QUALIFY place < 400 - (SELECT count(*) FROM level0))
+        SELECT url, 0 AS level, place FROM level0 UNION ALL SELECT url, 1, place FROM level1"""
+)
+def crawl_budgeted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One level below the requested URLs within a budget of 400 pages, which is the feature."""
+    asked = _requested(spark, sf_dir).select(U.normalize_url(F.col("url")).alias("url"))
+    return crawl.walk(asked, _site_links(spark, sf_dir), depth=1, budget=400)
+
+
+@query(
+    rf"""WITH pages AS (SELECT crawl_id, {_NORMAL.replace("url", "final_url")} AS url FROM {_LAST_CRAWL} WHERE final_url IS NOT NULL),
+        parsed AS (SELECT crawl_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*(/[^/?#]*)', 1) AS start FROM pages),
+        rules AS (SELECT host, min(start) AS closed FROM parsed WHERE start <> '/' GROUP BY host),
+        kept AS (SELECT url FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY crawl_id) = 1)
+        SELECT url, CASE WHEN starts_with(regexp_extract(url, '^[a-z]+://[^/?#]*(/.*)$', 1), closed) THEN 'blocked by robots.txt' END AS error
+        FROM kept JOIN parsed USING (url) LEFT JOIN rules USING (host) GROUP BY ALL"""
+)
+def crawl_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetching of all known pages where every site closes one path, its first by name, to robots."""
+    pages = _crawls(spark, sf_dir, "final_url", "status_code").where("final_url is not null").withColumn("html", F.lit(None).cast("string")).withColumn("url", U.normalize_url(F.col("final_url")))
+    start = F.regexp_extract("url", r"^[a-z]+://[^/?#]*(/[^/?#]*)", 1)
+    closed = pages.select(U.domain(F.col("url")).alias("netloc"), start.alias("start")).where("start <> '/'").groupBy("netloc").agg(F.min("start").alias("start"))
+    robots = closed.select("netloc", F.concat(F.lit("User-agent: *\nDisallow: "), "start").alias("robots"))
+    known = store.last_in_order(pages.withColumn("url_key", U.url_key(F.col("final_url"))), "url_key", "crawl_id")
+    return crawl.crawl(pages.select("url").distinct(), known, robots).select("url", "error")
+
+
 # ---- texts
 
 
@@ -190,7 +359,7 @@ def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir, "url", "chunk_index").select("chunk_id", T.point_id(F.col("url"), F.col("chunk_index")).alias("point_id"))
 
 
-@query()
+@query(f"WITH {_clean_sql()} SELECT doc_id, text FROM cleaned")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", T.cleaned(F.col("text")).alias("text"))
 
@@ -221,12 +390,12 @@ def chunk_fixed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", F.posexplode(T.fixed_windows(F.col("text"), 64)).alias("place", "chunk"))
 
 
-@query()
+@query(_chunks_sql(64, 0))
 def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", F.posexplode(T.chunks(F.col("text"), 64, 0)).alias("place", "chunk"))
 
 
-@query()
+@query(_chunks_sql(128, 16))
 def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", F.posexplode(T.chunks(F.col("text"), 128, 16)).alias("place", "chunk"))
 
@@ -260,6 +429,14 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse.merged_stats(english, rest).select("n_docs", F.round("avgdl", 9).alias("avgdl"))
 
 
+@query(f"WITH {_POSTINGS} SELECT term_id, df FROM counts")
+def merged_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document counts of two disjoint batches together."""
+    documents = _documents(spark, sf_dir)
+    english, rest = documents.where("lower(lang) = 'en'"), documents.where("lang is null or lower(lang) <> 'en'")
+    return sparse.merged_counts(sparse.term_counts(sparse.postings(english)), sparse.term_counts(sparse.postings(rest)))
+
+
 @query(f"WITH {_POSTINGS},{_DOC_WEIGHTS} SELECT doc_id, term_id, tf, dl, round(weight, 9) AS weight FROM weighted WHERE weight > 0")
 def bm25_doc_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     posted = sparse.postings(_documents(spark, sf_dir))
@@ -306,14 +483,6 @@ def sparse_dot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- dense retrieval
 
 
-def _knn_sql(where: str = "", k: int = 10, least: str = "") -> str:
-    return f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
-        scored AS (SELECT a.vec_id AS query_id, b.vec_id AS row_id, round(list_cosine_similarity(a.e, b.e), 9) AS score
-                   FROM v a, v b WHERE a.vec_id % 20 = 0 {where})
-        SELECT query_id, row_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank
-        FROM scored {least} QUALIFY rank <= {k}"""
-
-
 def _knn(spark: SparkSession, sf_dir: str, k: int = 10, by: list[str] | None = None, least: float | None = None) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"), "label")
     asked = rows.where("row_id % 20 = 0").withColumnRenamed("row_id", "query_id")
@@ -370,13 +539,24 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.reciprocal_rank_fusion(near.unionByName(terms)).where("rank <= 10").withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(_mmr_sql(5, 0.7))
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"))
     near = _knn(spark, sf_dir, 20).join(vectors, "row_id").join(vectors.select(F.col("row_id").alias("query_id"), F.col("vector").alias("query_vector")), "query_id")
     return fusion.maximal_marginal_relevance(near, 5, 0.7)
 
 
+@query(
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+        SELECT a.vec_id AS one, b.vec_id AS two, round(list_cosine_similarity(a.e, b.e), 9) AS cosine FROM v a JOIN v b ON b.vec_id = a.vec_id + 1"""
+)
+def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector with the one that follows it."""
+    v = table(spark, sf_dir, "embeddings")
+    two = v.select(F.col("vec_id").alias("two"), F.col("embedding").alias("other"), (F.col("vec_id") - 1).alias("one"))
+    return v.select(F.col("vec_id").alias("one"), "embedding").join(two, "one").select("one", "two", F.round(dense.cosine(F.col("embedding"), F.col("other")), 9).alias("cosine"))
+
+
 # ---- reranking and answers
 
 
@@ -390,11 +570,12 @@ _RERANKED = f"""{_BM25},
 
 
 def _reranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    # both results are bounded lists for each query, and used several times
     documents = _documents(spark, sf_dir)
     asked = _title_queries(documents)
-    found = sparse.search(asked, documents)
+    found = sparse.search(asked, documents).checkpoint()
     pairs = found.join(documents.select("doc_id", "url", "title", "text"), "doc_id").join(asked, "query_id")
-    return asked, found, rerank.rerank(pairs, 5)
+    return asked, found, rerank.rerank(pairs, 5).checkpoint()
 
 
 @query(f"WITH {_RERANKED} SELECT query_id, doc_id, position, round(rerank_score, 6) AS rerank_score FROM reranked WHERE rerank_score >= 0.8")
@@ -416,6 +597,20 @@ def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.select("query_id", "refused", "total_reranked", F.round("top_relevance", 6).alias("top_relevance"), "total_retrieved")
 
 
+@query(
+    f"""WITH {_RERANKED},
+        tops AS (SELECT query_id, max(rerank_score) AS top, count(*) FILTER (rerank_score >= 0.8) AS kept FROM reranked GROUP BY query_id)
+        SELECT q.query_id, CASE WHEN kept > 0 THEN NULL
+               WHEN NOT EXISTS (SELECT 1 FROM bm25 b WHERE b.query_id = q.query_id) THEN 'no_candidates: the collection returned no results for this query (empty collection, or filters excluded everything)'
+               ELSE printf('below_threshold: top rerank score %s is under the min_relevance gate of 0.800 — the corpus does not contain sufficiently relevant information to answer this query',
+                           CASE WHEN top IS NULL THEN 'n/a' ELSE printf('%.3f', top) END) END AS refusal_reason
+        FROM queries q LEFT JOIN tops t USING (query_id)"""
+)
+def refusal_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, found, best = _reranked(spark, sf_dir)
+    return rerank.responses(asked, best, rerank.gate(best, 0.8), found, 0.8).select("query_id", "refusal_reason")
+
+
 @query(
     f"""WITH {_RERANKED}
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY position) AS index, coalesce(nullif(url, ''), 'unknown') AS source, title,
@@ -461,12 +656,45 @@ def expand_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titled.select("doc_id", F.posexplode(expand.keyword_variants(F.col("title"), 5)).alias("place", "variant"))
 
 
-@query()
+def _answers_sql() -> str:
+    """The first hypothetical answers for the topic t, and the topic of the query q."""
+    texts = []
+    for template in expand.ANSWERS:
+        said = "'" + template.replace("'", "''") + "'"
+        texts.append(f"replace(replace({said}, '{{topic}}', t), '{{low}}', lower(t))")
+    return "[" + ", ".join(texts) + "]"
+
+
+_BARE_SQL = r"trim(regexp_replace({}, '[?!.\s]+$', ''))"
+
+
+@query(
+    rf"""WITH asked AS (SELECT doc_id, title AS q, CASE WHEN regexp_matches(title, '{_LEAD_SQL}') AND trim(regexp_replace(title, '{_LEAD_SQL}', '')) <> ''
+                              THEN trim(regexp_replace(title, '{_LEAD_SQL}', '')) END AS d,
+                              regexp_replace(trim(regexp_replace({_BARE_SQL.format("title")}, '{expand.TOPIC_LEADS}', '')), '\s+', ' ', 'g') AS t0 FROM documents WHERE title IS NOT NULL),
+        topics AS (SELECT doc_id, q, d, CASE WHEN t0 = '' THEN trim(q) ELSE t0 END AS t1 FROM asked),
+        topic AS (SELECT doc_id, q, d, CASE WHEN {_BARE_SQL.format("t1")} = '' THEN trim(q) ELSE {_BARE_SQL.format("t1")} END AS t FROM topics),
+        heads AS (SELECT doc_id, q, CASE WHEN d IS NULL THEN [q] ELSE [q, d] END AS head, {_answers_sql()} AS answers FROM topic),
+        every AS (SELECT doc_id, head || answers[1:greatest(4 - len(list_distinct(head)), 0)] || {_SYNONYM_SQL} AS v FROM heads),
+        firsts AS (SELECT doc_id, list_filter(v, lambda x, i: list_position(v, x) = i) AS v FROM every)
+        SELECT doc_id, unnest(range(len(v[1:4])))::INT AS place, unnest(v[1:4]) AS variant FROM firsts"""
+)
 def expand_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     titled = _documents(spark, sf_dir).where("title is not null")
     return titled.select("doc_id", F.posexplode(expand.retrieval_variants(F.col("title"), 4)).alias("place", "variant"))
 
 
+@query(
+    rf"""WITH asked AS (SELECT doc_id, title AS q, regexp_replace(trim(regexp_replace({_BARE_SQL.format("title")}, '{expand.TOPIC_LEADS}', '')), '\s+', ' ', 'g') AS t0 FROM documents WHERE title IS NOT NULL),
+        topics AS (SELECT doc_id, q, CASE WHEN t0 = '' THEN trim(q) ELSE t0 END AS t1 FROM asked),
+        topic AS (SELECT doc_id, CASE WHEN {_BARE_SQL.format("t1")} = '' THEN trim(q) ELSE {_BARE_SQL.format("t1")} END AS t FROM topics)
+        SELECT doc_id, unnest(range(4))::INT AS place, unnest({_answers_sql()}) AS answer FROM topic"""
+)
+def expand_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titled = _documents(spark, sf_dir).where("title is not null")
+    return titled.select("doc_id", F.posexplode(expand.hypothetical_answers(F.col("title"))).alias("place", "answer"))
+
+
 # ---- collections, states and caches
 
 
@@ -530,12 +758,10 @@ def crawl_state_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CRAWL_STATE)
 def streaming_crawl_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from a stream of the table's files, folded batch by batch; the state lies in the shared folder."""
-    ensure_checkpoint_dir(spark)
-    root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/crawl_state_{uuid.uuid4().hex}"
-    log = table(spark, sf_dir, "crawl_state")
-    stream = jobs.folder(spark, f"{sf_dir}/crawl_state.parque[t]", log)
+    """The same from a stream of files, a few a batch; arrivals and state lie in the shared folder."""
     columns = ["url_hash", "url", "status", "http_status", "error", "updated_at"]
+    root = _shared_folder(spark, "crawl_state")
+    stream = _arrivals(spark, table(spark, sf_dir, "crawl_state").select(*columns, "loaded_at"), root)
 
     def merge(old: DataFrame | None, new: DataFrame) -> DataFrame:
         every = new.select(*columns) if old is None else old.unionByName(new.select(*columns))
@@ -575,6 +801,35 @@ def cache_ttl_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.cache_lookup(reads, store.written(entries))
 
 
+@query(
+    """WITH keyed AS (SELECT *, 'user ' || user_id AS query, sha256('user ' || user_id || ':10:a,b:1') AS key FROM events),
+        writes AS (SELECT key, ts AS written_at, value::VARCHAR AS value, ts + to_microseconds(3600000000) AS expires_at FROM keyed WHERE event_type = 'click'),
+        reads AS (SELECT event_id AS read_id, key, query, ts AS read_at FROM keyed WHERE event_type = 'view')
+        SELECT read_id, coalesce(w.expires_at > r.read_at, false) AS cached, CASE WHEN w.expires_at > r.read_at THEN 'kept' ELSE 'found ' || query END AS value
+        FROM reads r ASOF LEFT JOIN writes w ON r.key = w.key AND r.read_at >= w.written_at"""
+)
+def cached_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches answered from stored answers where they have not expired; the others are searched once for each key."""
+    events = table(spark, sf_dir, "events").withColumn("query", F.concat(F.lit("user "), F.col("user_id").cast("string")))
+    key = services.search_key(F.col("query"), F.lit(10), F.array(F.lit("b"), F.lit("a")), F.lit(1))
+    entries = store.written(events.where("event_type = 'click'").select(key.alias("key"), F.lit("kept").alias("value"), F.col("ts").alias("written_at"), F.lit(0).alias("ttl")))
+    reads = events.where("event_type = 'view'").select(
+        F.col("event_id").alias("read_id"), "query", F.lit(10).alias("n"), F.array(F.lit("a"), F.lit("b")).alias("engines"), F.lit(1).alias("safe"), F.col("ts").alias("read_at")
+    )
+    found = services.cached_search(reads, entries, lambda missing: missing.select("key", F.concat(F.lit("found "), "query").alias("value")))
+    return found.select("read_id", "cached", "value")
+
+
+@query(f"SELECT DISTINCT sha256({_NORMAL}) AS url_key FROM crawl_results WHERE url IS NOT NULL")
+def streaming_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by their first sight in a stream of crawls; the watermark outlasts the table."""
+    root = _shared_folder(spark, "first_seen")
+    stream = _arrivals(spark, table(spark, sf_dir, "crawl_results").select("url", "loaded_at").where("url is not null"), root)
+    seen = jobs.first_seen(stream, "loaded_at", within="3650 days").select("url_key")
+    seen.writeStream.format("parquet").option("path", f"{root}/seen").option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("url_key string").parquet(f"{root}/seen")
+
+
 @query(
     """WITH known AS (SELECT DISTINCT text FROM documents WHERE lower(trim(source)) = 'docs')
         SELECT d.text IN (SELECT text FROM known) AS was_cached, count(*) AS n, count(DISTINCT d.text) AS n_texts FROM documents d WHERE d.text IS NOT NULL GROUP BY 1"""
@@ -606,10 +861,27 @@ def ingest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest_plan.ingest(None, pages, embed.hashed()).drop("embedding")
 
 
+@query()
+def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of ingest_points, from a stream of the pages in several batches; see the tests for their equality."""
+    pages = _crawls(spark, sf_dir, "final_url", "status_code", "html").select(F.col("crawl_id").alias("page_id"), F.col("final_url").alias("url"), "status_code", "html")
+    root = _shared_folder(spark, "ingest")
+    jobs.keep_ingested(_arrivals(spark, pages, root, "page_id"), f"{root}/state", f"{root}/progress", embed.hashed()).awaitTermination()
+    return jobs.current(spark, f"{root}/state").drop("embedding")
+
+
+@query()
+def search_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of the pages that the requested URLs lead to."""
+    pages = store.last_in_order(_crawls(spark, sf_dir, "final_url", "status_code", "html").withColumn("url_key", U.url_key(F.col("final_url"))), "url_key", "crawl_id")
+    return services.search_and_ingest(_requested(spark, sf_dir), pages, None, embed.hashed()).drop("embedding")
+
+
 @query()
 def extract_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = store.last_in_order(_crawls(spark, sf_dir, "final_url", "status_code", "html").withColumn("url_key", U.url_key(F.col("final_url"))), "url_key", "crawl_id")
-    return services.extract(latest(table(spark, sf_dir, "extract_requests"), "request_id", heavy=True), pages)
+    asked = table(spark, sf_dir, "extract_requests").select("request_id", "html", "url", "loaded_at")
+    return services.extract(latest(asked, "request_id", heavy=True), pages)
 
 
 @query(
