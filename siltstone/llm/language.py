@@ -80,7 +80,7 @@ QUOTED = re.compile("“[^“”\n]*”|«[^«»\n]*»|„[^„“”\n]*[“”
 NO_WORD = re.compile(r"[@_=<>{}\\/|$#\d]|\bwww\.")
 #: A command, an assignment, or a comment or prompt that goes on like code.
 CODE_LINE = re.compile(r"\s*(?:\$\s|\S+\s*=\s*\S+\s*$|[>#]\s.*[@_=<>{}\\/|$\d])")
-TOKEN = re.compile(r"\S+")
+NO_WORD_TOKEN = re.compile(rf"(?<!\S)\S*(?:{NO_WORD.pattern})\S*")
 _LETTER = r"[^\W\d_]"
 WORD = re.compile(f"{_LETTER}+(?:['’]{_LETTER}+)*")
 #: The same where letters are followed by combining marks.
@@ -106,16 +106,21 @@ def _blank(m: re.Match) -> str:
     return " " * len(m.group())
 
 
-def _blank_code(m: re.Match) -> str:
-    return " " * len(m.group()) if NO_WORD.search(m.group()) else m.group()
-
-
 @dataclass(slots=True)
 class Sentence:
+    """The words of a sentence, and where to find them: the part of a line, which starts at ``offset`` in the text."""
+
     line: int
     words: list[str]
-    #: positions of each word in the text
-    places: list[tuple[int, int]]
+    plain: str
+    start: int
+    stop: int
+    offset: int
+    pattern: re.Pattern
+
+    def places(self) -> list[tuple[int, int]]:
+        """Positions of each word in the text."""
+        return [(self.offset + m.start(), self.offset + m.end()) for m in self.pattern.finditer(self.plain, self.start, self.stop)]
 
 
 def sentences(text: str) -> Iterator[Sentence]:
@@ -124,21 +129,21 @@ def sentences(text: str) -> Iterator[Sentence]:
     Quoted phrases, code, addresses and numbers have no counted words.
     """
     pattern = WORD if unicodedata.is_normalized("NFC", text) else MARKED_WORD
-    start = 0
+    offset = 0
     for line_no, line in enumerate(text.split("\n")):
         if line and not CODE_LINE.match(line):
             plain = QUOTED.sub(_blank, line)
             if NO_WORD.search(plain):
-                plain = TOKEN.sub(_blank_code, plain)
+                plain = NO_WORD_TOKEN.sub(_blank, plain)
             at = 0
             for stop, after in [*(m.span() for m in SENTENCE_END.finditer(plain)), (len(plain), len(plain))]:
-                if found := list(pattern.finditer(plain, at, stop)):
-                    words = [m.group().lower() for m in found]
+                if found := pattern.findall(plain, at, stop):
+                    words = " ".join(found).lower()
                     if pattern is MARKED_WORD:
-                        words = [unicodedata.normalize("NFC", w) for w in words]
-                    yield Sentence(line_no, words, [(start + m.start(), start + m.end()) for m in found])
+                        words = unicodedata.normalize("NFC", words)
+                    yield Sentence(line_no, words.split(" "), plain, at, stop, offset, pattern)
                 at = after
-        start += len(line) + 1
+        offset += len(line) + 1
 
 
 def letter_runs(word: str, sizes: tuple[int, ...] = (1, 2, 3, 4)) -> Iterator[str]:
@@ -262,17 +267,22 @@ def viterbi(scores: list[np.ndarray], costs: list[np.ndarray]) -> list[np.ndarra
 
 @dataclass(slots=True)
 class Span:
-    """A run of words of one language within a sentence."""
+    """The words ``first`` and the ``n_words`` from it on of a sentence, which are of one language."""
 
     line: int
     sentence: int
-    start: int
-    end: int
+    first: int
     lang: str
     n_words: int
     confidence: float
     #: whether the sentence as a whole is written in the language
     whole: bool
+    of: Sentence
+
+    def place(self) -> tuple[int, int]:
+        """From the start of its first word to the end of its last one in the text."""
+        places = self.of.places()
+        return places[self.first][0], places[self.first + self.n_words - 1][1]
 
 
 def spans(model: Model, texts: list[str | None], hints: list[str | None] | None = None) -> list[list[Span]]:
@@ -283,43 +293,47 @@ def spans(model: Model, texts: list[str | None], hints: list[str | None] | None
     drawn towards none by the weight of one word: (n * p + 1 / languages) / (n + 1).
     """
     parsed = [list(sentences(t)) if t else [] for t in texts]
-    every, known = model.scores([w for own in parsed for s in own for w in s.words])
-    scores, costs, start = [], [], 0
-    for own, hint in zip(parsed, hints or [None] * len(parsed)):
-        end = start + sum(len(s.words) for s in own)
-        score = every[start:end]
-        scores.append(score if hint is None else score + known[start:end, None] * np.array([HINT * (lang == hint) for lang in model.langs]))
-        cost, at, before, start = np.full(len(score), INSIDE), 0, None, end
-        for s in own:
-            cost[at] = BETWEEN_SENTENCES if s.line == before else BETWEEN_LINES
-            at, before = at + len(s.words), s.line
-        costs.append(cost)
-    result, start, k = [], 0, len(model.langs)
-    for own, score, label in zip(parsed, scores, viterbi(scores, costs)):
-        if not own:
-            result.append([])
-            continue
-        sizes = np.array([len(s.words) for s in own])
-        ends = np.cumsum(sizes)
-        firsts = ends - sizes
-        told = np.add.reduceat(known[start : start + len(score)], firsts, dtype=np.int64) >= KNOWN_WORDS * sizes
-        fresh = np.ones(len(label), bool)
-        fresh[1:] = label[1:] != label[:-1]
-        fresh[firsts] = True
-        begins = np.flatnonzero(fresh)
-        lengths = np.diff(np.append(begins, len(label)))
-        codes = label[begins]
-        total = np.add.reduceat(score, begins, axis=0)
-        odds = np.exp(np.clip(total - np.take_along_axis(total, codes[:, None].astype(np.int64), 1), -50, 50)).sum(axis=1)
-        sure = (lengths / odds + 1 / k) / (lengths + 1)
-        numbers = np.searchsorted(ends, begins, "right")
-        out = []
-        for no, at, n, code, p in zip(numbers.tolist(), begins.tolist(), lengths.tolist(), codes.tolist(), sure.tolist()):
-            if told[no]:
-                s, first = own[no], at - int(firsts[no])
-                out.append(Span(s.line, no, s.places[first][0], s.places[first + n - 1][1], model.langs[code], n, p, n >= WHOLE * len(s.words)))
-        result.append(out)
-        start += len(score)
+    flat = [s for own in parsed for s in own]
+    every, known = model.scores([w for s in flat for w in s.words])
+    result: list[list[Span]] = [[] for _ in parsed]
+    if not flat:
+        return result
+    sizes = np.fromiter((len(s.words) for s in flat), np.int64, len(flat))
+    ends = np.cumsum(sizes)
+    firsts = ends - sizes
+    counts = np.fromiter(map(len, parsed), np.int64, len(parsed))
+    text_of = np.repeat(np.arange(len(parsed)), counts)
+    lines = np.fromiter((s.line for s in flat), np.int64, len(flat))
+    same_line = np.append(False, (lines[1:] == lines[:-1]) & (text_of[1:] == text_of[:-1]))
+    cost = np.full(len(every), INSIDE)
+    cost[firsts] = np.where(same_line, BETWEEN_SENTENCES, BETWEEN_LINES)
+    # the words of a text, as ends of its part of all words
+    cuts = np.append(0, ends)[np.append(0, np.cumsum(counts))]
+    if hints:
+        for i, hint in enumerate(hints):
+            if hint in model.langs:
+                part = slice(cuts[i], cuts[i + 1])
+                every[part, model.langs.index(hint)] += HINT * known[part]
+    parts = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
+    label = np.concatenate(viterbi([every[part] for part in parts], [cost[part] for part in parts]))
+
+    told = np.add.reduceat(known, firsts, dtype=np.int64) >= KNOWN_WORDS * sizes
+    fresh = np.ones(len(label), bool)
+    fresh[1:] = label[1:] != label[:-1]
+    fresh[firsts] = True
+    begins = np.flatnonzero(fresh)
+    lengths = np.diff(np.append(begins, len(label)))
+    codes = label[begins].astype(np.int64)
+    total = np.add.reduceat(every, begins, axis=0)
+    odds = np.exp(np.clip(total - np.take_along_axis(total, codes[:, None], 1), -50, 50)).sum(axis=1)
+    sure = (lengths / odds + 1 / len(model.langs)) / (lengths + 1)
+    sentence = np.searchsorted(ends, begins, "right")
+    whole, number = lengths >= WHOLE * sizes[sentence], sentence - (np.cumsum(counts) - counts)[text_of[sentence]]
+    keep = told[sentence]
+    columns = (sentence, text_of[sentence], number, begins - firsts[sentence], codes, lengths, sure, whole)
+    for at, text, no, first, code, n, p, is_whole in zip(*(c[keep].tolist() for c in columns)):
+        s = flat[at]
+        result[text].append(Span(s.line, no, first, model.langs[code], n, p, is_whole, s))
     return result
 
 
@@ -399,7 +413,7 @@ def language_spans(texts: DataFrame, samples: DataFrame) -> DataFrame:
     texts without words, and sentences in other scripts or of unknown words give
     no rows; without samples there are none for any text.
     """
-    return _batches(texts, samples, SPAN_SCHEMA, lambda key, own, _: [(key, x.line, x.sentence, x.start, x.end, x.lang, x.n_words, x.confidence, x.whole) for x in own])
+    return _batches(texts, samples, SPAN_SCHEMA, lambda key, own, _: [(key, x.line, x.sentence, *x.place(), x.lang, x.n_words, x.confidence, x.whole) for x in own])
 
 
 LANGUAGE_SCHEMA = "result_id bigint, line_no int, lang string, n_words int, confidence double, right_label boolean"

@@ -175,7 +175,7 @@ def test_languages(spark):
 
 def told(text, model=None):
     model = model or language.fit([(lang, s.words) for lang, own in SAMPLES.items() for t in own for s in language.sentences(t)])
-    return [(x.lang, text[x.start : x.end], x.whole) for x in language.spans(model, [text])[0]]
+    return [(x.lang, text[slice(*x.place())], x.whole) for x in language.spans(model, [text])[0]]
 
 
 def test_languages_switch_inside_a_sentence():
@@ -195,7 +195,7 @@ def test_scripts_and_unknown_words_have_no_label():
 
 def test_sentences_keep_their_places():
     text = "# Das Haus steht\n> x = 1\nSee “Dom, и” at www.a.b. The e\u0301te\u0301 ends!\n\nYes"
-    got = [(s.line, [text[a:b] for a, b in s.places], s.words) for s in language.sentences(text)]
+    got = [(s.line, [text[a:b] for a, b in s.places()], s.words) for s in language.sentences(text)]
     assert got == [(0, ["Das", "Haus", "steht"], ["das", "haus", "steht"]), (2, ["See", "at", "The", "e\u0301te\u0301", "ends"], ["see", "at", "the", "été", "ends"]), (4, ["Yes"], ["yes"])]
 
 
