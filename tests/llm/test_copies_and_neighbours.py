@@ -61,6 +61,16 @@ def test_hot_keys_take_the_way_over_blocks(spark, block):
     assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.97 * len(want) and len(want) > 300
 
 
+def test_hot_keys_of_unlike_texts_give_no_pairs(spark):
+    # texts that share a long frame meet under hot keys, but are not alike beyond it
+    rng = np.random.default_rng(6)
+    frame = " ".join(f"f{i}" for i in range(30))
+    rows = [(i, frame + " " + " ".join(f"w{n}" for n in rng.integers(0, 10**6, 40))) for i in range(60)] + [(100 + i, t) for i, t in enumerate(make(rng, 20, 1))]
+    got = [tuple(r) for r in nearcopies.pairs(*nearcopies.near_copies(table(spark, rows), block=4)).collect()]
+    want = brute(rows)
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.97 * len(want) and len(want) > 50
+
+
 def test_last_delivery_and_groups(spark):
     rows = [(1, "a b c d e f g h", T0), (2, "a b c d e f g h i", T0), (3, "z y x w v", T0), (3, "a b c d e f g h", T0 + timedelta(1)), (4, "q r s t", T0), (None, "q r s t", T0)]
     chunks = spark.createDataFrame(rows, "chunk_id bigint, text string, loaded_at timestamp")
