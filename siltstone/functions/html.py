@@ -119,12 +119,17 @@ def same_site_links(hrefs: Column, base: Column) -> Column:
 def robots_allow(robots: pd.Series, url: pd.Series, agent: pd.Series) -> pd.Series:
     """Whether a robots file lets the agent fetch the URL; anything missing or malformed allows."""
 
+    parsed_rules: dict[str, RobotFileParser] = {}
+
     def allow(text: str | None, page: str | None, name: str | None) -> bool:
         if not text or not page:
             return True
         try:
-            rules = RobotFileParser()
-            rules.parse(text.splitlines())
+            rules = parsed_rules.get(text)
+            if rules is None:
+                # a file that serves many pages of the batch is parsed once
+                rules = parsed_rules[text] = RobotFileParser()
+                rules.parse(text.splitlines())
             return rules.can_fetch(name or "*", page)
         except Exception:
             return True

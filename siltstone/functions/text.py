@@ -38,7 +38,7 @@ BOILERPLATE = (
     r"all\s+rights\s+reserved",
     r"copyright\s+©",
 )
-#: Bracketed marks of wikis, taken out of a line.
+#: Bracketed marks of wikis, taken out of a line; in one pattern, so that a line is gone through once.
 WIKI_MARKS = r"(?i)\[(?:edit|citation needed|when\?|who\?|why\?|update|clarification needed|vague|dubious[^\]]*|note \d+|further explanation needed)\]"
 #: Typographic signs and their plain spelling.
 PLAIN_SIGNS = (("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", "--"), ("…", "..."))

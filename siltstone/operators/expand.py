@@ -32,10 +32,10 @@ TOPIC_LEADS = (
     r"when\s+(?:is|are|does|do|to)|where\s+(?:is|are|does|do|to)|who\s+(?:is|are))\s+"
 )
 ANSWERS = (
-    "{topic} refers to {low}, which is described as follows.",
-    "In summary, {topic} is a concept that involves {low}.",
-    "The key idea behind {topic} is {low}; here is how it works.",
-    "To answer the question about {topic}: {topic} is best understood as {low}.",
+    "{topic} refers to {topic_lower}, which is described as follows.",
+    "In summary, {topic} is a concept that involves {topic_lower}.",
+    "The key idea behind {topic} is {topic_lower}; here is how it works.",
+    "To answer the question about {topic}: {topic} is best understood as {topic_lower}.",
 )
 
 

@@ -26,6 +26,15 @@ def documents_of(pages: DataFrame, settings: Settings = Settings()) -> DataFrame
     return page.select("page_id", "url", "page.title", text).withColumn("word_count", T.word_count(F.col("text")))
 
 
+def failures_of(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(page_id, url, error) of the pages that documents_of drops: their status, no html, or no text in it."""
+    parsed = documents_of(pages, settings).select("page_id", F.lit(True).alias("has_text"))
+    html = F.coalesce("html", F.lit("")) == ""
+    status = ~F.coalesce(F.col("status_code") == 200, F.lit(False)) if settings.require_ok else F.lit(False)
+    error = F.when(status, F.concat(F.lit("status "), F.coalesce(F.col("status_code").cast("string"), F.lit("unknown")))).when(html, "no html").otherwise("no text")
+    return pages.join(parsed, "page_id", "left").where("has_text is null").select("page_id", "url", error.alias("error"))
+
+
 def chunks_of(documents: DataFrame, settings: Settings = Settings(), keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each chunk of ``documents(url, title, text, *keep)`` with its point id and fingerprint."""
     split = documents.select("url", "title", *keep, T.chunks(F.col("text"), settings.chunk_size, settings.chunk_overlap).alias("chunks"))

@@ -640,7 +640,7 @@ def _list_sql(items) -> str:
 _SYNONYM_SQL = "list_filter([" + ", ".join(
     f"CASE WHEN contains(lower(q), '{term}') THEN replace(lower(q), '{term}', '{new}') END" for term, news in expand.SYNONYMS.items() for new in news[:2]
 ) + "], lambda x: x IS NOT NULL AND x <> lower(q))"
-_LEAD_SQL = r"(?i)^(what is|what are|how does|how do|why does|why is|when to|where to)\s+"
+_LEAD_SQL = expand.LEADS
 
 
 @query(
@@ -661,7 +661,7 @@ def _answers_sql() -> str:
     texts = []
     for template in expand.ANSWERS:
         said = "'" + template.replace("'", "''") + "'"
-        texts.append(f"replace(replace({said}, '{{topic}}', t), '{{low}}', lower(t))")
+        texts.append(f"replace(replace({said}, '{{topic}}', t), '{{topic_lower}}', lower(t))")
     return "[" + ", ".join(texts) + "]"
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 #: Least and greatest value of each parameter.
 BOUNDS = {
@@ -26,6 +28,21 @@ class Settings:
     min_relevance: float = 0.3
     require_ok: bool = False
 
+    @classmethod
+    def from_environment(cls, environment: Mapping[str, str] = os.environ, prefix: str = "") -> Settings:
+        """Settings from variables named as the fields in upper case, after a prefix; a missing or blank one leaves the default.
+
+        Switches are true for 1, true, yes and on, in any case. What is no number,
+        or out of its bounds, raises ValueError.
+        """
+        read = {}
+        for field in fields(cls):
+            text = environment.get(f"{prefix}{field.name.upper()}", "").strip()
+            if text:
+                kind = type(field.default)
+                read[field.name] = text.lower() in ("1", "true", "yes", "on") if kind is bool else kind(text)
+        return cls(**read)
+
     def __post_init__(self) -> None:
         for name, (least, most) in BOUNDS.items():
             if not least <= getattr(self, name) <= most:

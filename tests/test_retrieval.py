@@ -29,6 +29,14 @@ def test_bm25(spark):
     assert plain["d3"] == pytest.approx(1.2969643)
 
 
+def test_settings_from_environment():
+    read = Settings.from_environment({"X_TOP_K": "7", "X_USE_MMR": "Yes", "X_MIN_RELEVANCE": " ", "TOP_K": "9", "X_MMR_LAMBDA": "0.2"}, "X_")
+    assert read == Settings(top_k=7, use_mmr=True, mmr_lambda=0.2)
+    for bad in ({"TOP_K": "0"}, {"TOP_K": "many"}):
+        with pytest.raises(ValueError):
+            Settings.from_environment(bad)
+
+
 def test_bm25_empty(spark):
     docs = spark.createDataFrame([], "doc_id string, text string")
     asked = spark.createDataFrame([(1, "apple")], "query_id int, query string")

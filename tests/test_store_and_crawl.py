@@ -307,6 +307,12 @@ def test_services(spark):
     assert services.search_and_ingest(hits, pages, None, embed.hashed(4)).count() == 1
 
 
+def test_ingest_says_what_failed(spark):
+    pages = spark.createDataFrame([(1, "u1", 200, "<p>text"), (2, "u2", 200, None), (3, "u3", 404, "<p>text"), (4, "u4", 200, "<p> </p>"), (5, "u5", None, "")], "page_id bigint, url string, status_code int, html string")
+    assert rows(ingest_plan.failures_of(pages).select("page_id", "error"), "page_id") == [(2, "no html"), (4, "no text"), (5, "no html")]
+    assert rows(ingest_plan.failures_of(pages, Settings(require_ok=True)).select("page_id", "error"), "page_id") == [(2, "no html"), (3, "status 404"), (4, "no text"), (5, "status unknown")]
+
+
 def test_tables(spark):
     from siltstone.sources import schemas
 

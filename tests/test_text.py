@@ -85,6 +85,13 @@ def test_cleaner_drops_lines(one, line):
     assert one(T.cleaned(F.col("t")), t=f"keep\n {line} \nthis") == "keep\nthis"
 
 
+def test_boilerplate_words_cover_the_patterns():
+    # a text with none of these words can hold no boilerplate line: each pattern must need one of them
+    for pattern in T.BOILERPLATE:
+        needed = re.sub(r"\([^()]*\)\?", "", pattern).replace(r"\s+", " ")
+        assert any(word in needed for word in T._BOILERPLATE_WORDS), pattern
+
+
 def test_cleaner(one, spark):
     assert one(T.cleaned(F.col("t")), t="---\na: 1\n---\nﬁne ‘x’ “y” – — … z​­") == "fine 'x' \"y\" - -- ... z"
     assert one(T.cleaned(F.col("t")), t="a[edit] b [Citation needed] [7]\n\n\n\n\nwow!!!! ok??") == "a b  [7]\n\nwow! ok??"
