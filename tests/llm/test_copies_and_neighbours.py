@@ -165,17 +165,25 @@ def test_traversal_is_best_bin_first():
 
 def test_recall_is_calibrated():
     x = neighbours.unit(np.random.default_rng(10).normal(size=(1500, 12)))
+    kinds = np.arange(1500) % 2
     tree = neighbours.fit(x)
-    margins = [neighbours.calibrate(tree, x, np.zeros(1500), 5, -1.0, r) for r in (0.5, 0.9, 1.0)]
-    assert margins[0] < margins[1] < margins[2]
+    closest = neighbours.Closest(x[:400], kinds[:400], 5)
+    for start in range(0, 1500, 400):
+        closest.offer(x[start : start + 400], kinds[start : start + 400])
+    score = x[:400] @ x.T
+    score[kinds[:400, None] != kinds] = -1
+    score[np.arange(400), np.arange(400)] = -1
+    best = np.sort(score, axis=1)[:, ::-1][:, :5]
+    assert np.allclose(np.sort(closest.score, axis=1)[:, ::-1], best, atol=1e-6)
+    _, near, gap = closest.gaps(tree)
+    margins = [neighbours.margin_of(near, gap, -1.0, r) for r in (0.5, 0.9, 1.0)]
+    assert margins[0] < margins[1] < margins[2] and neighbours.margin_of(near, gap, 2.0, 0.9) == margins[1] and neighbours.margin_of(near[:0], gap[:0], 0.0, 0.9) == 0
     row, leaf, _ = tree.visits(x, 0.0)
     home = dict(zip(row, leaf))
-    score = x @ x.T
-    np.fill_diagonal(score, -1)
+    true = [(i, j) for i in range(400) for j in np.argsort(-score[i])[:5]]
     for margin, least in zip(margins, (0.5, 0.9, 1.0)):
         row, leaf, _ = tree.visits(x, margin)
         visited = set(zip(row, leaf))
-        true = [(i, j) for i in range(1500) for j in np.argsort(-score[i])[:5]]
         assert sum((i, home[j]) in visited or (j, home[i]) in visited for i, j in true) >= least * len(true)
 
 
