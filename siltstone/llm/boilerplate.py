@@ -238,17 +238,18 @@ def main_lines(page: Lines) -> list[bool]:
     region, kept = None, set()
     if head is not None:
         region = home[head]
-        while region and (regions[region].tag == "header" or not any(smooth[i] >= LEAST_RATIO * border and _inside(regions, home[i], region) for i in range(len(lines)))):
+        told = _around(regions, (at for at, value in zip(home, smooth) if value >= LEAST_RATIO * border))
+        while region and (regions[region].tag == "header" or region not in told):
             region = regions[region].parent
-        while not kept:
-            inner = {at: m for at, m in mass.items() if at != region and _inside(regions, at, region)}
-            if any(at == region and line.holder not in ("h1", "h2", "h3") for at, line in zip(home, lines)) or (not region and not inner):
-                kept = {region}
-            elif inner:
-                # a region of headings alone: its body is what is nested in it
-                kept = {max(inner, key=inner.get)}
-            else:
-                region = regions[region].parent
+        spoken = {at for at, line in zip(home, lines) if line.holder not in ("h1", "h2", "h3")}
+        heavy = _around(regions, (regions[at].parent for at in mass if at))
+        while region and region not in spoken and region not in heavy:
+            region = regions[region].parent
+        if region in spoken or region not in heavy:
+            kept = {region}
+        else:
+            # a region of headings alone: its body is what is nested in it
+            kept = {max((at for at in mass if at != region and _inside(regions, at, region)), key=mass.get)}
     elif mass:
         region = max(mass, key=mass.get)
         kept = {region}
@@ -352,6 +353,16 @@ def _nested(
     return found
 
 
+def _around(regions: list[Region], places: Iterator[int]) -> set[int]:
+    """The regions of the places and all around them."""
+    found: set[int] = set()
+    for at in places:
+        while at >= 0 and at not in found:
+            found.add(at)
+            at = regions[at].parent
+    return found
+
+
 def _upward(regions: list[Region], at: int) -> Iterator[int]:
     while at > 0:
         yield at

@@ -116,6 +116,8 @@ def test_main_body_odd_pages():
     assert main(f"<div><h1>H</h1></div><div class=body><p>{ARTICLE}</p><p>{ARTICLE}</p></div>") == ["H", ARTICLE, ARTICLE]
     deep = "<div>" * 5000 + f"<p>{ARTICLE}" + "</div>" * 5000
     assert main(deep) == [ARTICLE]
+    # a headline far below the text that belongs to it
+    assert main(f"<p>{ARTICLE}</p>" + "<div>" * 20_000 + "<h1><a>H</a></h1>" + "</div>" * 20_000) == [ARTICLE, "H"]
 
 
 def test_main_body_of_nested_elements():
