@@ -15,13 +15,14 @@ def postings(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """(key, term_id, tf, dl) of each term of each document; dl counts all tokens of it.
 
     Null and empty texts and texts of stop words have no postings. Repeated keys
-    count as one document with the tokens of all their rows. One shuffle, of the
-    token lists by key, serves length and counts.
+    count as one document with the tokens of all their rows. Tokens are
+    counted where the texts are read, so that a shuffle holds each term of a
+    document once.
     """
-    tokens = documents.where(F.col(key).isNotNull()).select(F.col(key), T.tokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 0).repartition(key)
-    lengths = tokens.withColumn("dl", F.sum(F.size("tokens")).over(Window.partitionBy(key)).cast("int"))
-    terms = lengths.select(key, "dl", F.explode("tokens").alias("token")).select(key, "dl", T.token_id(F.col("token")).alias("term_id"))
-    return terms.groupBy(key, "term_id").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
+    tokens = documents.where(F.col(key).isNotNull()).select(F.col(key), T.tokens(F.col(text)).alias("tokens"))
+    terms = tokens.select(key, F.explode("tokens").alias("token")).select(key, T.token_id(F.col("token")).alias("term_id"))
+    counted = terms.groupBy(key, "term_id").agg(F.count("*").cast("int").alias("tf"))
+    return counted.withColumn("dl", F.sum("tf").over(Window.partitionBy(key)).cast("int"))
 
 
 def term_counts(posted: DataFrame) -> DataFrame:
