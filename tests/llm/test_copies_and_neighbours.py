@@ -1,8 +1,10 @@
 import re
+import tracemalloc
 from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siltstone.llm import nearcopies, neighbours
@@ -202,3 +204,27 @@ def test_many_vectors_of_one_direction(spark):
 def test_no_rows(spark):
     none = chunk_vectors(spark, np.zeros((0, 8)), [])
     assert neighbours.neighbour_pairs(neighbours.neighbours(none, width=8)).count() == 0
+
+
+def test_a_block_is_searched_without_double_precision_of_the_whole():
+    rng = np.random.default_rng(0)
+    n, width, leaves = 40_000, 96, 8
+    centres = rng.normal(size=(leaves, width))
+    own = rng.integers(0, leaves, n)
+    vectors = (centres[own] + rng.normal(size=(n, width)) * 0.5).astype(np.float32)
+    home = np.where(np.arange(n) < n // 5, own, -1).astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(np.arange(n + 1).astype(np.int32)), pa.array(np.arange(n)))
+    asked = pa.ListArray.from_arrays(pa.array(np.arange(n + 1).astype(np.int32)), pa.array(own.astype(np.int32)))
+    group = pa.table({"h1": np.arange(n), "h2": np.arange(n), "ids": ids, "home": home, "leaves": asked, "vector": pa.array([v.tobytes() for v in vectors], pa.binary())})
+    group = pa.concat_tables([group.slice(0, 7_001), group.slice(7_001)])
+    tracemalloc.start()
+    got = neighbours._search(group, 3, width, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * vectors.nbytes, peak / vectors.nbytes
+    unit = neighbours.unit(vectors)
+    found = dict(zip(got["h1"].to_pylist(), got["near"].to_pylist()))
+    for row in (0, 7_000, 7_001, n - 1):
+        met = np.flatnonzero((home == own[row]) | ((row < n // 5) & (own == own[row])))
+        best = sorted((-float(unit[o] @ unit[row]), int(o)) for o in met)[:4]
+        assert [x["id"] for x in found[row]] == [o for _, o in best]
