@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from siltstone.functions import text as T
 from siltstone.sources.tables import ensure_checkpoint_dir
 
 K1, B = 1.5, 0.75
+#: Documents of a block at most, on average; queries of a group, which is sent to every block.
+BLOCK, GROUP = 50_000, 65_536
+#: Up to so many asked terms, postings of others are left out before anything is shuffled.
+ASKED = 4_194_304
 
 
 def postings(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,14 +106,154 @@ def search(queries: DataFrame, documents: DataFrame, k: int = 10, idf_power: int
     Weights of queries and documents both hold the idf; idf_power 1 takes it out
     of the query, as textbooks have it. Queries without known terms give no rows.
     Beyond the statistics, only postings of terms that some query holds count.
+
+    Documents are dealt to blocks, one task each, as one narrow row with the
+    postings that count. A task scores all queries of a group against its block
+    and returns the k best of each, so that pairs of a query and a document are
+    never written.
     """
-    ensure_checkpoint_dir(documents.sparkSession)
-    every = postings(documents).checkpoint()
-    asked = queries.select(F.explode(T.tokens(F.col("query"))).alias("token")).select(T.token_id(F.col("token")).alias("term_id")).distinct()
-    posted, stats = every.join(asked, "term_id", "left_semi"), collection_stats(every)
-    counts = term_counts(posted)
-    weights = query_weights(queries, counts, stats)
+    spark = documents.sparkSession
+    ensure_checkpoint_dir(spark)
+    terms = queries.select(F.explode(T.tokens(F.col("query"))).alias("token")).select(T.token_id(F.col("token")).alias("term_id")).distinct()
+    asked = np.sort(terms.limit(ASKED + 1).toArrow()["term_id"].to_numpy().astype(np.uint32))
+    # counted before texts are looked at
+    cores = spark.sparkContext.defaultParallelism
+    n_blocks = cores * max(1, -(-documents.select("doc_id").count() // (BLOCK * cores)))
+    blocks = _narrow(documents, asked if len(asked) <= ASKED else None).repartition(n_blocks, "doc_id").sortWithinPartitions("doc_id").checkpoint()
+    # the row with the term -1 has the number of documents and of their tokens
+    counted = blocks.mapInArrow(_counted, "term_id bigint, df bigint, total bigint").groupBy("term_id").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).checkpoint()
+    counts = counted.where("term_id >= 0").select("term_id", "df")
+    stats = counted.where("term_id = -1").select(F.col("df").alias("n_docs"), (F.col("total") / F.col("df")).alias("avgdl"))
+    known = query_weights(queries, counts, stats).join(counts, "term_id").crossJoin(F.broadcast(stats)).withColumn("idf", idf(F.col("n_docs"), F.col("df")))
     if idf_power == 1:
-        weights = weights.join(counts, "term_id").crossJoin(F.broadcast(stats)).withColumn("weight", F.col("weight") / idf(F.col("n_docs"), F.col("df")))
-    scored = dot_products(weights.select("query_id", "term_id", "weight"), document_weights(posted, counts, stats), ["term_id"])
+        known = known.withColumn("weight", F.col("weight") / F.col("idf"))
+    n_groups = max(1, -(-queries.select("query_id").count() // GROUP))
+    known = known.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term_id", "weight", "idf"))).alias("terms"), F.first("avgdl").alias("avgdl"))
+    known = known.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(n_groups))).checkpoint()
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(documents.dtypes)['doc_id']}, score double"
+    scored = None
+    for part in range(n_groups):
+        found = _scored(blocks, known.where(F.col("part") == part), k, schema)
+        scored = found if scored is None else scored.unionByName(found)
     return top_k(scored.withColumn("score", F.round("score", 9)), k)
+
+
+def _narrow(documents: DataFrame, asked: np.ndarray | None) -> DataFrame:
+    """(doc_id, dl, terms, tfs): a row for each row with tokens; its different terms, of ``asked`` ones, and how often each occurs, as numbers of 4 bytes."""
+    shared = documents.sparkSession.sparkContext.broadcast(asked)
+    named = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.transform(T.tokens(F.col("text")), T.token_id).alias("ids"))
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        for batch in batches:
+            lists = batch.column("ids")
+            dl = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            # row and term in one number: what is equal stands together
+            both = (np.repeat(np.arange(len(dl)), dl).astype(np.uint64) << np.uint64(32)) | lists.flatten().to_numpy().astype(np.uint64)
+            if asked is not None:
+                both = both[_places(asked, (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)) >= 0]
+            both, tf = np.unique(both, return_counts=True)
+            offsets = np.searchsorted(both >> np.uint64(32), np.arange(len(dl) + 1)).astype(np.int64) * 4
+            binary = lambda values: pa.Array.from_buffers(pa.large_binary(), len(dl), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())  # noqa: E731, B023
+            out = [batch.column("doc_id"), pa.array(dl), binary((both & np.uint64(0xFFFFFFFF)).astype(np.uint32)), binary(tf.astype(np.uint32))]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "dl", "terms", "tfs"]).filter(pa.array(dl > 0))
+
+    return named.mapInArrow(narrow, f"doc_id {dict(documents.dtypes)['doc_id']}, dl bigint, terms binary, tfs binary")
+
+
+def _places(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each of ``wanted`` stands in sorted ``values``; -1 for none."""
+    if not len(values):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+    return np.where(values[at] == wanted, at, -1)
+
+
+def _block(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, dl, and of each posting by term and document: term, document, tf) of rows sorted by key; rows of one key are one document."""
+    batches = [b for b in batches if len(b)]
+    if not batches:
+        return pa.array([]), *(np.zeros(0, np.int64) for _ in range(4))
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    keys = rows["doc_id"].combine_chunks() if rows["doc_id"].num_chunks != 1 else rows["doc_id"].chunk(0)
+    try:
+        fresh = pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False).astype(bool)
+    except pa.ArrowNotImplementedError:
+        plain = keys.to_pylist()
+        fresh = np.array([a != b for a, b in zip(plain, plain[1:])], bool)
+    first = np.append(0, np.flatnonzero(fresh) + 1)
+    document = np.append(0, np.cumsum(fresh)).astype(np.uint64)
+    dl = np.add.reduceat(rows["dl"].to_numpy(), first)
+    flat = lambda c: np.frombuffer(b"".join(rows[c].to_pylist()), np.uint32)
+    sizes = pc.binary_length(rows["terms"]).to_numpy().astype(np.int64) // 4
+    both = (flat("terms").astype(np.uint64) << np.uint64(32)) | np.repeat(document, sizes)
+    order = np.argsort(both, kind="stable")
+    both, tf = both[order], flat("tfs")[order].astype(np.int64)
+    if len(both):
+        starts = np.append(0, np.flatnonzero(both[1:] != both[:-1]) + 1)
+        both, tf = both[starts], np.add.reduceat(tf, starts)
+    return keys.take(pa.array(first)), dl, (both >> np.uint64(32)).astype(np.uint32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64), tf
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys, dl, term, _, _ = _block(batches)
+    if len(keys):
+        terms, df = np.unique(term, return_counts=True)
+        columns = [np.append(terms.astype(np.int64), -1), np.append(df, len(dl)), np.append(np.zeros(len(df), np.int64), dl.sum())]
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["term_id", "df", "total"])
+
+
+def _scored(blocks: DataFrame, known: DataFrame, k: int, schema: str) -> DataFrame:
+    """(query_id, doc_id, score): for each block the k best documents of each query of ``known``, and what ties with the last up to rounding."""
+    table = known.select("query_id", "terms", "avgdl").toArrow().combine_chunks()
+    lists = table["terms"].combine_chunks()
+    flat = lists.flatten()
+    term, weight, rarity = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    offsets = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int64)
+    avgdl = table["avgdl"][0].as_py() if table.num_rows else 1.0
+    shared = blocks.sparkSession.sparkContext.broadcast((table["query_id"].combine_chunks(), offsets, term.astype(np.uint32), weight, rarity, avgdl))
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema)])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, offsets, term, weight, rarity, avgdl = shared.value
+        keys, dl, posted, document, tf = _block(batches)
+        if not len(keys):
+            return
+        raw = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[document] / avgdl))
+        begin, end = np.searchsorted(posted, term, "left").tolist(), np.searchsorted(posted, term, "right").tolist()
+        sums = np.zeros(len(dl))
+        for start in range(0, len(ids), 4096):
+            best = []
+            for q in range(start, min(start + 4096, len(ids))):
+                at, score = _best(sums, document, raw, weight, rarity, begin, end, offsets[q], offsets[q + 1], k)
+                best.append((np.full(len(at), q), at, score))
+            query, at, score = (np.concatenate([b[i] for b in best]) for i in range(3))
+            yield from pa.table([ids.take(pa.array(query)), keys.take(pa.array(at)), pa.array(score)], names=arrow.names).cast(arrow).to_batches(65_536)
+
+    return blocks.mapInArrow(score, schema)
+
+
+def _best(sums: np.ndarray, document: np.ndarray, raw: np.ndarray, weight: np.ndarray, rarity: np.ndarray, begin: list[int], end: list[int], first: int, last: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, scores) of one query, its terms first ... last-1; ``sums`` is all zero before and after."""
+    met = [np.zeros(0, np.int64)]
+    for j in range(first, last):
+        if begin[j] < end[j]:
+            at = document[begin[j] : end[j]]
+            now = sums[at]
+            met.append(at[now == 0])
+            sums[at] = now + weight[j] * (rarity[j] * raw[begin[j] : end[j]])
+    at = np.concatenate(met)
+    score = sums[at]
+    sums[at] = 0
+    if len(at) > k:
+        # scores are rounded to nine places afterwards
+        good = score >= np.partition(score, len(score) - k)[len(score) - k] - 2e-9
+        at, score = at[good], score[good]
+    if len(at) > 2 * k:
+        # of equal scores the first keys decide
+        order = np.lexsort((at, -score))
+        at, score = at[order], score[order]
+        fresh = np.append(True, score[1:] != score[:-1])
+        few = np.arange(len(at)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1] < k
+        at, score = at[few], score[few]
+    return at, score

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +141,21 @@ def test_settings():
 def test_gate_off_keeps_all(spark):
     rows = spark.createDataFrame([(1, None, 0.1), (1, 0.9, 0.1)], "query_id int, rerank_score double, score double")
     assert rerank.gate(rows, 0).count() == 2 and rerank.gate(rows, 0.3).count() == 1
+
+
+def test_bm25_writes_neither_postings_that_nobody_asks_nor_pairs(spark):
+    rng = np.random.default_rng(2)
+    words = [f"word{i}" for i in range(400)]
+    docs = [(i, " ".join(rng.choice(words, 200)) + " common") for i in range(300)] + [(7, "common rare rare"), (None, "common")]
+    documents = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    asked = spark.createDataFrame([(q, f"common word{q % 20} word{q % 20} rare") for q in range(200)], "query_id int, query string")
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("part-*"))
+    before = size()
+    found = sparse.search(asked, documents, 4)
+    assert size() - before < 200_000
+    posted = sparse.postings(documents)
+    counts, stats = sparse.term_counts(posted), sparse.collection_stats(posted)
+    pairs = sparse.dot_products(sparse.query_weights(asked, counts, stats), sparse.document_weights(posted, counts, stats), ["term_id"])
+    want = sparse.top_k(pairs.withColumn("score", F.round("score", 9)), 4)
+    assert found.count() == 800 and {tuple(r) for r in found.collect()} == {tuple(r) for r in want.select(found.columns).collect()}
