@@ -23,7 +23,15 @@ def rerank(candidates: DataFrame, top_k: int, scorer: Scorer = overlap_score) ->
 
     Null scores count as 0; ties keep the order of rank.
     """
-    scored = candidates.withColumn("rerank_score", scorer(F.col("query"), F.col("text")))
+    return best(scored(candidates, scorer), top_k)
+
+
+def scored(candidates: DataFrame, scorer: Scorer = overlap_score) -> DataFrame:
+    """``candidates`` with rerank_score, after which texts need not travel further."""
+    return candidates.withColumn("rerank_score", scorer(F.col("query"), F.col("text")))
+
+
+def best(scored: DataFrame, top_k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.coalesce("rerank_score", F.lit(0.0)).desc(), "rank")
     return scored.withColumn("position", F.row_number().over(w)).where(F.col("position") <= top_k)
 

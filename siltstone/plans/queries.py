@@ -574,8 +574,10 @@ def _reranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     documents = _documents(spark, sf_dir)
     asked = _title_queries(documents)
     found = sparse.search(asked, documents).checkpoint()
-    pairs = found.join(documents.select("doc_id", "url", "title", "text"), "doc_id").join(asked, "query_id")
-    return asked, found, rerank.rerank(pairs, 5).checkpoint()
+    # texts go no further than their score: no answer here shows them
+    pairs = rerank.scored(found.join(asked, "query_id").join(documents.select("doc_id", "url", "title", "text"), "doc_id")).drop("text", "query")
+    best = rerank.best(pairs, 5).checkpoint()
+    return asked, found, best.withColumn("text", F.lit(None).cast("string"))
 
 
 @query(f"WITH {_RERANKED} SELECT query_id, doc_id, position, round(rerank_score, 6) AS rerank_score FROM reranked WHERE rerank_score >= 0.8")

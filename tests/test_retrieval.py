@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import dense, fusion, rerank, sparse
-from siltstone.plans import embed, retrieve
+from siltstone.plans import embed, queries, retrieve
 from siltstone.plans.settings import Settings, overfetch
 
 DOCS = [("d1", "red apple pie and apple tart"), ("d2", "green apple"), ("d3", "the blue car is fast, a fast car"), ("d4", ""), ("d5", None)]
@@ -159,3 +159,11 @@ def test_bm25_writes_neither_postings_that_nobody_asks_nor_pairs(spark):
     pairs = sparse.dot_products(sparse.query_weights(asked, counts, stats), sparse.document_weights(posted, counts, stats), ["term_id"])
     want = sparse.top_k(pairs.withColumn("score", F.round("score", 9)), 4)
     assert found.count() == 800 and {tuple(r) for r in found.collect()} == {tuple(r) for r in want.select(found.columns).collect()}
+
+
+def test_texts_are_not_written_for_answers_that_show_none(spark, tmp_path):
+    rows = [(i, f"text about apples number{i}", f"apples number{i}", "u") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, title string, url string").write.parquet(str(tmp_path / "documents.parquet"))
+    best = queries._reranked(spark, str(tmp_path))[2]
+    assert best.count() == 10 and best.where("text is not null").count() == 0
+    assert {(r.query_id, r.doc_id) for r in queries.rerank_gate(spark, str(tmp_path)).collect()} == {(0, 0), (20, 20)}
