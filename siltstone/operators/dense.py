@@ -1,7 +1,9 @@
-"""Exact top-k by cosine similarity, in blocks of queries against blocks of rows."""
+"""Exact top-k by cosine similarity: groups of queries go to where the rows are read."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,9 +12,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from siltstone.operators.sparse import top_k
+from siltstone.sources.tables import ensure_checkpoint_dir
 
-#: Vectors of one block on either side at most, and of rows at least where there are cores for more blocks.
-BLOCK, LEAST_BLOCK = 4096, 512
+#: Rows that a group of queries meets at once, and numbers in the vectors of a group, which is sent to every task.
+BLOCK, NUMBERS = 4096, 2_097_152
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -38,46 +41,106 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 10, by: list[str] | Non
     the cut at k. Ties go to the smaller row_id. Null and empty vectors and those
     with null members take no part, vectors of different lengths never meet; a
     vector of zeros has similarity 0.
+
+    No vector is shuffled: a task keeps the best rows of each query of a group
+    while its own rows pass.
     """
     by = by or []
+    spark = queries.sparkSession
+    ensure_checkpoint_dir(spark)
     usable = "vector is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x))"
-    q = queries.where(usable).withColumn("width", F.size("vector"))
-    r = rows.where(usable).withColumn("width", F.size("vector"))
-    # counted before vectors are looked at, so that computed ones are not computed for it
-    of_q, of_r = queries.count(), rows.count()
-    n_q = max(1, -(-of_q // BLOCK))
-    # small tables are cut further, to give every core a block of some size
-    n_r = max(1, -(-of_r // BLOCK), min(queries.sparkSession.sparkContext.defaultParallelism // n_q, of_r // LEAST_BLOCK))
-    q = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))))
-    r = r.withColumn("rb", F.pmod(F.xxhash64("row_id"), F.lit(n_r))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    keys = [*by, "width", "qb", "rb"]
-    # both sides may stem from one table: new names keep their columns apart
-    r = r.toDF(*[f"{c}_" for c in r.columns]).toDF(*r.columns)
-    met_schema = f"query_id {dict(q.dtypes)['query_id']}, row_id {dict(r.dtypes)['row_id']}, score double"
-    empty = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(met_schema)]).empty_table()
-    floor = -2.0 if least is None else least
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return empty
-        size = lambda m: np.where((s := np.linalg.norm(m, axis=1)) == 0, 1, s)[:, None]
-        x, y = (m / size(m) for m in (_matrix(left["vector"]), _matrix(right["vector"])))
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for start in range(0, len(x), 256):
-            score = x[start : start + 256] @ y.T
-            good = score >= floor
-            if score.shape[1] > 2 * k + 2:
-                # one more than k, for the row itself, and what ties with the last one up to rounding
-                edge = np.partition(score, score.shape[1] - k - 1, axis=1)[:, score.shape[1] - k - 1]
-                good &= score >= edge[:, None] - 1e-9
-            i, j = np.nonzero(good)
-            found.append((start + i, j, score[i, j]))
-        i, j, score = (np.concatenate([f[n] for f in found]) for n in range(3))
-        table = pa.table({"query_id": left["query_id"].combine_chunks().take(pa.array(i)), "row_id": right["row_id"].combine_chunks().take(pa.array(j)), "score": score})
-        if include_self:
-            return table.cast(empty.schema)
-        other = [a != b for a, b in zip(table["query_id"].to_pylist(), table["row_id"].to_pylist())]
-        return table.filter(pa.array(other, pa.bool_())).cast(empty.schema)
-
-    met = q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInArrow(meet, met_schema)
+    kind = F.xxhash64(F.size("vector"), *[x for c in by for x in (F.col(c).isNull(), F.col(c))]).alias("kind")
+    of_q = max(1, queries.count())
+    numbered = F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(1 << 30)).alias("part")
+    q = queries.where(usable).select("query_id", F.col("vector").cast("array<double>"), kind, numbered).checkpoint()
+    widest = q.agg(F.max(F.size("vector"))).head()[0] or 1
+    n_groups = -(-of_q * widest // NUMBERS)
+    rows = rows.where(usable).select("row_id", F.col("vector").cast("array<double>"), kind)
+    cores = spark.sparkContext.defaultParallelism
+    if n_groups > 1:
+        rows = rows.checkpoint()
+    parts = rows.rdd.getNumPartitions()
+    rows = rows.coalesce(cores) if parts > cores else rows
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, row_id {dict(rows.dtypes)['row_id']}, score double"
+    met = None
+    for part in range(n_groups):
+        found = _met(rows, q.where(F.col("part") % n_groups == part), k, -2.0 if least is None else least, include_self, schema)
+        met = found if met is None else met.unionByName(found)
     return top_k(met.withColumn("score", F.round("score", 9)), k, key="row_id")
+
+
+def _met(rows: DataFrame, asked: DataFrame, k: int, floor: float, include_self: bool, schema: str) -> DataFrame:
+    """(query_id, row_id, score): for each task the rows that may be among the k best of each query of ``asked``."""
+    table = asked.select("query_id", "vector", "kind").toArrow().combine_chunks()
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema)])
+    # one more than k, for the row itself
+    depth = k + 1
+
+    def unit(vectors: pa.Table) -> np.ndarray:
+        m = _matrix(vectors["vector"])
+        size = np.linalg.norm(m, axis=1)
+        return m / np.where(size == 0, 1, size)[:, None]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        kinds = table["kind"].to_numpy()
+        known = {}
+        for one in np.unique(kinds).tolist():
+            own = np.flatnonzero(kinds == one)
+            known[one] = own, unit(table.take(pa.array(own)))
+        edge = np.full(len(kinds), floor)
+        ids, query, row, best = None, np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        new_ids: list[pa.Array] = []
+        n_ids = count = 0
+
+        def settle() -> None:
+            nonlocal ids, query, row, best, n_ids, count
+            query, row, best = (np.concatenate([old, *[w[i] for w in waiting]]) for i, old in enumerate((query, row, best)))
+            order = np.lexsort((-best, query))
+            query, row, best = query[order], row[order], best[order]
+            begin = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.zeros(0, np.int64)
+            full = begin[np.diff(np.append(begin, len(query))) >= depth]
+            # what ties with the last one up to rounding stays
+            edge[query[full]] = np.maximum(floor, best[full + depth - 1] - 2e-9)
+            good = best >= edge[query]
+            query, row, best = query[good], row[good], best[good]
+            every = pa.concat_arrays([*([ids] if ids is not None else []), *new_ids])
+            used, row = np.unique(row, return_inverse=True)
+            ids, row = every.take(pa.array(used)), row.astype(np.int32)
+            waiting.clear(), new_ids.clear()
+            n_ids, count = len(ids), 0
+
+        for batch in batches:
+            for start in range(0, len(batch), BLOCK):
+                own = pa.Table.from_batches([batch.slice(start, BLOCK)]).combine_chunks()
+                of_row = own["kind"].to_numpy()
+                new_ids.append(own["row_id"].combine_chunks())
+                for one in np.unique(of_row).tolist():
+                    if one not in known:
+                        continue
+                    (asking, x), at = known[one], np.flatnonzero(of_row == one)
+                    y = unit(own.take(pa.array(at)))
+                    for begin in range(0, len(asking), 256):
+                        some = asking[begin : begin + 256]
+                        score = x[begin : begin + 256] @ y.T
+                        least = edge[some]
+                        if score.shape[1] > 2 * depth and (least == floor).any():
+                            least = np.maximum(least, np.partition(score, score.shape[1] - depth, axis=1)[:, score.shape[1] - depth] - 2e-9)
+                        i, j = np.nonzero(score >= least[:, None])
+                        waiting.append((some[i].astype(np.int32), (n_ids + at[j]).astype(np.int32), score[i, j]))
+                        count += len(i)
+                n_ids += len(own)
+                if count > max(65_536, len(kinds) * depth):
+                    settle()
+        if new_ids:
+            settle()
+        for start in range(0, len(query), 65_536):
+            part = slice(start, start + 65_536)
+            out = pa.table([table["query_id"].combine_chunks().take(pa.array(query[part])), ids.take(pa.array(row[part])), pa.array(best[part])], names=arrow.names)
+            if not include_self:
+                out = out.filter(pa.array([a != b for a, b in zip(out["query_id"].to_pylist(), out["row_id"].to_pylist())], pa.bool_()))
+            yield from out.cast(arrow).combine_chunks().to_batches()
+
+    return rows.mapInArrow(meet, schema)

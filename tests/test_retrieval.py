@@ -167,3 +167,18 @@ def test_texts_are_not_written_for_answers_that_show_none(spark, tmp_path):
     best = queries._reranked(spark, str(tmp_path))[2]
     assert best.count() == 10 and best.where("text is not null").count() == 0
     assert {(r.query_id, r.doc_id) for r in queries.rerank_gate(spark, str(tmp_path)).collect()} == {(0, 0), (20, 20)}
+
+
+def test_dense_search_sends_no_vector_twice(spark, monkeypatch):
+    monkeypatch.setattr(dense, "BLOCK", 7)
+    monkeypatch.setattr(dense, "NUMBERS", 40, raising=False)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(50, 4)).round(1)
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(50)], "row_id int, vector array<double>").repartition(6)
+    found = dense.search(rows.where("row_id < 25").withColumnRenamed("row_id", "query_id"), rows, 3)
+    assert "CoGroup" not in found._jdf.queryExecution().toString()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.row_id)
+    assert got == {q: sorted(range(50), key=lambda i: (-round(float(unit[q] @ unit[i]), 9), i))[:3] for q in range(25)}
