@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.operators import dense, fusion, rerank, sparse
 from siltstone.plans import embed, queries, retrieve
 from siltstone.plans.settings import Settings, overfetch
+from siltstone.sources import tables
 
 DOCS = [("d1", "red apple pie and apple tart"), ("d2", "green apple"), ("d3", "the blue car is fast, a fast car"), ("d4", ""), ("d5", None)]
 
@@ -182,3 +183,31 @@ def test_dense_search_sends_no_vector_twice(spark, monkeypatch):
     for r in found.orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.row_id)
     assert got == {q: sorted(range(50), key=lambda i: (-round(float(unit[q] @ unit[i]), 9), i))[:3] for q in range(25)}
+
+
+def test_texts_that_no_query_finds_are_not_shuffled(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "spread", lambda df: df)
+    other = lambda: " ".join(f"x{n}" for n in rng.integers(10**9, size=200))
+    rng = np.random.default_rng(5)
+    rows = [(i, f"text about apples number{i}" if i % 20 < 1 else other(), f"apples number{i}", "u") for i in range(2000)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, title string, url string")
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    size = lambda: sum(p.stat().st_size for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data"))
+    before = size()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        answers = queries.citations(spark, str(tmp_path))
+        cited = answers.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert size() - before < 500_000
+    assert {(r["query_id"], r["index"], r["relevance"]) for r in cited} == {(q, 1, 1.0) for q in range(0, 2000, 20)}
+
+
+def test_among_keeps_all_held_keys(spark):
+    rows = spark.range(2000).withColumnRenamed("id", "doc_id").unionByName(spark.createDataFrame([(None,)], "doc_id bigint"))
+    held = rows.where("doc_id % 20 = 0")
+    passed = {r.doc_id for r in tables.among(rows, "doc_id", held).collect()}
+    assert passed >= set(range(0, 2000, 20)) and len(passed) < 200
+    assert tables.among(rows, "doc_id", held.limit(0)).count() == 0
+    assert tables.among(rows, "doc_id", held.select(F.col("doc_id").cast("int").alias("doc_id"))).count() == len(passed)
