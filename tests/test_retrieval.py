@@ -192,15 +192,15 @@ def test_texts_that_no_query_finds_are_not_shuffled(spark, tmp_path, monkeypatch
     rows = [(i, f"text about apples number{i}" if i % 20 < 1 else other(), f"apples number{i}", "u") for i in range(2000)]
     documents = spark.createDataFrame(rows, "doc_id bigint, text string, title string, url string")
     documents.write.parquet(str(tmp_path / "documents.parquet"))
-    size = lambda: sum(p.stat().st_size for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data"))
-    before = size()
+    written = lambda: {p: p.stat().st_size for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data")}
+    before = written()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         answers = queries.citations(spark, str(tmp_path))
         cited = answers.collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert size() - before < 500_000
+    assert sum(n for p, n in written().items() if p not in before) < 500_000
     assert {(r["query_id"], r["index"], r["relevance"]) for r in cited} == {(q, 1, 1.0) for q in range(0, 2000, 20)}
 
 
@@ -211,3 +211,26 @@ def test_among_keeps_all_held_keys(spark):
     assert passed >= set(range(0, 2000, 20)) and len(passed) < 200
     assert tables.among(rows, "doc_id", held.limit(0)).count() == 0
     assert tables.among(rows, "doc_id", held.select(F.col("doc_id").cast("int").alias("doc_id"))).count() == len(passed)
+
+
+def shuffled_by(spark, path, name):
+    """Bytes that a query shuffles where 1,900 long texts hold none of the words asked for, and its rows."""
+    rng = np.random.default_rng(6)
+    rows = [(i, f"text about apples number{i}" if i % 20 < 1 else " ".join(f"x{n}" for n in rng.integers(10**9, size=200)), f"apples number{i}", "u") for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, title string, url string").write.parquet(f"{path}/documents.parquet")
+    written = lambda: {p: p.stat().st_size for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data")}
+    before = written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        answers = queries.QUERIES[name](spark, str(path))
+        rows = answers.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return sum(n for p, n in written().items() if p not in before), rows
+
+
+def test_refusal_reasons_shuffles_no_text_that_no_query_finds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "spread", lambda df: df)
+    written, rows = shuffled_by(spark, tmp_path, "refusal_reasons")
+    assert written < 500_000
+    assert {tuple(r) for r in rows} == {(q, None) for q in range(0, 2000, 20)}
