@@ -234,3 +234,10 @@ def test_refusal_reasons_shuffles_no_text_that_no_query_finds(spark, tmp_path, m
     written, rows = shuffled_by(spark, tmp_path, "refusal_reasons")
     assert written < 500_000
     assert {tuple(r) for r in rows} == {(q, None) for q in range(0, 2000, 20)}
+
+
+def test_rerank_gate_shuffles_no_text_that_no_query_finds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "spread", lambda df: df)
+    written, rows = shuffled_by(spark, tmp_path, "rerank_gate")
+    assert written < 500_000
+    assert {tuple(r) for r in rows} == {(q, q, 1, 1.0) for q in range(0, 2000, 20)}
