@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.sources.tables import ensure_checkpoint_dir
 
 Scorer = Callable[[Column, Column], Column]
+#: Pairs of a query and a document in a group, on average, and bytes of their queries; a group is broadcast to where texts are read.
+PAIRS, QUERY_BYTES = 262_144, 2**26
 
 
 def overlap_score(query: Column, text: Column) -> Column:
@@ -36,6 +39,27 @@ def best(scored: DataFrame, top_k: int) -> DataFrame:
     return scored.withColumn("position", F.row_number().over(w)).where(F.col("position") <= top_k)
 
 
+def rerank_where_read(found: DataFrame, queries: DataFrame, documents: DataFrame, top_k: int, scorer: Scorer = overlap_score) -> DataFrame:
+    """``rerank`` of ``found(query_id, doc_id, rank, ...)``, its ``queries(query_id, query)`` and ``documents(doc_id, text, ...)``, without query and text.
+
+    No text is shuffled or written: a group of queries goes with the keys it found
+    to where the documents are read, one read for each group. ``found`` is read
+    for each group too, so that it should be written, and has a bounded number of
+    rows for each query.
+    """
+    ensure_checkpoint_dir(found.sparkSession)
+    n_found = found.count()
+    n_queries, n_bytes = queries.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("query")), F.lit(0))).head()
+    n_groups = max(1, -(-n_found // PAIRS), -(-n_bytes * n_found // (QUERY_BYTES * max(1, n_queries))))
+    ranked = None
+    for part in range(n_groups):
+        own = F.pmod(F.xxhash64("query_id"), F.lit(n_groups)) == part
+        pairs = found.where(own).join(queries.where(own), "query_id")
+        few = best(scored(documents.join(F.broadcast(pairs), "doc_id"), scorer).drop("text", "query"), top_k).checkpoint()
+        ranked = few if ranked is None else ranked.unionByName(few)
+    return ranked
+
+
 def gate(reranked: DataFrame, least: float) -> DataFrame:
     """Rows whose relevance, the rerank score or else the fused one, reaches ``least``; a gate of 0 keeps all."""
     return reranked.where(F.coalesce("rerank_score", "score") >= least) if least > 0 else reranked

@@ -22,7 +22,7 @@ from siltstone.operators import crawl, dense, expand, fusion, rerank, sparse, st
 from siltstone.plans import embed, retrieve, services
 from siltstone.plans import ingest as ingest_plan
 from siltstone.plans.settings import Settings
-from siltstone.sources.tables import among, ensure_checkpoint_dir, latest, spread, table
+from siltstone.sources.tables import ensure_checkpoint_dir, latest, spread, table
 from siltstone.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -574,10 +574,8 @@ def _reranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     documents = _documents(spark, sf_dir)
     asked = _title_queries(documents)
     found = sparse.search(asked, documents).checkpoint()
-    # only texts that were found are shuffled, and they go no further than their score: no answer here shows them
-    texts = among(documents.select("doc_id", "url", "title", "text"), "doc_id", found)
-    pairs = rerank.scored(found.join(asked, "query_id").join(texts, "doc_id")).drop("text", "query")
-    best = rerank.best(pairs, 5).checkpoint()
+    # texts are scored where they are read: no answer here shows them
+    best = rerank.rerank_where_read(found, asked, documents.select("doc_id", "url", "title", "text"), 5)
     return asked, found, best.withColumn("text", F.lit(None).cast("string"))
 
 

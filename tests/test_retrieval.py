@@ -241,3 +241,41 @@ def test_rerank_gate_shuffles_no_text_that_no_query_finds(spark, tmp_path, monke
     written, rows = shuffled_by(spark, tmp_path, "rerank_gate")
     assert written < 500_000
     assert {tuple(r) for r in rows} == {(q, q, 1, 1.0) for q in range(0, 2000, 20)}
+
+
+def found_by(spark, path, name):
+    """Bytes that a query shuffles where all 1,000 long texts are found, and its rows."""
+    rng = np.random.default_rng(7)
+    long = lambda: " ".join(f"x{n}" for n in rng.integers(10**9, size=200))
+    rows = [(i, f"number{i - i % 10} {long()}", f"number{i}" if i % 40 else f"number{i} other", "u") for i in range(0, 2000, 2) if i % 20 < 10]
+    spark.createDataFrame(rows, "doc_id bigint, text string, title string, url string").write.parquet(f"{path}/documents.parquet")
+    written = lambda: {p: p.stat().st_size for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data")}
+    before = written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = queries.QUERIES[name](spark, str(path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return sum(n for p, n in written().items() if p not in before), rows
+
+
+def test_refusal_reasons_shuffles_no_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "spread", lambda df: df)
+    monkeypatch.setattr(rerank, "PAIRS", 100, raising=False)
+    written, rows = found_by(spark, tmp_path, "refusal_reasons")
+    assert written < 300_000
+    assert {(r.query_id, (r.refusal_reason or "")[:41]) for r in rows} == {(q, "" if q % 40 else "below_threshold: top rerank score 0.500 i") for q in range(0, 2000, 20)}
+
+
+def test_rerank_where_texts_are_read(spark, monkeypatch):
+    asked = spark.createDataFrame([(1, "red apple"), (2, "the"), (3, None), (4, "car"), (5, "pie")], "query_id int, query string")
+    found = [(q, d, 0.5, rank) for q in (1, 2, 3, 4) for rank, (d, _) in enumerate(DOCS, 1)] + [(4, "gone", 0.1, 6), (6, "d1", 0.1, 1)]
+    found = spark.createDataFrame(found, "query_id int, doc_id string, score double, rank int")
+    documents = spark.createDataFrame([(*d, "u") for d in [*DOCS, ("d6", "apple"), (None, "apple")]], "doc_id string, text string, url string")
+    want = rerank.rerank(found.join(asked, "query_id").join(documents, "doc_id"), 3).drop("text", "query")
+    for pairs, size in ((262_144, 2**26), (3, 2**26), (262_144, 8)):
+        monkeypatch.setattr(rerank, "PAIRS", pairs)
+        monkeypatch.setattr(rerank, "QUERY_BYTES", size)
+        got = rerank.rerank_where_read(found, asked, documents, 3)
+        assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert rerank.rerank_where_read(found.limit(0), asked.limit(0), documents, 3).count() == 0
