@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -107,10 +108,11 @@ def search(queries: DataFrame, documents: DataFrame, k: int = 10, idf_power: int
     of the query, as textbooks have it. Queries without known terms give no rows.
     Beyond the statistics, only postings of terms that some query holds count.
 
-    Documents are dealt to blocks, one task each, as one narrow row with the
-    postings that count. A task scores all queries of a group against its block
-    and returns the k best of each, so that pairs of a query and a document are
-    never written.
+    Documents are dealt to blocks, as one narrow row each with the postings that
+    count; a block is written once, sorted and compressed. A task scores all
+    queries of a group against its blocks and returns the k best of each, so that
+    pairs of a query and a document are never written, and no more rows for more
+    blocks.
     """
     spark = documents.sparkSession
     ensure_checkpoint_dir(spark)
@@ -119,9 +121,10 @@ def search(queries: DataFrame, documents: DataFrame, k: int = 10, idf_power: int
     # counted before texts are looked at
     cores = spark.sparkContext.defaultParallelism
     n_blocks = cores * max(1, -(-documents.select("doc_id").count() // (BLOCK * cores)))
-    blocks = _narrow(documents, asked if len(asked) <= ASKED else None).repartition(n_blocks, "doc_id").sortWithinPartitions("doc_id").checkpoint()
+    shared = spark.sparkContext.broadcast(asked if len(asked) <= ASKED else None)
+    blocks = _narrow(documents, shared).repartition(n_blocks, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_packed, "block binary").checkpoint()
     # the row with the term -1 has the number of documents and of their tokens
-    counted = blocks.mapInArrow(_counted, "term_id bigint, df bigint, total bigint").groupBy("term_id").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).checkpoint()
+    counted = blocks.mapInArrow(_counted(shared), "term_id bigint, df bigint, total bigint").groupBy("term_id").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).checkpoint()
     counts = counted.where("term_id >= 0").select("term_id", "df")
     stats = counted.where("term_id = -1").select(F.col("df").alias("n_docs"), (F.col("total") / F.col("df")).alias("avgdl"))
     known = query_weights(queries, counts, stats).join(counts, "term_id").crossJoin(F.broadcast(stats)).withColumn("idf", idf(F.col("n_docs"), F.col("df")))
@@ -133,14 +136,17 @@ def search(queries: DataFrame, documents: DataFrame, k: int = 10, idf_power: int
     schema = f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(documents.dtypes)['doc_id']}, score double"
     scored = None
     for part in range(n_groups):
-        found = _scored(blocks, known.where(F.col("part") == part), k, schema)
+        found = _scored(blocks.coalesce(cores), shared.value, known.where(F.col("part") == part), k, schema)
         scored = found if scored is None else scored.unionByName(found)
     return top_k(scored.withColumn("score", F.round("score", 9)), k)
 
 
-def _narrow(documents: DataFrame, asked: np.ndarray | None) -> DataFrame:
-    """(doc_id, dl, terms, tfs): a row for each row with tokens; its different terms, of ``asked`` ones, and how often each occurs, as numbers of 4 bytes."""
-    shared = documents.sparkSession.sparkContext.broadcast(asked)
+def _narrow(documents: DataFrame, shared: Broadcast) -> DataFrame:
+    """(doc_id, dl, postings): a row for each row with tokens; its different terms, of asked ones, and how often each occurs.
+
+    Terms are places among the asked ones, or token ids where all count. Postings
+    are the steps from term to term, then the counts, in bytes of 7 bits.
+    """
     named = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.transform(T.tokens(F.col("text")), T.token_id).alias("ids"))
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,17 +154,26 @@ def _narrow(documents: DataFrame, asked: np.ndarray | None) -> DataFrame:
         for batch in batches:
             lists = batch.column("ids")
             dl = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            # row and term in one number: what is equal stands together
-            both = (np.repeat(np.arange(len(dl)), dl).astype(np.uint64) << np.uint64(32)) | lists.flatten().to_numpy().astype(np.uint64)
+            row, term = np.repeat(np.arange(len(dl)), dl).astype(np.uint64), lists.flatten().to_numpy().astype(np.uint64)
             if asked is not None:
-                both = both[_places(asked, (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)) >= 0]
-            both, tf = np.unique(both, return_counts=True)
-            offsets = np.searchsorted(both >> np.uint64(32), np.arange(len(dl) + 1)).astype(np.int64) * 4
-            binary = lambda values: pa.Array.from_buffers(pa.large_binary(), len(dl), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())  # noqa: E731, B023
-            out = [batch.column("doc_id"), pa.array(dl), binary((both & np.uint64(0xFFFFFFFF)).astype(np.uint32)), binary(tf.astype(np.uint32))]
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "dl", "terms", "tfs"]).filter(pa.array(dl > 0))
-
-    return named.mapInArrow(narrow, f"doc_id {dict(documents.dtypes)['doc_id']}, dl bigint, terms binary, tfs binary")
+                place = _places(asked, term.astype(np.uint32))
+                row, term = row[place >= 0], place[place >= 0].astype(np.uint64)
+            # row and term in one number: what is equal stands together
+            both, tf = np.unique((row << np.uint64(32)) | term, return_counts=True)
+            row, term = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            sizes = np.bincount(row, minlength=len(dl))
+            steps = np.diff(term, prepend=0)
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            steps[first] = term[first]
+            values = np.zeros(2 * len(both), np.int64)
+            at = _first_halves(sizes)
+            values[at], values[at + sizes[row]] = steps, tf
+            packed, ends = _bytes(values)
+            offsets = np.append(0, ends)[2 * np.append(0, np.cumsum(sizes))].astype(np.int64)
+            postings = pa.Array.from_buffers(pa.large_binary(), len(dl), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(dl), postings], names=["doc_id", "dl", "postings"]).filter(pa.array(dl > 0))
+
+    return named.mapInArrow(narrow, f"doc_id {dict(documents.dtypes)['doc_id']}, dl bigint, postings binary")
 
 
 def _places(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -169,11 +184,38 @@ def _places(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(values[at] == wanted, at, -1)
 
 
-def _block(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, dl, and of each posting by term and document: term, document, tf) of rows sorted by key; rows of one key are one document."""
+def _first_halves(sizes: np.ndarray) -> np.ndarray:
+    """Places of the first half of each row, where rows of twice ``sizes`` values follow one another."""
+    return np.arange(sizes.sum()) + np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _bytes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 to 2**35 as bytes of 7 bits, the lowest first, with the high bit where more follow; and where each number ends."""
+    lengths = np.searchsorted(2 ** np.arange(7, 35, 7), values, "right") + 1
+    ends = np.cumsum(lengths)
+    out = np.zeros(lengths.sum(), np.uint8)
+    for i in range(5):
+        some = np.flatnonzero(lengths > i)
+        out[ends[some] - lengths[some] + i] = ((values[some] >> 7 * i) & 127) | np.where(lengths[some] > i + 1, 128, 0)
+    return out, ends
+
+
+def _numbers(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of ``_bytes``, and where each ends."""
+    ends = np.flatnonzero(packed < 128) + 1
+    lengths = np.diff(ends, prepend=0)
+    out = np.zeros(len(ends), np.int64)
+    for i in range(5):
+        some = np.flatnonzero(lengths > i)
+        out[some] |= (packed[ends[some] - lengths[some] + i] & 127).astype(np.int64) << 7 * i
+    return out, ends
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of compressed lists, see _block, of rows sorted by key; rows of one key are one document. Nothing for no rows."""
     batches = [b for b in batches if len(b)]
     if not batches:
-        return pa.array([]), *(np.zeros(0, np.int64) for _ in range(4))
+        return
     rows = pa.Table.from_batches(batches).combine_chunks()
     keys = rows["doc_id"].combine_chunks() if rows["doc_id"].num_chunks != 1 else rows["doc_id"].chunk(0)
     try:
@@ -184,57 +226,100 @@ def _block(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray, np.
     first = np.append(0, np.flatnonzero(fresh) + 1)
     document = np.append(0, np.cumsum(fresh)).astype(np.uint64)
     dl = np.add.reduceat(rows["dl"].to_numpy(), first)
-    flat = lambda c: np.frombuffer(b"".join(rows[c].to_pylist()), np.uint32)
-    sizes = pc.binary_length(rows["terms"]).to_numpy().astype(np.int64) // 4
-    both = (flat("terms").astype(np.uint64) << np.uint64(32)) | np.repeat(document, sizes)
+    values, ends = _numbers(np.frombuffer(b"".join(rows["postings"].to_pylist()), np.uint8))
+    filled = np.searchsorted(ends, np.append(0, np.cumsum(pc.binary_length(rows["postings"]).to_numpy())), "right")
+    sizes = np.diff(filled) // 2
+    at = _first_halves(sizes)
+    steps, tf = values[at], values[at + np.repeat(sizes, sizes)]
+    sums = np.append(0, np.cumsum(steps))
+    term = sums[1:] - np.repeat(sums[np.cumsum(sizes) - sizes], sizes)
+    both = (term.astype(np.uint64) << np.uint64(32)) | np.repeat(document, sizes)
     order = np.argsort(both, kind="stable")
-    both, tf = both[order], flat("tfs")[order].astype(np.int64)
+    both, tf = both[order], tf[order]
     if len(both):
         starts = np.append(0, np.flatnonzero(both[1:] != both[:-1]) + 1)
         both, tf = both[starts], np.add.reduceat(tf, starts)
-    return keys.take(pa.array(first)), dl, (both >> np.uint64(32)).astype(np.uint32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64), tf
-
+    terms, df = np.unique(both >> np.uint64(32), return_counts=True)
+    steps = np.diff((both & np.uint64(0xFFFFFFFF)).astype(np.int64), prepend=0)
+    lists = [keys.take(pa.array(first)), pa.array(dl), pa.array(terms.astype(np.uint32)), pa.array(df), pa.array(steps.astype(np.int32)), pa.array(tf.astype(np.uint32))]
+    lists = [pa.LargeListArray.from_arrays(pa.array([0, len(x)], pa.int64()), x) for x in lists]
+    batch = pa.RecordBatch.from_arrays(lists, names=["key", "dl", "term", "df", "step", "tf"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block"])
+
+
+def _block(block: pa.Scalar) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, dl, sorted terms, df, and of each posting by term and document: document, tf) of what _packed gave."""
+    batch = pa.ipc.open_stream(block.as_buffer()).read_next_batch()
+    keys, *rest = (batch.column(i).flatten() for i in range(batch.num_columns))
+    dl, terms, df, steps, tf = (x.to_numpy(zero_copy_only=False) for x in rest)
+    return keys, dl, terms, df, np.cumsum(steps, dtype=np.int64), tf.astype(np.int64)
+
+
+def _counted(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column("block"):
+                _, dl, terms, df, _, _ = _block(block)
+                ids = terms if shared.value is None else shared.value[terms]
+                columns = [np.append(ids.astype(np.int64), -1), np.append(df, len(dl)), np.append(np.zeros(len(df), np.int64), dl.sum())]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["term_id", "df", "total"])
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, dl, term, _, _ = _block(batches)
-    if len(keys):
-        terms, df = np.unique(term, return_counts=True)
-        columns = [np.append(terms.astype(np.int64), -1), np.append(df, len(dl)), np.append(np.zeros(len(df), np.int64), dl.sum())]
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["term_id", "df", "total"])
+    return counted
 
 
-def _scored(blocks: DataFrame, known: DataFrame, k: int, schema: str) -> DataFrame:
-    """(query_id, doc_id, score): for each block the k best documents of each query of ``known``, and what ties with the last up to rounding."""
+def _scored(blocks: DataFrame, asked: np.ndarray | None, known: DataFrame, k: int, schema: str) -> DataFrame:
+    """(query_id, doc_id, score): for each task the k best documents of each query of ``known``, and what ties with the last up to rounding."""
     table = known.select("query_id", "terms", "avgdl").toArrow().combine_chunks()
     lists = table["terms"].combine_chunks()
     flat = lists.flatten()
     term, weight, rarity = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    term = term.astype(np.uint32) if asked is None else _places(asked, term.astype(np.uint32)).astype(np.uint32)
     offsets = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int64)
     avgdl = table["avgdl"][0].as_py() if table.num_rows else 1.0
-    shared = blocks.sparkSession.sparkContext.broadcast((table["query_id"].combine_chunks(), offsets, term.astype(np.uint32), weight, rarity, avgdl))
+    shared = blocks.sparkSession.sparkContext.broadcast((table["query_id"].combine_chunks(), offsets, term, weight, rarity, avgdl))
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema)])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, offsets, term, weight, rarity, avgdl = shared.value
-        keys, dl, posted, document, tf = _block(batches)
-        if not len(keys):
+        none = np.zeros(0, np.int64), np.zeros(0)
+        best, floor, all_keys, base = [none] * len(ids), np.full(len(ids), -np.inf), [], 0
+        for block in (x for batch in batches for x in batch.column("block")):
+            keys, dl, terms, df, document, tf = _block(block)
+            raw = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[document] / avgdl))
+            place, starts = _places(terms, term), np.append(0, np.cumsum(df))
+            begin, end = np.where(place < 0, 0, starts[place]).tolist(), np.where(place < 0, 0, starts[place + 1]).tolist()
+            sums = np.zeros(len(dl))
+            for q in range(len(ids)):
+                at, score = _best(sums, document, raw, weight, rarity, begin, end, offsets[q], offsets[q + 1], k, floor[q])
+                if not len(at):
+                    continue
+                at = at + base
+                if len(best[q][0]):
+                    at, score = np.concatenate([best[q][0], at]), np.concatenate([best[q][1], score])
+                if len(at) >= k:
+                    floor[q] = np.partition(score, len(score) - k)[len(score) - k]
+                    good = score >= floor[q] - 2e-9
+                    at, score = at[good], score[good]
+                best[q] = at, score
+            all_keys.append(keys)
+            base += len(keys)
+        if not base:
             return
-        raw = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[document] / avgdl))
-        begin, end = np.searchsorted(posted, term, "left").tolist(), np.searchsorted(posted, term, "right").tolist()
-        sums = np.zeros(len(dl))
+        keys = pa.concat_arrays(all_keys)
         for start in range(0, len(ids), 4096):
-            best = []
-            for q in range(start, min(start + 4096, len(ids))):
-                at, score = _best(sums, document, raw, weight, rarity, begin, end, offsets[q], offsets[q + 1], k)
-                best.append((np.full(len(at), q), at, score))
-            query, at, score = (np.concatenate([b[i] for b in best]) for i in range(3))
+            some = best[start : start + 4096]
+            query = start + np.repeat(np.arange(len(some)), [len(at) for at, _ in some])
+            at, score = (np.concatenate([b[i] for b in some]) for i in range(2))
             yield from pa.table([ids.take(pa.array(query)), keys.take(pa.array(at)), pa.array(score)], names=arrow.names).cast(arrow).to_batches(65_536)
 
     return blocks.mapInArrow(score, schema)
 
 
-def _best(sums: np.ndarray, document: np.ndarray, raw: np.ndarray, weight: np.ndarray, rarity: np.ndarray, begin: list[int], end: list[int], first: int, last: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(documents, scores) of one query, its terms first ... last-1; ``sums`` is all zero before and after."""
+def _best(sums: np.ndarray, document: np.ndarray, raw: np.ndarray, weight: np.ndarray, rarity: np.ndarray, begin: list[int], end: list[int], first: int, last: int, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, scores) of one query, its terms first ... last-1, of scores not below ``floor``; ``sums`` is all zero before and after."""
     met = [np.zeros(0, np.int64)]
     for j in range(first, last):
         if begin[j] < end[j]:
@@ -245,6 +330,9 @@ def _best(sums: np.ndarray, document: np.ndarray, raw: np.ndarray, weight: np.nd
     at = np.concatenate(met)
     score = sums[at]
     sums[at] = 0
+    if len(at) and floor > -np.inf:
+        good = score >= floor - 2e-9
+        at, score = at[good], score[good]
     if len(at) > k:
         # scores are rounded to nine places afterwards
         good = score >= np.partition(score, len(score) - k)[len(score) - k] - 2e-9

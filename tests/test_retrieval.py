@@ -279,3 +279,23 @@ def test_rerank_where_texts_are_read(spark, monkeypatch):
         got = rerank.rerank_where_read(found, asked, documents, 3)
         assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     assert rerank.rerank_where_read(found.limit(0), asked.limit(0), documents, 3).count() == 0
+
+
+def test_rerank_gate_shuffles_no_more_for_more_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sparse, "BLOCK", 20)
+    rows = [(i, f"common number{i} " + " ".join(f"word{j}" for j in range(i % 20, 20)), f"common number{i} word{i // 20 % 20}", "u") for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, title string, url string").write.parquet(f"{tmp_path}/documents.parquet")
+    shuffled, top_k = [], sparse.top_k
+    monkeypatch.setattr(sparse, "top_k", lambda scored, *more: shuffled.append(scored.count()) or top_k(scored, *more))
+    rows = queries.rerank_gate(spark, str(tmp_path)).collect()
+    assert len(shuffled) == 1 and shuffled[0] < 30_000
+    assert {tuple(r) for r in rows} == {(q, q, 1, 1.0) for q in range(0, 2000, 20)}
+
+
+def test_postings_as_bytes():
+    values = np.array([0, 1, 127, 128, 16383, 16384, 2**21, 2**28 - 1, 2**28, 2**32 - 1])
+    packed, ends = sparse._bytes(values)
+    assert ends[:4].tolist() == [1, 2, 3, 5] and ends[-1] == len(packed)
+    assert all(np.array_equal(*x) for x in zip(sparse._numbers(packed), (values, ends)))
+    assert [len(x) for x in sparse._bytes(values[:0])] == [0, 0]
+    assert sparse._first_halves(np.array([2, 0, 1])).tolist() == [0, 1, 4]
