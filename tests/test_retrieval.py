@@ -299,3 +299,33 @@ def test_postings_as_bytes():
     assert all(np.array_equal(*x) for x in zip(sparse._numbers(packed), (values, ends)))
     assert [len(x) for x in sparse._bytes(values[:0])] == [0, 0]
     assert sparse._first_halves(np.array([2, 0, 1])).tolist() == [0, 1, 4]
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_dense_search_keeps_a_bounded_number_of_ties(spark, monkeypatch, kind):
+    monkeypatch.setattr(dense, "BLOCK", 64)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 4)).round(1)
+    x[100:400] = x[100]
+    ids = [int(i) if kind == "bigint" else str(i) for i in rng.permutation(600)]
+    rows = spark.createDataFrame([(i, [float(v) for v in own]) for i, own in zip(ids, x)], f"row_id {kind}, vector array<double>").repartition(3)
+    y = np.array([[0.0] * 4, x[100], x[5]])
+    asked = spark.createDataFrame([(q, [float(v) for v in own]) for q, own in enumerate(y)], "query_id int, vector array<double>")
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    score = (unit(y) @ unit(x).T).round(9)
+    want = {q: [ids[i] for i in sorted(range(600), key=lambda i: (-score[q, i], ids[i]))[:5]] for q in range(3)}
+    got = {}
+    for r in dense.search(asked, rows, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.row_id)
+    assert got == want
+    schema = f"query_id int, row_id {kind}, score double"
+    met = dense._met(rows.withColumn("kind", F.lit(1)), asked.withColumn("kind", F.lit(1)), 5, -2.0, True, schema)
+    assert met.count() <= 3 * 3 * 6
+
+
+def test_rounding_is_that_of_spark(spark):
+    rng = np.random.default_rng(7)
+    halves = (rng.integers(0, 10**9, 300) + 0.5) / 1e9
+    x = np.concatenate([halves, np.nextafter(halves, 0), np.nextafter(halves, 1), -halves, rng.normal(size=300), [0.0, 1.0, -1.0]])
+    rounded = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, v double").select("i", F.round("v", 9).alias("r")).orderBy("i").collect()
+    assert [r.r for r in rounded] == dense._rounded(x).tolist()
