@@ -5,8 +5,11 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 from functools import reduce
+from hashlib import md5
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -111,6 +114,12 @@ def token_id(token: Column) -> Column:
     return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint")
 
 
+def token_ids(found: pa.Array) -> np.ndarray:
+    """token_id of each of many tokens; each different one is hashed once."""
+    coded = found.dictionary_encode()
+    return np.array([int(md5(t.encode()).hexdigest()[:8], 16) for t in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+
+
 @F.pandas_udf(StringType())
 def compatible(texts: pd.Series) -> pd.Series:
     """Compatibility form of Unicode (NFKC); Spark has no function for it."""

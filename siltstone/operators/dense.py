@@ -129,10 +129,15 @@ def _met(rows: DataFrame, asked: DataFrame, k: int, floor: float, include_self:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         kinds = table["kind"].to_numpy()
-        known = {}
+        known, twins = {}, {}
         for one in np.unique(kinds).tolist():
             own = np.flatnonzero(kinds == one)
             x = unit(table.take(pa.array(own)))
+            # vectors of zeros have the same rows: the first one stands for all
+            zeros = np.flatnonzero(~x.any(axis=1))
+            if len(zeros) > 1:
+                twins[own[zeros[0]]] = own[zeros[1:]]
+                own, x = np.delete(own, zeros[1:]), np.delete(x, zeros[1:], axis=0)
             known[one] = own, x, x.astype(np.float32)
         edge = np.full(len(kinds), floor)
         ids, query, row, best = None, np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)
@@ -195,6 +200,10 @@ def _met(rows: DataFrame, asked: DataFrame, k: int, floor: float, include_self:
                     settle()
         if new_ids:
             settle()
+        for one, others in twins.items():
+            at = np.flatnonzero(query == one)
+            query = np.append(query, np.repeat(others, len(at)))
+            row, best = (np.append(v, np.tile(v[at], len(others))) for v in (row, best))
         for start in range(0, len(query), 65_536):
             part = slice(start, start + 65_536)
             out = pa.table([table["query_id"].combine_chunks().take(pa.array(query[part])), ids.take(pa.array(row[part])), pa.array(best[part])], names=arrow.names)

@@ -147,14 +147,14 @@ def _narrow(documents: DataFrame, shared: Broadcast) -> DataFrame:
     Terms are places among the asked ones, or token ids where all count. Postings
     are the steps from term to term, then the counts, in bytes of 7 bits.
     """
-    named = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.transform(T.tokens(F.col("text")), T.token_id).alias("ids"))
+    named = documents.where(F.col("doc_id").isNotNull()).select("doc_id", T.tokens(F.col("text")).alias("tokens"))
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shared.value
         for batch in batches:
-            lists = batch.column("ids")
+            lists = batch.column("tokens")
             dl = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            row, term = np.repeat(np.arange(len(dl)), dl).astype(np.uint64), lists.flatten().to_numpy().astype(np.uint64)
+            row, term = np.repeat(np.arange(len(dl)), dl).astype(np.uint64), T.token_ids(lists.flatten()).astype(np.uint64)
             if asked is not None:
                 place = _places(asked, term.astype(np.uint32))
                 row, term = row[place >= 0], place[place >= 0].astype(np.uint64)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,16 +19,15 @@ QUERY_PREFIX = "query: "
 def hashed(width: int = 64) -> Embedder:
     """Bag of hashed tokens with signs, of unit length; texts without tokens give zeros. No match for a trained model."""
 
-    @F.pandas_udf("array<double>")
-    def vectors(ids: pd.Series) -> pd.Series:
-        out = np.zeros((len(ids), width))
-        for row, own in zip(out, ids):
-            own = np.asarray(own, dtype=np.int64)
-            np.add.at(row, own % width, np.where((own >> 16) & 1, 1.0, -1.0))
+    @F.arrow_udf("array<double>")
+    def vectors(tokens: pa.Array) -> pa.Array:
+        ids, n = T.token_ids(tokens.flatten()), len(tokens)
+        row = np.repeat(np.arange(n), pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64))
+        out = np.bincount(row * width + ids % width, np.where((ids >> 16) & 1, 1.0, -1.0), n * width).reshape(n, width)
         size = np.linalg.norm(out, axis=1, keepdims=True)
-        return pd.Series(list(out / np.where(size == 0, 1, size)))
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array((out / np.where(size == 0, 1, size)).ravel()))
 
-    return lambda text: vectors(F.transform(T.tokens(text), T.token_id))
+    return lambda text: vectors(T.tokens(text))
 
 
 def cache_key(text: Column, model: str) -> Column:

@@ -1,9 +1,11 @@
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone.functions import text
 from siltstone.operators import dense, fusion, rerank, sparse
 from siltstone.plans import embed, queries, retrieve
 from siltstone.plans.settings import Settings, overfetch
@@ -329,3 +331,32 @@ def test_rounding_is_that_of_spark(spark):
     x = np.concatenate([halves, np.nextafter(halves, 0), np.nextafter(halves, 1), -halves, rng.normal(size=300), [0.0, 1.0, -1.0]])
     rounded = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, v double").select("i", F.round("v", 9).alias("r")).orderBy("i").collect()
     assert [r.r for r in rounded] == dense._rounded(x).tolist()
+
+
+def test_vectors_of_zeros_are_compared_once(spark, monkeypatch):
+    dots, seen = dense._dots, []
+    monkeypatch.setattr(dense, "_dots", lambda x, i, y, j: (seen.append(len(i)), dots(x, i, y, j))[1])
+    rows = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(50)], "row_id int, vector array<double>")
+    asked = spark.createDataFrame([(i, [0.0, 0.0] if i % 2 else [1.0, 0.0]) for i in range(20)], "query_id int, vector array<double>")
+    got = {}
+    for r in dense.search(asked, rows, 3, include_self=False).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.row_id, r.score))
+    assert all(got[q] == [(i, 0.0) for i in range(4) if i != q][:3] for q in range(1, 20, 2)) and len(got) == 20
+    schema = "query_id int, row_id int, score double"
+    kinds = [df.withColumn("kind", F.lit(1)) for df in (rows.coalesce(1), asked)]
+    met = {}
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, schema: met.setdefault("f", f))
+    dense._met(*kinds, 3, -2.0, True, schema)
+    out = list(met["f"](kinds[0].toArrow().to_batches()))
+    assert sum(len(b) for b in out) >= 20 * 4 and sum(seen) <= 11 * 4
+
+
+def test_token_ids_of_many_tokens(spark):
+    words = ["apple", "it's", "é9", "apple", "x_y-z"]
+    want = [r.i for r in spark.createDataFrame([(w,) for w in words], "w string").select(text.token_id(F.col("w")).alias("i")).collect()]
+    assert text.token_ids(pa.array(words)).tolist() == want and text.token_ids(pa.array([], pa.string())).tolist() == []
+    rows = spark.createDataFrame([("red apple apple",), ("",), (None,)], "t string").select(embed.hashed(8)(F.col("t")).alias("v")).collect()
+    plain = np.zeros(8)
+    for i in text.token_ids(pa.array(["red", "apple", "apple"])).tolist():
+        plain[i % 8] += 1 if (i >> 16) & 1 else -1
+    assert rows[0].v == pytest.approx((plain / np.linalg.norm(plain)).tolist()) and rows[1].v == rows[2].v == [0.0] * 8
